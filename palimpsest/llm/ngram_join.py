@@ -1,2 +1,283 @@
-def ngram_join(docs):
-    raise NotImplementedError
+"""Exact Jaccard join of documents on word shingles, by a grouped prefix join.
+
+All sets are ordered by one global order: shingles that few documents hold first, by hash, and common ones last, by how many
+hold them. Two sets that are similar enough must share a shingle of their prefixes, and the prefix of n shingles is n - ceil(t n) + 1 long. Documents with an
+identical prefix and size form a group; a group's prefix is posted once, whatever the number of its members.
+Of the groups that share a posted shingle, pairs that fail the size or the position bound are left out, the others are
+expanded to their members, and members are verified on their whole sets.
+
+As a class needs only enough links to hold together, the pairs are taken in two rounds. First each posting list's
+smallest member is paired with the others (as many pairs as postings). Lists whose members are then all in one component are done. In the rest,
+members outside the list's largest component are paired with all members of other components, except where the
+triangle inequality of the Jaccard distance, by way of the list's first member, rules a link out. No link between components is lost, and no list
+of n members that are alike makes more than n pairs.
+
+Common shingles: every shingle is counted, as sorted runs of differences that are merged by hash range; those in more than HOT documents
+are sent to all tasks, the most frequent FREQUENT of them if there are more (the order is then less sharp, the result the same).
+
+A set holds the text's distinct shingles of WIDTH words (A-Z lower-cased, ASCII white space between); a text of fewer words is one shingle; without
+words or text it is empty and links with nothing. Rows that repeat are in one component. Rows of a null id get their text's component where a row with an id
+has the same text, or links; their component is null if no id is in it. An empty table gives an empty result. Extra columns are left alone.
+Sets are told apart by 64-bit sums of hashes and shingles by 48 bits within a pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import free_name, ship, shared_dir, stash, text_of
+from .components import components
+from .shingles import mix, pack, steps, text_buffers, unpack  # noqa: F401
+
+WIDTH, NEAR = 5, 75
+HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 4 << 20, 1 << 20
+_LOW, _A, _B = np.uint64(16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+def _ranges(df: DataFrame) -> int:
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bounds(sorted_values: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of `ranges` equal parts of the 48-bit space begins in sorted values."""
+    edges = (np.arange(ranges + 1, dtype=np.float64) * ((1 << 48) / ranges)).astype(np.uint64)
+    edges[-1] = np.uint64(1 << 48)
+    return np.searchsorted(sorted_values, edges)
+
+
+def frequent_shingles(texts: DataFrame, width: int, hot: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes, sorted, of shingles in more than `hot` rows, and their counts; at most `most` of them."""
+    ranges = _ranges(texts)
+
+    def runs(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, _, sets in steps(batch.column(0), STEP):
+                values = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)])) >> _LOW
+                at = _bounds(values, ranges)
+                full = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pack(values[at[r] : at[r + 1]]) for r in full], pa.binary())], names=["range", "run"])
+
+    def merge(part):
+        import pyarrow as pa
+
+        values = np.sort(np.concatenate([unpack(x.as_py()) for x in part["run"]]))
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        times = np.diff(np.append(first, len(values)))
+        keep = times > hot
+        return pa.table({"hash": pa.array(values[first[keep]].astype(np.int64)), "times": pa.array(times[keep].astype(np.int64))})
+
+    counted = stash(texts.mapInArrow(runs, "range long, run binary").groupBy("range").applyInArrow(merge, "hash long, times long"), "hot-shingles")
+    found = counted.orderBy(F.desc("times"), "hash").limit(most).toArrow()
+    hashes, times = np.asarray(found["hash"], dtype=np.uint64), np.asarray(found["times"], dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def prefix_of(values: np.ndarray, near: int, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set under the global order."""
+    n = len(values)
+    p = n - -(-near * n // 100) + 1
+    if not len(hashes):
+        return values[:p]
+    tokens = values >> _LOW
+    at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
+    hot = hashes[at] == tokens
+    cold = values[~hot][:p]
+    if len(cold) == p:
+        return cold
+    warm = values[hot]
+    return np.concatenate([cold, warm[np.lexsort((warm, times[at[hot]]))][: p - len(cold)]])
+
+
+def _sums(values: np.ndarray) -> tuple[int, int]:
+    one, two = mix(values * _A), mix(values * _B)
+    return int(one.sum(dtype=np.uint64).astype(np.int64)), int(two.sum(dtype=np.uint64).astype(np.int64))
+
+
+def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> DataFrame:
+    """docs (doc_id, text). Two kinds of row: per document doc_id, n, set (its set's number) and grp; per run of documents and
+    hash range the posted shingles with their groups and positions, a group posted once a run."""
+    spark, ranges = docs.sparkSession, _ranges(docs)
+    sent = spark.sparkContext.broadcast((hashes, times))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        hot, often = sent.value
+        for batch in batches:
+            for start, end, sets in steps(batch.column(1), STEP):
+                n, code, group, seen, tokens, owner, place = [], [], [], set(), [], [], []
+                for s in sets:
+                    n.append(len(s))
+                    if not len(s):
+                        code.append(None)
+                        group.append(None)
+                        continue
+                    one, _ = _sums(s)
+                    head = prefix_of(s, near, hot, often)
+                    g = int(mix(np.array([_sums(head)[1] & ((1 << 64) - 1)], np.uint64) + np.uint64(len(s)))[0] >> np.uint64(24))
+                    code.append(one)
+                    group.append(g)
+                    if g not in seen:
+                        seen.add(g)
+                        tokens.append(head >> _LOW)
+                        owner.append(np.full(len(head), g, np.int64))
+                        place.append(np.arange(len(head)))
+                k = len(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, end - start).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(group, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
+                    names=names,
+                )
+                if not tokens:
+                    continue
+                token, who, pos = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
+                order = np.argsort(token, kind="stable")
+                token, who, pos = token[order], who[order], np.minimum(pos[order], 65535).astype(np.uint16)
+                who = np.ascontiguousarray(who.view(np.uint8).reshape(-1, 8)[:, :5])
+                at = _bounds(token, ranges)
+                full = np.flatnonzero(np.diff(at))
+                k, cut = len(full), [slice(at[r], at[r + 1]) for r in full]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(k, pa.int64())] * 4 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
+                    names=names,
+                )
+
+    names = ["doc_id", "n", "set", "grp", "range", "tokens", "owners", "places"]
+    return stash(docs.mapInArrow(run, "doc_id long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted")
+
+
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """token, grp, pos for the shingles that at least two groups post."""
+
+    def merge(part):
+        import pyarrow as pa
+
+        token = np.concatenate([unpack(x.as_py()) for x in part["tokens"]])
+        raw = np.frombuffer(b"".join(x.as_py() for x in part["owners"]), np.uint8).reshape(-1, 5)
+        who = np.zeros((len(raw), 8), np.uint8)
+        who[:, :5] = raw
+        who = who.view(np.int64).ravel()
+        pos = np.frombuffer(b"".join(x.as_py() for x in part["places"]), np.uint16)
+        order = np.argsort(token, kind="stable")
+        t = token[order]
+        again = np.zeros(len(t), dtype=bool)
+        again[1:] = t[1:] == t[:-1]
+        again[:-1] |= again[1:]
+        order = order[again]
+        token, who, pos = token[order], who[order], pos[order]
+        order = np.lexsort((pos, who, token))
+        token, who, pos = token[order], who[order], pos[order]
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (who[1:] != who[:-1])
+        token, who, pos = token[new], who[new], pos[new]
+        more = np.zeros(len(token), dtype=bool)
+        more[1:] = token[1:] == token[:-1]
+        more[:-1] |= more[1:]
+        return pa.table({"token": pa.array(token[more].astype(np.int64)), "grp": pa.array(who[more]), "pos": pa.array(pos[more].astype(np.int32))})
+
+    return posted.where(F.col("range").isNotNull()).select("range", "tokens", "owners", "places").groupBy("range").applyInArrow(merge, "token long, grp long, pos int")
+
+
+def _likely(a: str, b: str, near: int):
+    """Size and position bounds of two list members."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    return (100 * F.least(na, nb) >= near * F.greatest(na, nb)) & ((100 + near) * left >= near * (na + nb))
+
+
+def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) of set numbers. Adds na, nb and both, the size of the intersection."""
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = stash(wanted.join(units.select("set", "one_id"), "set").select(F.col("one_id").alias("doc_id"), "set"), "wanted")
+    if wanted.count() <= SENT:  # two longs a row
+        wanted = F.broadcast(wanted)
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, end, found in steps(batch.column(1), STEP):
+                code = batch.column(0).slice(start, end - start).to_pylist()
+                mine = [(c, s) for c, s in zip(code, found, strict=True) if len(s) and _sums(s)[0] == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([len(s) for _, s in mine], pa.int64()), pa.array([pack(s >> _LOW) for _, s in mine], pa.binary())], names=["set", "n", "values"])
+
+    whole = docs.join(wanted, "doc_id").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
+    whole = stash(whole.dropDuplicates(["set"]), "sets")
+
+    def meet(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            held, x, both = None, None, []
+            a, va, vb = batch.column("a").to_pylist(), batch.column("va"), batch.column("vb")
+            for i in range(batch.num_rows):
+                if a[i] != held:
+                    held, x = a[i], unpack(va[i].as_py())
+                y = unpack(vb[i].as_py())
+                both.append(len(np.intersect1d(x, y)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+
+    right = pairs.join(whole.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
+    full = right.join(whole.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a")
+    return full.select("a", "b", "na", "nb", "va", "vb").mapInArrow(meet, "a long, b long, na long, nb long, both long")
+
+
+def _linked(near: int):
+    return 100 * F.col("both") >= near * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: int = NEAR, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id and links (of its text with other texts that were verified) for each row of docs."""
+    shared_dir(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    hashes, times = frequent_shingles(docs.select("text"), WIDTH, hot, FREQUENT)
+    posted = post(docs, near, hashes, times)
+    rows = posted.where(F.col("range").isNull()).select("doc_id", "n", "set", "grp")
+    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "grp", "n").agg(F.min("doc_id").alias("one_id")), "units")
+    named = units.where(F.col("one_id").isNotNull())
+    groups = named.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos"))
+    lists = stash(shared_postings(posted).unionByName(groups).join(named.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists")
+    first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
+    star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
+    tried = stash(verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), named, docs), "tried")
+    links = tried.where(_linked(near)).select("a", "b")
+    held = stash(components(links), "components")
+    # the lists that still hold more than one component
+    part = lists.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    mixed = part.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last").select("token")
+    open_ = stash(part.join(mixed, "token", "left_semi"), "open-lists")
+    if not open_.isEmpty():
+        sizes = open_.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("major"))
+        far = tried.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
+        away = (
+            open_.join(first.select("token", F.col("set").alias("a")), "token")
+            .join(far.withColumnRenamed("b", "set"), ["a", "set"], "left")
+            .withColumn("far", F.when(F.col("a") == F.col("set"), 0.0).otherwise(F.col("far")))
+            .join(sizes, "token")
+        )
+        away = stash(away.select("token", "set", "n", "pos", "component", "far", (F.col("component") != F.col("major")).alias("minor")), "away")
+        x, y = away.where("minor").alias("x"), away.alias("y")
+        apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - near / 100 + 1e-9, F.lit(True))
+        once = ~F.col("y.minor") | (F.col("x.set") < F.col("y.set"))
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x", "y", near) & apart)
+        pairs = pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
+        pairs = stash(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = stash(verify(pairs, named, docs).where(_linked(near)).select("a", "b"), "more-links")
+        links = links.unionByName(more)
+        held = stash(components(links), "components")
+    least = units.groupBy("set").agg(F.min("one_id").alias("one_id"))
+    label = least.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    final = label.groupBy("component").agg(F.min("one_id").alias("component_id"))
+    degree = links.select(F.col("a").alias("s")).union(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("links"))
+    told = label.join(final, "component").join(degree, F.col("set") == F.col("s"), "left").select("set", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    out = rows.join(told, "set", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.when(F.col("set").isNull(), F.col("doc_id"))).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+ship(__name__)

@@ -76,7 +76,11 @@ def passes(kind: str, value: Column) -> Column:
 
 def base_spans(c: Column) -> Column:
     """Array of (start, rank, kind, end, value), sorted by start, then kind as listed."""
-    each = [F.transform(F.filter(found(c, PATTERNS[k]), lambda x, k=k: passes(k, x["value"])), lambda x, k=k, r=r: F.struct(x["start"].alias("start"), F.lit(r).alias("rank"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"))) for r, k in enumerate(KINDS)]
+    def of(rank: int, kind: str) -> Column:
+        good = F.filter(found(c, PATTERNS[kind]), lambda x: passes(kind, x["value"]))
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+
+    each = [of(r, k) for r, k in enumerate(KINDS)]
     return F.array_sort(F.concat(*each))
 
 

@@ -1,4 +1,9 @@
 """The registry of the library's own queries: name to callable, and name to the SQL that it equals."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import session_queries, temporal_queries
+
+_PARTS = (temporal_queries, session_queries)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}

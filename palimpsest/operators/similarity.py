@@ -15,7 +15,7 @@ def _prefix(rows: DataFrame, frequency: DataFrame, threshold: float) -> DataFram
 
 
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets (id, tokens without repeats) -> a < b, both, either, for pairs with both / either >= threshold. Empty sets pair with nothing."""
+    """sets (id, tokens without repeats) -> a < b, common, either, for pairs with common / either >= threshold. Empty sets pair with nothing."""
     sets = sets.where(F.size("tokens") > 0)
     frequency = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     head = _prefix(sets, frequency, threshold)
@@ -23,24 +23,24 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return full.select("a", "b", both.alias("both"), (F.size("ta") + F.size("tb") - both).alias("either"), F.size("ta").alias("na"), F.size("tb").alias("nb")).where(F.col("both") >= threshold * F.col("either"))
+    common = F.size(F.array_intersect("ta", "tb"))
+    return full.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb") - common).alias("either"), F.size("ta").alias("na"), F.size("tb").alias("nb")).where(F.col("common") >= threshold * F.col("either"))
 
 
 def nearest(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Each left set's best right set by Jaccard, ties to the smaller id; left sets without a common token are left out."""
     l = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     r = right.select(F.col("id").alias("other"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    met = l.join(r, "token").groupBy("id", "other", "n", "m").agg(F.count("*").alias("both"))
-    scored = met.withColumn("score", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("score") >= threshold)
+    met = l.join(r, "token").groupBy("id", "other", "n", "m").agg(F.count("*").alias("common"))
+    scored = met.withColumn("score", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where(F.col("score") >= threshold)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("other").alias("best_id"), "both", (F.col("n") + F.col("m") - F.col("both")).alias("either"), "score")
+    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("other").alias("best_id"), "common", (F.col("n") + F.col("m") - F.col("common")).alias("either"), "score")
 
 
 def containment(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left set's best share of tokens held by one right set."""
     l = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     r = right.select(F.col("id").alias("other"), F.explode("tokens").alias("token"))
-    met = l.join(r, "token").groupBy("id", "other", "n").agg(F.count("*").alias("both"))
-    w = Window.partitionBy("id").orderBy(F.desc("both"), "other")
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("other").alias("best_id"), "both", "n")
+    met = l.join(r, "token").groupBy("id", "other", "n").agg(F.count("*").alias("common"))
+    w = Window.partitionBy("id").orderBy(F.desc("common"), "other")
+    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("other").alias("best_id"), "common", "n")

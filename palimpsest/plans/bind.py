@@ -49,3 +49,51 @@ VERSIONS_SQL = VERSION_EVENTS_SQL + """, v0 AS (
     CAST(op = 'delete' AS INTEGER) AS tombstone,
     CAST(superseded_by IS NULL AND op <> 'delete' AND valid_to IS NULL AS INTEGER) AS is_current
   FROM v0)"""
+
+
+#: What entries carry besides a document's words, by doc_id: one of each signal.
+TAILS = (
+    "",
+    " Prefers dark mode always.",
+    " Fixed on 2024-03-05 and shipped 12/14 checks today.",
+    " See ~/notes/plan.md for full context.",
+    " TODO follow up on the setup",
+    " Root cause: traceback in the parser.",
+    " Phase 2 milestone in progress 45% on 2024-02-30.",
+    " postgres is the default store, enabled and running.",
+    " sqlite is the default store, disabled and stopped.",
+    " Switched to v2.3.1 on 2023-11-20 at /srv/data/app/config.yaml",
+    " various stuff needs work",
+    " Never share the api key. Do not deploy without approval.",
+    " → archived 2024-02-01. Find: notes",
+    " everything is listed.",
+    " api_key: sk-abcdefghijklmnop1234 and 9f86d081884c7d659a2feaa0c55ad015",
+    " [M12] dream reflection",
+)
+HEADS = {12: "↪ ", 13: "Long-form notes live in ~/notes: ", 3: "Model routing: ", 1: "User: "}
+CUTS = (40, 160, 300, 430, 720)
+TODAY = "2024-06-01"
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot-memory entries of mixed length: the start of a document between a head and a tail."""
+    k = (F.col("doc_id") % len(TAILS)).cast("int")
+    head = F.coalesce(*[F.when(k == i, h) for i, h in HEADS.items()], F.lit(""))
+    cut = F.get(F.array(*[F.lit(c) for c in CUTS]), (F.col("doc_id") % len(CUTS)).cast("int"))
+    text = F.concat(head, F.left("text", cut), F.get(F.array(*[F.lit(t) for t in TAILS]), k))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.when(F.col("doc_id") % 2 == 0, "memory").otherwise("user").alias("store"), text.alias("text"))
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ENTRIES_SQL = (
+    "e AS (SELECT doc_id AS ref, CASE WHEN doc_id % 2 = 0 THEN 'memory' ELSE 'user' END AS store, CASE doc_id % 16 "
+    + " ".join(f"WHEN {i} THEN {quoted(h)}" for i, h in HEADS.items())
+    + " ELSE '' END || substr(text, 1, ["
+    + ", ".join(map(str, CUTS))
+    + "][doc_id % 5 + 1]) || ["
+    + ", ".join(map(quoted, TAILS))
+    + "][doc_id % 16 + 1] AS text FROM documents)"
+)

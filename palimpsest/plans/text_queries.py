@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import DUP_NEAR, FUZZY_MATCH
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.shared import stored
 from ..operators import audit as A
 from ..operators import gate as G
 from ..operators import similarity as S
@@ -73,6 +74,11 @@ def _audited(spark, d):
     return A.audit(entries(spark, d), F.lit(TODAY).cast("date"))
 
 
+def _stored(spark, d):
+    """The audit, written once for the pair joins that read it several times."""
+    return stored(_audited(spark, d), "audit")
+
+
 def entry_kinds(spark, d):
     return _audited(spark, d).select("ref", "kind", "chars")
 
@@ -86,19 +92,19 @@ def quality_scores(spark, d):
 
 
 def near_duplicates(spark, d):
-    return A.duplicates(_audited(spark, d), DUP_NEAR).select("a", "b", "common", "either", F.when(F.col("common") >= 0.6 * F.col("either"), "strong").otherwise("near").alias("strength"))
+    return A.duplicates(_stored(spark, d), DUP_NEAR).select("a", "b", "common", "either", F.when(F.col("common") >= 0.6 * F.col("either"), "strong").otherwise("near").alias("strength"))
 
 
 def best_duplicate(spark, d):
-    return A.best_duplicate(A.duplicates(_audited(spark, d), DUP_NEAR))
+    return A.best_duplicate(A.duplicates(_stored(spark, d), DUP_NEAR))
 
 
 def contradictions(spark, d):
-    return A.contradictions(_audited(spark, d))
+    return A.contradictions(_stored(spark, d))
 
 
 def recommended_actions(spark, d):
-    a = _audited(spark, d)
+    a = _stored(spark, d)
     merged = A.duplicates(a, DUP_NEAR).select(F.col("loser").alias("ref"))
     c = A.contradictions(a)
     return A.recommend(a, merged, c.select(F.col("a").alias("ref")).union(c.select("b"))).select("ref", "kind", "action")

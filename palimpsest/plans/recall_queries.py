@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..constants import BUDGET, SEMANTIC_COSINE
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.shared import stored
 from ..operators import audit as A
 from ..operators import gate as G
 from ..operators import projection as J
 from ..operators import retrieval as R
 from ..operators import similarity as S
-from .bind import ENTRIES_SQL, TODAY, entries, quoted, table
-from .text_queries import _E, _FIRST, _GB, _SCORES, _STRIP, _TOPICS, _bag, _says  # noqa: F401
+from .bind import TODAY, entries, table
+from .text_queries import _E, _GB, _SCORES, _TOPICS, _says
 
 K = 10
 
@@ -102,7 +103,7 @@ def reserve_fill(spark, d):
 
 
 def projection(spark, d):
-    p = J.project(_scored(spark, d), BUDGET)
+    p = J.project(stored(_scored(spark, d), "scored"), BUDGET)
     return p.groupBy("grp").agg(F.count("*").alias("entries"), F.count_if("selected").alias("selected"), F.sum(F.when(F.col("selected"), F.col("tokens"))).alias("tokens"), F.count_if(F.col("how") == "pin").alias("pinned"), F.count_if(F.col("how") == "reserve").alias("reserved"))
 
 
@@ -120,13 +121,12 @@ _TOP = "SELECT query_id, id, rank, CAST(round(score * 1000000) AS BIGINT) AS sco
 _LEX = _E + f""", d AS (SELECT ref AS id, {_GB} AS t FROM e), bq AS (SELECT item_id AS query_id, {_GB} AS t FROM benchmark), w AS (SELECT id, unnest(t) AS tok FROM d), df AS (SELECT tok, count(*) AS df FROM w GROUP BY 1),
 ask AS (SELECT query_id, tok, CASE WHEN df IS NULL THEN ln(1e0 + (SELECT count(*) FROM d)) ELSE ln(1e0 + (SELECT count(*) FROM d) / CAST(df AS DOUBLE)) END AS wt FROM (SELECT query_id, unnest(t) AS tok FROM bq) LEFT JOIN df USING (tok)),
 lex AS (SELECT h.query_id, h.id, held / whole AS score FROM (SELECT query_id, id, sum(wt) AS held FROM w JOIN ask USING (tok) GROUP BY ALL) h JOIN (SELECT query_id, sum(wt) AS whole FROM ask GROUP BY 1) t ON h.query_id = t.query_id)"""
-_RESERVE = _LEX + f""", pins AS (SELECT ref, {_says(P.SAFETY_PIN, 't0')} OR starts_with(t0, 'Long-form notes live in') OR {_says(P.OPERATIONAL_TOPIC, 'topic')} AS pinned FROM ({_TOPICS.replace('WITH ', 'WITH ', 1)} SELECT * FROM topics)),
+_RESERVE = _LEX + f""", pins AS (SELECT ref, {_says(P.SAFETY_PIN, 't0')} OR starts_with(t0, 'Long-form notes live in') OR {_says(P.OPERATIONAL_TOPIC, 'topic')} AS pinned FROM ({_TOPICS} SELECT * FROM topics)),
 c AS (SELECT e.ref % 10 AS grp, e.ref, CAST((length(text) + 3) // 4 + 1 AS INTEGER) AS tokens, round(round(coalesce(score, 0), 4), 2) AS rel FROM e JOIN pins ON pins.ref = e.ref LEFT JOIN lex ON lex.id = e.ref AND lex.query_id = e.ref % 10 WHERE NOT pinned),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rel DESC, ref) AS n FROM c WHERE rel >= 0.05),
 f AS (WITH RECURSIVE s(grp, n, used, k, ref) AS (SELECT DISTINCT grp, CAST(0 AS BIGINT), 0, 0, CAST(NULL AS BIGINT) FROM r UNION ALL
   SELECT s.grp, s.n + 1, CASE WHEN s.k < 3 AND s.used + r.tokens <= 150 THEN s.used + r.tokens ELSE s.used END, CASE WHEN s.k < 3 AND s.used + r.tokens <= 150 THEN s.k + 1 ELSE s.k END, CASE WHEN s.k < 3 AND s.used + r.tokens <= 150 THEN r.ref END FROM s JOIN r ON r.grp = s.grp AND r.n = s.n + 1) SELECT * FROM s)
 SELECT grp, ref, max(used) OVER (PARTITION BY grp) AS used FROM f WHERE ref IS NOT NULL"""
-_PSCORE = _SCORES + f""", pins AS (SELECT ref, {_says(P.SAFETY_PIN, 't0')} OR starts_with(t0, 'Long-form notes live in') OR {_says(P.OPERATIONAL_TOPIC, 'topic')} AS pinned FROM ({_TOPICS} SELECT * FROM topics)),"""
 
 SQL = {
     "vector_topk": "WITH " + _VEC + _TOP.format(""),
@@ -139,7 +139,7 @@ SELECT query_id, id, rank, source, score FROM (SELECT *, row_number() OVER (PART
     "semantic_duplicates": _E + f""", d AS (SELECT ref AS id, {_GB} AS t FROM e), w AS (SELECT id, unnest(t) AS tok FROM d), j AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.tok = y.tok AND x.id < y.id GROUP BY ALL),
 p AS (SELECT a, b, c, len(x.t) + len(y.t) - c AS u FROM j JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE c >= 0.3e0 * (len(x.t) + len(y.t) - c)), v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
 SELECT a, b, c >= 0.45e0 * u AS token_flagged, list_cosine_similarity(x.vec, y.vec) >= 0.85e0 AS semantic, CAST(round(list_cosine_similarity(x.vec, y.vec) * 1000000) AS BIGINT) AS cosine FROM p JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b""",
-    "recency_scores": _SCORES.replace("WITH ", "WITH ", 1) if False else _E + _SCORES + " SELECT ref, CASE WHEN latest IS NULL THEN 'neutral-default' ELSE 'text-date' END AS source, CAST(round(CASE WHEN latest IS NULL THEN 0.5e0 ELSE least(1e0, pow(0.5e0, greatest(age, 0) / 30e0)) END * 1000000) AS BIGINT) AS recency FROM o",
+    "recency_scores": _E + _SCORES + " SELECT ref, CASE WHEN latest IS NULL THEN 'neutral-default' ELSE 'text-date' END AS source, CAST(round(CASE WHEN latest IS NULL THEN 0.5e0 ELSE least(1e0, pow(0.5e0, greatest(age, 0) / 30e0)) END * 1000000) AS BIGINT) AS recency FROM o",
     "reserve_fill": _RESERVE,
     "knapsack_selection": _E + """, i AS (SELECT ref % 20 AS grp, ref // 20 AS bit, (length(text) + 3) // 4 + 1 AS w, ref * 37 % 101 + 1 AS val FROM e WHERE ref < 160),
 s AS (SELECT grp, m, sum(w) AS w, sum(val) AS val FROM i, range(256) t(m) WHERE (m >> bit) & 1 = 1 GROUP BY ALL) SELECT grp, CAST(max(val) AS BIGINT) AS value FROM s WHERE w <= 150 GROUP BY 1""",

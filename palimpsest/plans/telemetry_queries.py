@@ -8,8 +8,8 @@ from ..functions import patterns as P
 from ..functions.text import gate_tokens, overlap_coefficient
 from ..operators import extract as E
 from ..operators import telemetry as M
-from .bind import ENTRIES_SQL, entries, quoted, table
-from .text_queries import _GB, _bag
+from .bind import entries, quoted, table
+from .text_queries import _GB
 
 TODAY = "2024-01-31"
 

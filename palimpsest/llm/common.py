@@ -63,11 +63,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stash(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing.
+
+    batch_rows bounds the rows that go to a Python worker at once while this is written; rows may be long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if batch_rows:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,9 @@ from .components import components
 from .shingles import mix, pack, steps, text_buffers, unpack  # noqa: F401
 
 WIDTH, NEAR = 5, 75
-HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 4 << 20, 1 << 20
+#: Rows of text, and of pairs of whole sets, that go to a Python worker at once.
+TEXTS, SETS = 1000, 250
+HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 2 << 20, 1 << 20
 _LOW, _A, _B = np.uint64(16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -72,8 +74,10 @@ def frequent_shingles(texts: DataFrame, width: int, hot: int, most: int) -> tupl
         keep = times > hot
         return pa.table({"hash": pa.array(values[first[keep]].astype(np.int64)), "times": pa.array(times[keep].astype(np.int64))})
 
-    counted = stash(texts.mapInArrow(runs, "range long, run binary").groupBy("range").applyInArrow(merge, "hash long, times long"), "hot-shingles")
-    found = counted.orderBy(F.desc("times"), "hash").limit(most).toArrow()
+    counted = stash(texts.mapInArrow(runs, "range long, run binary").groupBy("range").applyInArrow(merge, "hash long, times long"), "hot-shingles", TEXTS)
+    if counted.count() > most:
+        counted = counted.orderBy(F.desc("times"), "hash").limit(most)
+    found = counted.toArrow()
     hashes, times = np.asarray(found["hash"], dtype=np.uint64), np.asarray(found["times"], dtype=np.int64)
     order = np.argsort(hashes)
     return hashes[order], times[order]
@@ -149,7 +153,7 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                 )
 
     names = ["doc_id", "n", "set", "grp", "range", "tokens", "owners", "places"]
-    return stash(docs.mapInArrow(run, "doc_id long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted")
+    return stash(docs.mapInArrow(run, "doc_id long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -208,7 +212,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([len(s) for _, s in mine], pa.int64()), pa.array([pack(s >> _LOW) for _, s in mine], pa.binary())], names=["set", "n", "values"])
 
     whole = docs.join(wanted, "doc_id").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
-    whole = stash(whole.dropDuplicates(["set"]), "sets")
+    whole = stash(whole.dropDuplicates(["set"]), "sets", TEXTS)
 
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -242,10 +246,10 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near
     units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "grp", "n").agg(F.min("doc_id").alias("one_id")), "units")
     named = units.where(F.col("one_id").isNotNull())
     groups = named.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos"))
-    lists = stash(shared_postings(posted).unionByName(groups).join(named.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists")
+    lists = stash(shared_postings(posted).unionByName(groups).join(named.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists", TEXTS)
     first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
     star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
-    tried = stash(verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), named, docs), "tried")
+    tried = stash(verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), named, docs), "tried", SETS)
     links = tried.where(_linked(near)).select("a", "b")
     held = stash(components(links), "components")
     # the lists that still hold more than one component
@@ -268,7 +272,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x", "y", near) & apart)
         pairs = pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
         pairs = stash(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        more = stash(verify(pairs, named, docs).where(_linked(near)).select("a", "b"), "more-links")
+        more = stash(verify(pairs, named, docs).where(_linked(near)).select("a", "b"), "more-links", SETS)
         links = links.unionByName(more)
         held = stash(components(links), "components")
     least = units.groupBy("set").agg(F.min("one_id").alias("one_id"))

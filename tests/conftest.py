@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -38,7 +39,7 @@ def duck():
 
 def rows_of(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         if isinstance(v, float):
             return str(int(v)) if v == int(v) else f"{v:.9g}"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import HALF_LIFE_DAYS, NEUTRAL_RECENCY, RESERVE_COUNT, RESERVE_MIN, VALUE_SCALE
+from ..functions.shared import ship
 from ..functions.text import clamp
 
 #: Importance, recency, specificity, fit, pin, relevance.
@@ -79,3 +80,6 @@ def project(scored: DataFrame, budget: int) -> DataFrame:
     chosen = knapsack(pool).select("grp", "ref", F.lit("knapsack").alias("_how")).union(kept.select("grp", "ref", F.lit("reserve")))
     out = scored.join(chosen, ["grp", "ref"], "left").withColumn("how", F.when(F.col("pinned"), "pin").otherwise(F.coalesce("_how", F.lit("none"))))
     return out.drop("_how").withColumn("selected", F.col("how") != "none")
+
+
+ship(__name__)

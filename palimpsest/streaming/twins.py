@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import ship
+
 VERSION = "fact_key long, version int, event_id long, content string, recorded_at timestamp, superseded_at timestamp, superseded_by long"
 STATE = "version int, event_id long, content string, recorded_at timestamp"
 
@@ -63,3 +65,6 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     place, kind = (folder, name) if one and one[0] == name else (path, "*.parquet")
     raw = spark.readStream.schema(table.schema).option("pathGlobFilter", kind).parquet(place)
     return raw.select(F.col("user_id").alias("fact_key"), "event_id", F.col("event_type").alias("kind"), F.concat_ws(":", "event_type", "props").alias("content"), F.col("ts").cast("timestamp").alias("recorded_at"))
+
+
+ship(__name__)

@@ -6,8 +6,9 @@ identical prefix and size form a group; a group's prefix is posted once, whateve
 Of the groups that share a posted shingle, pairs that fail the size or the position bound are left out, the others are
 expanded to their members, and members are verified on their whole sets.
 
-As a class needs only enough links to hold together, the pairs are taken in two rounds. First each posting list's
-smallest member is paired with the others (as many pairs as postings). Lists whose members are then all in one component are done. In the rest,
+As a class needs only enough links to hold together, the pairs are taken in turns. First each posting list's
+smallest member is paired with the others (as many pairs as postings). Lists whose members are then all in one component are done. In
+the others a few members of the largest component are tried in the same way, one a turn. In what is left then,
 members outside the list's largest component are paired with all members of other components, except where the
 triangle inequality of the Jaccard distance, by way of the list's first member, rules a link out. No link between components is lost, and no list
 of n members that are alike makes more than n pairs.
@@ -34,6 +35,10 @@ from .components import components
 from .shingles import mix, pack, steps, text_buffers, unpack  # noqa: F401
 
 WIDTH, NEAR = 5, 75
+#: Turns in which lists of several components try another member of the largest, before what is left is looked at pair by pair.
+ROUNDS = 1
+#: Posted shingles before a shared one by which a pair is known to have been met.
+LOOK_BACK = 8
 #: Rows of text, and of pairs of whole sets, that go to a Python worker at once.
 TEXTS, SETS = 1000, 250
 HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 2 << 20, 1 << 20
@@ -195,9 +200,11 @@ def _likely(a: str, b: str, near: int):
     return (100 * F.least(na, nb) >= near * F.greatest(na, nb)) & ((100 + near) * left >= near * (na + nb))
 
 
-def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) of set numbers. Adds na, nb and both, the size of the intersection."""
+def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) of set numbers with na, nb and both, the size of the intersection; and all whole sets read so far, of which known are at hand."""
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("set"), "set", "left_anti")
     wanted = stash(wanted.join(units.select("set", "one_id"), "set").select(F.col("one_id").alias("doc_id"), "set"), "wanted")
     if wanted.count() <= SENT:  # two longs a row
         wanted = F.broadcast(wanted)
@@ -213,6 +220,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
 
     whole = docs.join(wanted, "doc_id").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
     whole = stash(whole.dropDuplicates(["set"]), "sets", TEXTS)
+    whole = whole if known is None else known.unionByName(whole)
 
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -229,13 +237,39 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame) -> DataFrame:
 
     right = pairs.join(whole.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
     full = right.join(whole.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a")
-    return full.select("a", "b", "na", "nb", "va", "vb").mapInArrow(meet, "a long, b long, na long, nb long, both long")
+    met = full.select("a", "b", "na", "nb", "va", "vb").mapInArrow(meet, "a long, b long, na long, nb long, both long")
+    return stash(met, "tried", SETS), whole
 
 
 def _linked(near: int):
     return 100 * F.col("both") >= near * (F.col("na") + F.col("nb") - F.col("both"))
 
 
+def _star(sided: DataFrame, turn: int, near: int) -> DataFrame:
+    """One member of each list's largest component, another each turn, with the members of other components."""
+    lead = sided.where("not minor").groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "set").alias("h"), "set", "n", "pos")).alias("f")).select("token", "f.*")
+    met = sided.where("minor").alias("x").join(lead.alias("f"), "token").where(_likely("x", "f", near))
+    return met.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct()
+
+
+def _rest(sided: DataFrame, first: DataFrame, tried: DataFrame, near: int) -> DataFrame:
+    """Every pair of a list's members in different components that nothing rules out."""
+    far = tried.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
+    away = (
+        sided.join(first.select("token", F.col("set").alias("a")), "token")
+        .join(far.withColumnRenamed("b", "set"), ["a", "set"], "left")
+        .withColumn("far", F.when(F.col("a") == F.col("set"), 0.0).otherwise(F.col("far")))
+    )
+    # where two members also share one of the shingles just before, they were met there already: a pair that shares many comes out about once
+    before = F.collect_list("token").over(Window.partitionBy("set").orderBy("pos", "token").rowsBetween(-LOOK_BACK, -1))
+    away = stash(away.withColumn("before", before).select("before", "token", "set", "n", "pos", "component", "far", "minor"), "away")
+    x, y = away.where("minor").alias("x"), away.alias("y")
+    apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - near / 100 + 1e-9, F.lit(True))
+    once = (~F.col("y.minor") | (F.col("x.set") < F.col("y.set"))) & ~F.arrays_overlap("x.before", "y.before")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", near) & apart & once)
+    return pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: int = NEAR, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and links (of its text with other texts that were verified) for each row of docs."""
     shared_dir(docs.sparkSession)
@@ -249,32 +283,25 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near
     lists = stash(shared_postings(posted).unionByName(groups).join(named.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists", TEXTS)
     first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
     star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
-    tried = stash(verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), named, docs), "tried", SETS)
+    tried, whole = verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), named, docs)
+    for turn in range(ROUNDS + 1):
+        links = tried.where(_linked(near)).select("a", "b")
+        held = stash(components(links), "components")
+        # the lists that still hold more than one component
+        part = lists.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        mixed = part.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last").select("token")
+        lists = stash(part.join(mixed, "token", "left_semi").select(*lists.columns, "component"), "open-lists")
+        if lists.isEmpty():
+            break
+        sizes = lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("major"))
+        sided = lists.join(sizes, "token").withColumn("minor", F.col("component") != F.col("major"))
+        pairs = _star(sided, turn, near) if turn < ROUNDS else _rest(sided, first, tried, near)
+        pairs = stash(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+        more, whole = verify(pairs, named, docs, whole)
+        tried = tried.unionByName(more)
+        lists = lists.drop("component")
     links = tried.where(_linked(near)).select("a", "b")
     held = stash(components(links), "components")
-    # the lists that still hold more than one component
-    part = lists.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed = part.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last").select("token")
-    open_ = stash(part.join(mixed, "token", "left_semi"), "open-lists")
-    if not open_.isEmpty():
-        sizes = open_.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("major"))
-        far = tried.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-        away = (
-            open_.join(first.select("token", F.col("set").alias("a")), "token")
-            .join(far.withColumnRenamed("b", "set"), ["a", "set"], "left")
-            .withColumn("far", F.when(F.col("a") == F.col("set"), 0.0).otherwise(F.col("far")))
-            .join(sizes, "token")
-        )
-        away = stash(away.select("token", "set", "n", "pos", "component", "far", (F.col("component") != F.col("major")).alias("minor")), "away")
-        x, y = away.where("minor").alias("x"), away.alias("y")
-        apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - near / 100 + 1e-9, F.lit(True))
-        once = ~F.col("y.minor") | (F.col("x.set") < F.col("y.set"))
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & once & _likely("x", "y", near) & apart)
-        pairs = pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
-        pairs = stash(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        more = stash(verify(pairs, named, docs).where(_linked(near)).select("a", "b"), "more-links", SETS)
-        links = links.unionByName(more)
-        held = stash(components(links), "components")
     least = units.groupBy("set").agg(F.min("one_id").alias("one_id"))
     label = least.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     final = label.groupBy("component").agg(F.min("one_id").alias("component_id"))

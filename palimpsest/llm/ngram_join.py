@@ -296,7 +296,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near
         sizes = lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("major"))
         sided = lists.join(sizes, "token").withColumn("minor", F.col("component") != F.col("major"))
         pairs = _star(sided, turn, near) if turn < ROUNDS else _rest(sided, first, tried, near)
-        pairs = stash(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
+        seen = tried.select("a", "b").union(tried.select("b", "a"))
+        pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         more, whole = verify(pairs, named, docs, whole)
         tried = tried.unionByName(more)
         lists = lists.drop("component")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, ship, shared_dir, stash, text_of
 from .components import components
-from .shingles import mix, pack, steps, text_buffers, unpack  # noqa: F401
+from .shingles import mix, pack, release, steps, unpack
 
 WIDTH, NEAR = 5, 75
 #: Turns in which lists of several components try another member of the largest, before what is left is looked at pair by pair.
@@ -69,6 +69,7 @@ def frequent_shingles(texts: DataFrame, width: int, hot: int, most: int) -> tupl
                 at = _bounds(values, ranges)
                 full = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pack(values[at[r] : at[r + 1]]) for r in full], pa.binary())], names=["range", "run"])
+        release()
 
     def merge(part):
         import pyarrow as pa
@@ -156,6 +157,7 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                     [pa.nulls(k, pa.int64())] * 4 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
                     names=names,
                 )
+        release()
 
     names = ["doc_id", "n", "set", "grp", "range", "tokens", "owners", "places"]
     return stash(docs.mapInArrow(run, "doc_id long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
@@ -217,6 +219,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame
                 code = batch.column(0).slice(start, end - start).to_pylist()
                 mine = [(c, s) for c, s in zip(code, found, strict=True) if len(s) and _sums(s)[0] == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([len(s) for _, s in mine], pa.int64()), pa.array([pack(s >> _LOW) for _, s in mine], pa.binary())], names=["set", "n", "values"])
+        release()
 
     whole = docs.join(wanted, "doc_id").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
     whole = stash(whole.dropDuplicates(["set"]), "sets", TEXTS)
@@ -234,6 +237,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame
                 y = unpack(vb[i].as_py())
                 both.append(len(np.intersect1d(x, y)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+        release()
 
     right = pairs.join(whole.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
     full = right.join(whole.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a")

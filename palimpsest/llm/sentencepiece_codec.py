@@ -29,7 +29,7 @@ from .common import free_name, ship, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces that a task remembers; bytes of text whose words are sorted at once.
-CACHE, STEP = 400_000, 8 << 20
+CACHE, STEP = 200_000, 3 << 20
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,11 +76,20 @@ TODAY = "2024-06-01"
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot-memory entries of mixed length: the start of a document between a head and a tail."""
+    """Hot-memory entries of mixed length: the start of a document between a head and a tail. ENTRIES_SQL holds the queries with SQL to these."""
+    cut = F.get(F.array(*[F.lit(c) for c in CUTS]), (F.col("doc_id") % len(CUTS)).cast("int"))
+    return _entries(spark, sf_dir, F.left("text", cut))
+
+
+def whole_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole documents, for the queries without SQL."""
+    return _entries(spark, sf_dir, F.col("text"))
+
+
+def _entries(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
     k = (F.col("doc_id") % len(TAILS)).cast("int")
     head = F.coalesce(*[F.when(k == i, h) for i, h in HEADS.items()], F.lit(""))
-    cut = F.get(F.array(*[F.lit(c) for c in CUTS]), (F.col("doc_id") % len(CUTS)).cast("int"))
-    text = F.concat(head, F.left("text", cut), F.get(F.array(*[F.lit(t) for t in TAILS]), k))
+    text = F.concat(head, body, F.get(F.array(*[F.lit(t) for t in TAILS]), k))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.when(F.col("doc_id") % 2 == 0, "memory").otherwise("user").alias("store"), text.alias("text"))
 
 

@@ -13,7 +13,7 @@ from ..operators import gate as G
 from ..operators import projection as J
 from ..operators import retrieval as R
 from ..operators import similarity as S
-from .bind import TODAY, entries, table
+from .bind import TODAY, entries, table, whole_entries
 from .text_queries import _E, _GB, _SCORES, _TOPICS, _says
 
 K = 10
@@ -39,8 +39,8 @@ def vector_topk_filtered(spark, d):
     return R.vector_topk(_vectors(spark, d), _asked(spark, d), K, F.col("label") == 3).select("query_id", "id", "rank", _mil(F.col("score"), "score"))
 
 
-def _tokens(spark, d):
-    docs = entries(spark, d).select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
+def _tokens(spark, d, of=entries):
+    docs = of(spark, d).select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.gate_tokens(F.col("text")).alias("tokens"))
     return docs, items
 
@@ -82,10 +82,10 @@ def recency_scores(spark, d):
     return e.select("ref", F.when(day.isNull(), "neutral-default").otherwise("text-date").alias("source"), _mil(J.recency(day, F.lit(TODAY).cast("date")), "recency"))
 
 
-def _scored(spark, d):
+def _scored(spark, d, of=whole_entries):
     """Entries of ten profiles with score, pin and relevance (the share of the profile's query that an entry holds)."""
-    a = A.audit(entries(spark, d), F.lit(TODAY).cast("date"))
-    rel = R.lexical_relevance(*_tokens(spark, d)).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
+    a = A.audit(of(spark, d), F.lit(TODAY).cast("date"))
+    rel = R.lexical_relevance(*_tokens(spark, d, of)).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
     s = a.withColumn("grp", (F.col("ref") % 10).cast("long")).join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
     sc = F.col("scores")
     pin = G.pin_class(F.col("text"))
@@ -98,7 +98,7 @@ def projection_scores(spark, d):
 
 
 def reserve_fill(spark, d):
-    s = _scored(spark, d).where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
+    s = _scored(spark, d, entries).where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
     return J.reserve(s.withColumn("room", F.lit(150)), least=0.05).select("grp", "ref", "used")
 
 

@@ -12,12 +12,12 @@ from ..operators import harness as H
 from ..operators import health as L
 from ..operators import rewrite as W
 from ..streaming import twins
-from .bind import TODAY, entries, table
+from .bind import TODAY, entries, table, whole_entries
 from .text_queries import _KEYS
 
 
 def _recommended(spark, d):
-    a = stored(A.audit(entries(spark, d), F.lit(TODAY).cast("date")), "audit")
+    a = stored(A.audit(whole_entries(spark, d), F.lit(TODAY).cast("date")), "audit")
     merged = A.duplicates(a, DUP_NEAR).select(F.col("loser").alias("ref"))
     c = A.contradictions(a)
     return A.recommend(a, merged, c.select(F.col("a").alias("ref")).union(c.select("b")))

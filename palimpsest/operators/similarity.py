@@ -37,6 +37,22 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> DataFr
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("other").alias("best_id"), "common", (F.col("n") + F.col("m") - F.col("common")).alias("either"), "score")
 
 
+def repeats(left: DataFrame, right: DataFrame, jaccard: float, share: float) -> DataFrame:
+    """id of the left sets that are near a right set by Jaccard, or of whose tokens one right set holds at least share.
+
+    Either needs the lesser part of the left tokens in common, so only a prefix of the left set, rarest on the right first, is looked up."""
+    least = min(jaccard, share)
+    frequency = right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    # a left token that no right set has still takes a place in the prefix
+    lone = left.select(F.explode("tokens").alias("token")).distinct().join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    head = _prefix(left, lone, least)
+    held = right.select(F.col("id").alias("other"), F.explode("tokens").alias("token"))
+    pairs = head.join(held, "token").select("id", "other").distinct()
+    full = pairs.join(left.select("id", F.col("tokens").alias("x")), "id").join(right.select(F.col("id").alias("other"), F.col("tokens").alias("y")), "other")
+    common, n = F.size(F.array_intersect("x", "y")), F.size("x")
+    return full.where((common / (n + F.size("y") - common) >= jaccard) | (common >= share * n)).select("id").distinct()
+
+
 def containment(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each left set's best share of tokens held by one right set."""
     l = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))

@@ -96,13 +96,13 @@ def grounding(spark, d):
 
 
 def adjudication(spark, d):
-    known = whole_entries(spark, d).where("ref < 50").select(F.col("ref").alias("id"), "text")
+    known = whole_entries(spark, d).select(F.col("ref").alias("id"), "text")
     return E.adjudicate(_facts(spark, d), known).select("id", "verdict", "category")
 
 
 def verification(spark, d):
     """Adjudicated facts with a verdict table that keeps two thirds; a fact without a verdict is rejected."""
-    known = whole_entries(spark, d).where("ref < 50").select(F.col("ref").alias("id"), "text")
+    known = whole_entries(spark, d).select(F.col("ref").alias("id"), "text")
     a = E.adjudicate(_facts(spark, d), known)
     verdicts = a.where("id % 5 <> 0").select("id", (F.col("id") % 3 != 0).alias("keep"))
     return E.verified(a, verdicts).groupBy("verdict", "category").agg(F.count("*").alias("facts"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from palimpsest.operators import similarity
 from palimpsest.plans.bind import HEADS, TAILS
 from palimpsest.plans.catalog import QUERIES
 
@@ -38,3 +39,21 @@ def test_long_copies_are_merged(spark, long_documents):
     docs, d = long_documents
     got = {r.ref: r for r in QUERIES["rewrite_decisions"](spark, d).collect()}
     assert (got[0].action, got[0].rewrite, got[0].char_delta) == ("merge", "merge_absorb", -len(docs[0])) and got[64].action != "merge"
+
+
+def test_facts_that_repeat_any_entry_are_duplicates(spark, tmp_path):
+    """Entry 64 is the only one that the fact of conversation 3, turn 5 repeats."""
+    said = prose(7, 12)
+    d = put(spark, tmp_path, documents=([(1, prose(1)), (64, said)], "doc_id long, text string"), conversations=([(3, 5, "user", said), (11, 5, "user", prose(9, 12))], "conv_id long, turn long, role string, text string"))
+    assert {r.id: r.category == "near_duplicate" for r in QUERIES["adjudication"](spark, d).collect()} == {3005: True, 11005: False}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeats_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    sets = lambda n, most: [(i, r.sample("abcdefghijklmno", r.randint(0, most))) for i in range(n)]
+    left, right = sets(60, 9), sets(25, 12)
+    near = lambda x, y: len(x & y) >= 0.6 * len(x | y) or len(x & y) >= 0.7 * len(x)
+    want = {i for i, x in left if x and any(near(set(x), set(y)) for _, y in right if y)}
+    schema = "id long, tokens array<string>"
+    assert {x.id for x in similarity.repeats(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.6, 0.7).collect()} == want

@@ -58,11 +58,12 @@ def lane_ranking(spark, d):
     return M.rank_lanes(lanes).select("query_id", "lane", "rank", F.round(F.col("score") * 1e6).cast("long").alias("score"))
 
 
-def _messages(spark, d):
-    """The driver's conversations with phrases that the rules look for, by turn."""
+def _messages(spark, d, whole=False):
+    """The driver's conversations with phrases that the rules look for, by turn. The SQL holds the queries that have some to a turn's start."""
+    text = F.col("text") if whole else F.left("text", F.lit(200))
     c = table(spark, d, "conversations")
     said = F.array(*[F.lit(x) for x in SAID])
-    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), "role", F.concat(F.get(said, ((F.col("conv_id") + F.col("turn")) % len(SAID)).cast("int")), F.left("text", F.lit(200))).alias("content"))
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ord"), "role", F.concat(F.get(said, ((F.col("conv_id") + F.col("turn")) % len(SAID)).cast("int")), text).alias("content"))
 
 
 SAID = ("", "I prefer dark mode. ", "[NOTE: ", "My coworker likes blue. ", "For now use tabs. ", "What if we moved? ", "ok ", "Remember the well-known rule. ")
@@ -80,10 +81,10 @@ def transcript(spark, d):
     return E.transcripts(E.clean_user_turns(_messages(spark, d)), 300).select("session_id", "chunk", F.sha2("transcript", 256).alias("transcript_sha256"), F.length("transcript").alias("chars"))
 
 
-def _facts(spark, d):
-    """A candidate fact per conversation turn: its first words in a phrase; the source is the turn or, each seventh, another text."""
-    m = _messages(spark, d)
-    fact = F.concat(F.get(F.array(*[F.lit(x) for x in FACTS]), (F.col("ord") % len(FACTS)).cast("int")), F.left("content", F.lit(60)))
+def _facts(spark, d, whole=False):
+    """A candidate fact per conversation turn: its first words, or all of them, in a phrase; the source is the turn or, each seventh, another text."""
+    m = _messages(spark, d, whole)
+    fact = F.concat(F.get(F.array(*[F.lit(x) for x in FACTS]), (F.col("ord") % len(FACTS)).cast("int")), F.col("content") if whole else F.left("content", F.lit(60)))
     return m.where("role = 'user'").select((F.col("session_id") * 1000 + F.col("ord")).alias("id"), "session_id", "ord", fact.alias("fact"), F.when(F.col("session_id") % 7 == 0, F.lit("Nothing of the kind was said")).otherwise(F.col("content")).alias("source"))
 
 
@@ -97,13 +98,13 @@ def grounding(spark, d):
 
 def adjudication(spark, d):
     known = whole_entries(spark, d).select(F.col("ref").alias("id"), "text")
-    return E.adjudicate(_facts(spark, d), known).select("id", "verdict", "category")
+    return E.adjudicate(_facts(spark, d, True), known).select("id", "verdict", "category")
 
 
 def verification(spark, d):
     """Adjudicated facts with a verdict table that keeps two thirds; a fact without a verdict is rejected."""
     known = whole_entries(spark, d).select(F.col("ref").alias("id"), "text")
-    a = E.adjudicate(_facts(spark, d), known)
+    a = E.adjudicate(_facts(spark, d, True), known)
     verdicts = a.where("id % 5 <> 0").select("id", (F.col("id") % 3 != 0).alias("keep"))
     return E.verified(a, verdicts).groupBy("verdict", "category").agg(F.count("*").alias("facts"))
 

@@ -57,3 +57,11 @@ def test_repeats_equal_brute_force(spark, seed):
     want = {i for i, x in left if x and any(near(set(x), set(y)) for _, y in right if y)}
     schema = "id long, tokens array<string>"
     assert {x.id for x in similarity.repeats(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.6, 0.7).collect()} == want
+
+
+def test_facts_see_whole_turns(spark, tmp_path):
+    """What makes the turn a passing one stands after its 200th character."""
+    said = prose(8, 40)
+    assert len(said) > 200
+    d = put(spark, tmp_path, documents=([(1, prose(1))], "doc_id long, text string"), conversations=([(3, 5, "user", said + " for now"), (11, 5, "user", said)], "conv_id long, turn long, role string, text string"))
+    assert {r.id: r.category == "scoped_or_temporary" for r in QUERIES["adjudication"](spark, d).collect()} == {3005: True, 11005: False}

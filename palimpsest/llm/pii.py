@@ -5,12 +5,12 @@ checked: an ip's parts are at most 255, a card has 12 to 19 digits and passes Lu
 digits. A match that fails is dropped without another try. Offsets count code points, ends are exclusive.
 
 Further spans come from what the corpus says of each protected entity (a distinct base match). A term
-(a word of the window around a match, A-Z lower-cased) reveals an entity when its pointwise mutual information
+(a word of a document that holds the entity, wherever it stands, A-Z lower-cased) reveals an entity when its pointwise mutual information
 with it reaches disclosure times the entity's information content: log2(N c(e,t) / (c(e) c(t))) >= disclosure * log2(N / c(e)),
-where c counts documents, all N of them. Such a term is a span of kind term in each document that holds the entity, and
+where c counts documents, all N of them, and whole ones in each count. Such a term is a span of kind term in each document that holds the entity, and
 sanitise() removes it, while base matches are generalised to their kind. A term must go with the entity in at
 least MIN_TOGETHER documents, so that a rare word near a lone address isn't one. Terms are counted with a hash aggregate over every word of
-every document, kept to the candidates by a join on their hash.
+every document.
 
 A null or empty text has no span. Rows that repeat count as documents each. Extra columns pass through; an empty table gives an empty result.
 """
@@ -31,7 +31,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
-WINDOW, MIN_TOGETHER, DISCLOSURE = 4, 3, 0.9
+MIN_TOGETHER, DISCLOSURE = 3, 0.9
 
 
 def found(c: Column, pattern: str) -> Column:
@@ -92,6 +92,12 @@ def _core(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
+def _terms(text: Column) -> Column:
+    """Hashes of a text's distinct words."""
+    words = F.filter(F.transform(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), _core), lambda w: F.length(w) > 0)
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def term_spans(texts: DataFrame) -> DataFrame:
     """t1, row2, hits: the places of the terms in each text, without those that touch a base span. Offsets are running sums over the text's pieces."""
     pieces = texts.select("t1", "row2", "spans", "terms", F.posexplode(F.regexp_extract_all("body", F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), F.lit(0))).alias("pos", "piece"))
@@ -104,35 +110,32 @@ def term_spans(texts: DataFrame) -> DataFrame:
     return clear.groupBy("t1", "row2").agg(F.collect_list("x").alias("hits"))
 
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, text: str, window: int, min_together: int, disclosure: float) -> DataFrame:
+def revealing_terms(docs: DataFrame, spans: DataFrame, text: str, min_together: int, disclosure: float) -> DataFrame:
     """(entity, term) hashes. spans: row, body, spans for the documents that hold any base span."""
-    words = spans.select("row", F.explode("spans").alias("s"), "body").select("row", F.col("s.value").alias("value"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), "body")
-    before = F.filter(F.transform(F.split(F.right(F.substr("body", F.lit(1), F.col("start")), F.lit(64 * window)), r"[\x20\x09-\x0D]+"), lambda w: _core(ascii_lower(w))), lambda w: F.length(w) > 0)
-    after = F.filter(F.transform(F.split(F.substr("body", F.col("end") + 1, F.lit(64 * window)), r"[\x20\x09-\x0D]+"), lambda w: _core(ascii_lower(w))), lambda w: F.length(w) > 0)
-    near = F.concat(F.reverse(F.slice(F.reverse(before), 1, window)), F.slice(after, 1, window))
-    pairs = words.select("row", F.xxhash64(F.lower("value")).alias("entity"), F.explode(near).alias("term")).select("row", "entity", F.xxhash64("term").alias("term")).distinct()
+    named = spans.select("row", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(F.lower(x["value"]))))).alias("entity"))
+    # a term can't go with an entity in more documents than hold the entity
+    holding = stash(named.groupBy("entity").agg(F.count("*").alias("holds")).where(F.col("holds") >= min_together), "pii-holding")
+    words = spans.select("row", F.explode(_terms(F.col("body"))).alias("term"))
+    pairs = named.join(holding.select("entity"), "entity", "left_semi").join(words, "row")
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_together)
-    holding = words.select("row", F.xxhash64(F.lower("value")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("holds"))
     rare = stash(together.join(holding, "entity"), "pii-together")
     if rare.isEmpty():
         return rare.select("entity", "term")
-    wanted = rare.select("term").distinct()
-    terms = docs.select(F.explode(F.array_distinct(F.transform(F.split(ascii_lower(text_of(text)), r"[\x20\x09-\x0D]+"), _core))).alias("w")).select(F.xxhash64("w").alias("term"))
-    often = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("times"))
+    often = docs.select(F.explode(_terms(text_of(text))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
     total = docs.agg(F.count("*").alias("n"))
     n = F.lit(float(total.first()[0]))
     told = rare.join(often, "term").where(F.log2(n * F.col("both") / (F.col("holds") * F.col("times"))) >= disclosure * F.log2(n / F.col("holds")))
     return told.where(F.col("holds") < n).select("entity", "term")
 
 
-def find_pii(docs: DataFrame, text: str = "text", window: int = WINDOW, min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
     """docs with base_spans and spans, arrays of (start, rank, kind, end, value); underscored where docs has such names."""
     names = docs.columns
     base, every, row = free_name(names, "base_spans"), free_name(names, "spans"), free_name(names, "row")
     t1, t2 = hash128(text_of(text))
     held = docs.select(t1.alias("row"), t2.alias("row2"), text_of(text).alias("body")).withColumn("spans", base_spans(F.col("body"))).where(F.size("spans") > 0)
     held = stash(held.withColumn("turn", F.monotonically_increasing_id()).select(F.xxhash64("row", "turn").alias("row"), F.col("row").alias("t1"), "row2", "body", "spans"), "pii-spans")
-    reveal = revealing_terms(docs, held, text, window, min_together, disclosure)
+    reveal = revealing_terms(docs, held, text, min_together, disclosure)
     entities = held.select("t1", "row2", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(F.lower(x["value"]))))).alias("entity"))
     by_text = entities.join(reveal, "entity").groupBy("t1", "row2").agg(F.collect_set("term").alias("terms"))
     once = held.dropDuplicates(["t1", "row2"])

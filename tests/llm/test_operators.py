@@ -220,6 +220,15 @@ def test_pii_terms(spark):
     assert out[0].clean == "the  writes  [email] (0) often" and out[12].spans == [] and out[12].clean == rows[7][1]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """A name at the top gives away an address at the bottom, and one behind 300 characters of an address; counts are of whole documents."""
+    body = " ".join(["filler"] * 40)
+    rows = [(i, f"Quagga {body} {i} ann@x.org", "") for i in range(4)] + [(10 + i, f"bob@x.org {'y' * 300} Okapi", "") for i in range(3)] + [(20 + i, f"filler {'y' * 300}", "") for i in range(60)] + [(90 + i, f"Tapir cy@x.org {i}", "") for i in range(2)]
+    out = {x.doc_id: [(s.kind, s.value) for s in x.spans] for x in pii.find_pii(docs(spark, rows)).collect()}
+    assert out[0] == [("term", "quagga"), ("email", "ann@x.org")] and out[10] == [("email", "bob@x.org"), ("term", "okapi")]
+    assert out[20] == [] and out[90] == [("email", "cy@x.org")]
+
+
 def test_pivot_keeps_words_and_whole_copies():
     r = random.Random(3)
     for _ in range(200):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import stash, table, text_of
 from palimpsest.llm.line_dedup import line_dedup
 from palimpsest.llm.mixing import mix
-from palimpsest.llm.ngram_join import ngram_join
+from palimpsest.llm.ngram_join import classes, text_key
 from palimpsest.llm.quality import score_quality
 from palimpsest.llm.sentencepiece_codec import encode
 
@@ -30,10 +30,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Rows that share an id stand or fall together; rows of a null id stay."""
-    found = ngram_join(docs)
-    lost = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row stays, that of the smallest id, then of the smallest hash of its text; null ids come last. Texts without words stay."""
+    rows = stash(classes(docs).where(F.col("component").isNotNull()).groupBy("component", "doc_id", "key").agg(F.count("*").alias("times")), "near-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f"))
+    told = rows.join(first, "component").withColumn("stays", (F.col("key") == F.col("f.key")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id")))
+    told = stash(told.where(~F.col("stays") | (F.col("times") > 1)).select(F.col("doc_id").alias("near_id"), F.col("key").alias("near_key"), "stays"), "near-told")
+    at = text_key("text").eqNullSafe(F.col("near_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("near_id"))
+    kept = docs.join(told, at, "left_anti")
+    again = told.where("stays")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    # rows of one id and text: any one of them
+    once = docs.join(again, at).dropDuplicates(["near_id", "near_key"])
+    return kept.select(*docs.columns).union(once.select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

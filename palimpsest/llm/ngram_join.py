@@ -27,7 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, ship, shared_dir, stash, text_of
@@ -111,7 +111,7 @@ def _sums(values: np.ndarray) -> tuple[int, int]:
 
 
 def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> DataFrame:
-    """docs (doc_id, text). Two kinds of row: per document doc_id, n, set (its set's number) and grp; per run of documents and
+    """docs (doc_id, text, key). Two kinds of row: per document doc_id, key, n, set (its set's number) and grp; per run of documents and
     hash range the posted shingles with their groups and positions, a group posted once a run."""
     spark, ranges = docs.sparkSession, _ranges(docs)
     sent = spark.sparkContext.broadcast((hashes, times))
@@ -141,7 +141,7 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                         place.append(np.arange(len(head)))
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(group, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
+                    [batch.column(0).slice(start, end - start).cast(pa.int64()), batch.column(2).slice(start, end - start), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(group, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
                     names=names,
                 )
                 if not tokens:
@@ -154,13 +154,13 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                 full = np.flatnonzero(np.diff(at))
                 k, cut = len(full), [slice(at[r], at[r + 1]) for r in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64())] * 4 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
+                    [pa.nulls(k, pa.int64())] * 5 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
                     names=names,
                 )
         release()
 
-    names = ["doc_id", "n", "set", "grp", "range", "tokens", "owners", "places"]
-    return stash(docs.mapInArrow(run, "doc_id long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
+    names = ["doc_id", "key", "n", "set", "grp", "range", "tokens", "owners", "places"]
+    return stash(docs.mapInArrow(run, "doc_id long, key long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
     if known is not None:
         wanted = wanted.join(known.select("set"), "set", "left_anti")
-    wanted = stash(wanted.join(units.select("set", "one_id"), "set").select(F.col("one_id").alias("doc_id"), "set"), "wanted")
+    wanted = stash(wanted.join(units.select("set", "at"), "set").select("at", "set"), "wanted")
     if wanted.count() <= SENT:  # two longs a row
         wanted = F.broadcast(wanted)
 
@@ -221,7 +221,7 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([len(s) for _, s in mine], pa.int64()), pa.array([pack(s >> _LOW) for _, s in mine], pa.binary())], names=["set", "n", "values"])
         release()
 
-    whole = docs.join(wanted, "doc_id").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
+    whole = docs.withColumn("at", F.coalesce("doc_id", "key")).join(wanted, "at").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
     whole = stash(whole.dropDuplicates(["set"]), "sets", TEXTS)
     whole = whole if known is None else known.unionByName(whole)
 
@@ -274,20 +274,30 @@ def _rest(sided: DataFrame, first: DataFrame, tried: DataFrame, near: int) -> Da
     return pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
 
 
+def text_key(text: str) -> Column:
+    """By what rows of one id, or of none, are told apart."""
+    return F.xxhash64(text_of(text))
+
+
 def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: int = NEAR, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id and links (of its text with other texts that were verified) for each row of docs."""
+    out = classes(docs, text, doc_id, near, hot)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.when(F.col("set").isNull(), F.col("doc_id"))).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: int = NEAR, hot: int = HOT) -> DataFrame:
+    """doc_id, key, n, set, component (a set's number, null for an empty set), component_id and links for each row of docs."""
     shared_dir(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), text_key(text).alias("key"))
     hashes, times = frequent_shingles(docs.select("text"), WIDTH, hot, FREQUENT)
     posted = post(docs, near, hashes, times)
-    rows = posted.where(F.col("range").isNull()).select("doc_id", "n", "set", "grp")
-    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "grp", "n").agg(F.min("doc_id").alias("one_id")), "units")
-    named = units.where(F.col("one_id").isNotNull())
-    groups = named.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos"))
-    lists = stash(shared_postings(posted).unionByName(groups).join(named.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists", TEXTS)
+    rows = posted.where(F.col("range").isNull()).select("doc_id", "key", "n", "set", "grp")
+    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "grp", "n").agg(F.min("doc_id").alias("one_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("at")), "units")
+    groups = units.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos"))
+    lists = stash(shared_postings(posted).unionByName(groups).join(units.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists", TEXTS)
     first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
     star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
-    tried, whole = verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), named, docs)
+    tried, whole = verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), units, docs)
     for turn in range(ROUNDS + 1):
         links = tried.where(_linked(near)).select("a", "b")
         held = stash(components(links), "components")
@@ -302,7 +312,7 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near
         pairs = _star(sided, turn, near) if turn < ROUNDS else _rest(sided, first, tried, near)
         seen = tried.select("a", "b").union(tried.select("b", "a"))
         pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        more, whole = verify(pairs, named, docs, whole)
+        more, whole = verify(pairs, units, docs, whole)
         tried = tried.unionByName(more)
         lists = lists.drop("component")
     links = tried.where(_linked(near)).select("a", "b")
@@ -311,9 +321,8 @@ def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near
     label = least.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     final = label.groupBy("component").agg(F.min("one_id").alias("component_id"))
     degree = links.select(F.col("a").alias("s")).union(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("links"))
-    told = label.join(final, "component").join(degree, F.col("set") == F.col("s"), "left").select("set", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.join(told, "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.col("component_id"), F.when(F.col("set").isNull(), F.col("doc_id"))).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    told = label.join(final, "component").join(degree, F.col("set") == F.col("s"), "left").select("set", "component", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(told, "set", "left").select("doc_id", "key", "n", "set", "component", "component_id", "links")
 
 
 ship(__name__)

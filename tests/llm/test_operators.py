@@ -167,6 +167,21 @@ def test_ngram_join_of_nothing_and_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("7", "7"), ("None", "7"), ("None", "None")]
 
 
+def test_null_and_repeated_ids_are_verified_and_one_row_stays(spark):
+    """Texts of a null id link others; of each group one row stays, whatever its ids."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words[:n]) for n in (32, 40, 50))  # 28, 36 and 46 shingles: a and c are near b only
+    other, alone = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(1, a, "s"), (None, b, "s"), (2, c, "s"), (3, other, "s"), (3, other, "s"), (3, other + " x", "s"), (4, alone, "s"), (4, other + " z", "s"), (None, "p q r s t u", "s"), (None, "p q r s t u", "s"), (None, "", "s"), (None, "", "s")]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(docs(spark, rows)).collect())
+    assert got == Counter([(1, 28, 1), (None, 36, 1), (2, 46, 1), (3, 36, 3), (3, 36, 3), (3, 37, 3), (4, 36, 4), (4, 37, 3), (None, 2, None), (None, 2, None), (None, 0, None), (None, 0, None)])
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs(spark, rows), "").collect())
+    assert left.pop((3, other), 0) + left.pop((3, other + " x"), 0) == 1
+    assert left == Counter([(1, a), (4, alone), (None, "p q r s t u"), (None, ""), (None, "")])
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]

@@ -8,18 +8,21 @@ expanded to their members, and members are verified on their whole sets.
 
 As a class needs only enough links to hold together, the pairs are taken in turns. First each posting list's
 smallest member is paired with the others (as many pairs as postings). Lists whose members are then all in one component are done. In
-the others a few members of the largest component are tried in the same way, one a turn. In what is left then,
+lists with many members outside their largest component, LEADS members of that component are tried in the same way, turn after turn (each
+turn makes LEADS pairs for such a member at most), until few are left outside. In what is left then,
 members outside the list's largest component are paired with all members of other components, except where the
-triangle inequality of the Jaccard distance, by way of the list's first member, rules a link out. No link between components is lost, and no list
-of n members that are alike makes more than n pairs.
+triangle inequality of the Jaccard distance, by way of any of the list's leads so far, rules a link out. No link between components is lost, and no list
+of n members that are alike makes more than a few times n pairs.
 
-Common shingles: every shingle is counted, as sorted runs of differences that are merged by hash range; those in more than HOT documents
+Common shingles: every shingle is counted. A task adds up what it has read before it sends (value, count) runs to be merged by hash range, so
+a shingle of every document is a row for each RUN different ones. Those in more than HOT documents
 are sent to all tasks, the most frequent FREQUENT of them if there are more (the order is then less sharp, the result the same).
 
 A set holds the text's distinct shingles of WIDTH words (A-Z lower-cased, ASCII white space between); a text of fewer words is one shingle; without
 words or text it is empty and links with nothing. Rows that repeat are in one component. Rows of a null id get their text's component where a row with an id
 has the same text, or links; their component is null if no id is in it. An empty table gives an empty result. Extra columns are left alone.
-Sets are told apart by 64-bit sums of hashes and shingles by 48 bits within a pair.
+Sets are told apart by 128 bits of sums of hashes (two that agree in the 64 bits used as a set's number are numbered anew) and shingles by 48 bits within a pair.
+Prefix groups whose 40-bit number agrees are listed under the shingles of either, which makes candidates and loses none.
 """
 
 from __future__ import annotations
@@ -32,16 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import free_name, ship, shared_dir, stash, text_of
 from .components import components
-from .shingles import mix, pack, release, steps, unpack
+from .shingles import add_up, mix, pack, pack_counts, release, steps, unpack, unpack_counts
 
 WIDTH, NEAR = 5, 75
-#: Turns in which lists of several components try another member of the largest, before what is left is looked at pair by pair.
-ROUNDS = 1
+#: Members outside its largest component that a list may have when what is left is looked at pair by pair; leads of a turn; turns at most.
+FEW, LEADS, TURNS = 4, 3, 12
 #: Posted shingles before a shared one by which a pair is known to have been met.
 LOOK_BACK = 8
 #: Rows of text, and of pairs of whole sets, that go to a Python worker at once.
 TEXTS, SETS = 1000, 250
 HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 2 << 20, 1 << 20
+#: Different shingles that a task holds before it sends their counts.
+RUN = 1 << 19
 _LOW, _A, _B = np.uint64(16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -63,24 +68,33 @@ def frequent_shingles(texts: DataFrame, width: int, hot: int, most: int) -> tupl
     def runs(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        values, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def told():
+            at = _bounds(values, ranges)
+            full = np.flatnonzero(np.diff(at))
+            cut = [slice(at[r], at[r + 1]) for r in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pack(values[c]) for c in cut], pa.binary()), pa.array([pack_counts(times[c]) for c in cut], pa.binary())], names=["range", "run", "times"])
+
         for batch in batches:
             for _, _, sets in steps(batch.column(0), STEP):
-                values = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)])) >> _LOW
-                at = _bounds(values, ranges)
-                full = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([pack(values[at[r] : at[r + 1]]) for r in full], pa.binary())], names=["range", "run"])
+                new, k = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> _LOW, return_counts=True)
+                values, times = add_up(np.concatenate([values, new]), np.concatenate([times, k]))
+                if len(values) >= RUN:
+                    yield told()
+                    values, times = values[:0], times[:0]
+        if len(values):
+            yield told()
         release()
 
     def merge(part):
         import pyarrow as pa
 
-        values = np.sort(np.concatenate([unpack(x.as_py()) for x in part["run"]]))
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        times = np.diff(np.append(first, len(values)))
+        values, times = add_up(np.concatenate([unpack(x.as_py()) for x in part["run"]]), np.concatenate([unpack_counts(x.as_py()) for x in part["times"]]).astype(np.int64))
         keep = times > hot
-        return pa.table({"hash": pa.array(values[first[keep]].astype(np.int64)), "times": pa.array(times[keep].astype(np.int64))})
+        return pa.table({"hash": pa.array(values[keep].astype(np.int64)), "times": pa.array(times[keep])})
 
-    counted = stash(texts.mapInArrow(runs, "range long, run binary").groupBy("range").applyInArrow(merge, "hash long, times long"), "hot-shingles", TEXTS)
+    counted = stash(texts.mapInArrow(runs, "range long, run binary, times binary").groupBy("range").applyInArrow(merge, "hash long, times long"), "hot-shingles", TEXTS)
     if counted.count() > most:
         counted = counted.orderBy(F.desc("times"), "hash").limit(most)
     found = counted.toArrow()
@@ -111,8 +125,8 @@ def _sums(values: np.ndarray) -> tuple[int, int]:
 
 
 def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> DataFrame:
-    """docs (doc_id, text, key). Two kinds of row: per document doc_id, key, n, set (its set's number) and grp; per run of documents and
-    hash range the posted shingles with their groups and positions, a group posted once a run."""
+    """docs (doc_id, text, key). Two kinds of row: per document doc_id, key, n, the two sums of its set and grp; per run of documents and
+    hash range the posted shingles with their groups and positions, a prefix posted once a task."""
     spark, ranges = docs.sparkSession, _ranges(docs)
     sent = spark.sparkContext.broadcast((hashes, times))
 
@@ -120,28 +134,32 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
         import pyarrow as pa
 
         hot, often = sent.value
+        seen = set()
         for batch in batches:
             for start, end, sets in steps(batch.column(1), STEP):
-                n, code, group, seen, tokens, owner, place = [], [], [], set(), [], [], []
+                n, ones, twos, group, tokens, owner, place = [], [], [], [], [], [], []
                 for s in sets:
                     n.append(len(s))
                     if not len(s):
-                        code.append(None)
+                        ones.append(None)
+                        twos.append(None)
                         group.append(None)
                         continue
-                    one, _ = _sums(s)
+                    one, two = _sums(s)
                     head = prefix_of(s, near, hot, often)
-                    g = int(mix(np.array([_sums(head)[1] & ((1 << 64) - 1)], np.uint64) + np.uint64(len(s)))[0] >> np.uint64(24))
-                    code.append(one)
+                    first, last = _sums(head)
+                    g = int(mix(np.array([last & ((1 << 64) - 1)], np.uint64) + np.uint64(len(s)))[0] >> np.uint64(24))
+                    ones.append(one)
+                    twos.append(two)
                     group.append(g)
-                    if g not in seen:
-                        seen.add(g)
+                    if (g, first) not in seen:
+                        seen.add((g, first))
                         tokens.append(head >> _LOW)
                         owner.append(np.full(len(head), g, np.int64))
                         place.append(np.arange(len(head)))
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start).cast(pa.int64()), batch.column(2).slice(start, end - start), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array(group, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
+                    [batch.column(0).slice(start, end - start).cast(pa.int64()), batch.column(2).slice(start, end - start), pa.array(n, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(group, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
                     names=names,
                 )
                 if not tokens:
@@ -154,13 +172,13 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                 full = np.flatnonzero(np.diff(at))
                 k, cut = len(full), [slice(at[r], at[r + 1]) for r in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64())] * 5 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
+                    [pa.nulls(k, pa.int64())] * 6 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
                     names=names,
                 )
         release()
 
-    names = ["doc_id", "key", "n", "set", "grp", "range", "tokens", "owners", "places"]
-    return stash(docs.mapInArrow(run, "doc_id long, key long, n long, set long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
+    names = ["doc_id", "key", "n", "one", "two", "grp", "range", "tokens", "owners", "places"]
+    return stash(docs.mapInArrow(run, "doc_id long, key long, n long, one long, two long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -207,21 +225,21 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
     if known is not None:
         wanted = wanted.join(known.select("set"), "set", "left_anti")
-    wanted = stash(wanted.join(units.select("set", "at"), "set").select("at", "set"), "wanted")
-    if wanted.count() <= SENT:  # two longs a row
+    wanted = stash(wanted.join(units.select("set", "at", "one", "two"), "set").select("at", "set", "one", "two"), "wanted")
+    if wanted.count() <= SENT:  # four longs a row
         wanted = F.broadcast(wanted)
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for start, end, found in steps(batch.column(1), STEP):
-                code = batch.column(0).slice(start, end - start).to_pylist()
-                mine = [(c, s) for c, s in zip(code, found, strict=True) if len(s) and _sums(s)[0] == c]
+            for start, end, found in steps(batch.column(3), STEP):
+                code = zip(*[batch.column(i).slice(start, end - start).to_pylist() for i in range(3)], strict=True)
+                mine = [(c[0], s) for c, s in zip(code, found, strict=True) if len(s) and _sums(s) == c[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([len(s) for _, s in mine], pa.int64()), pa.array([pack(s >> _LOW) for _, s in mine], pa.binary())], names=["set", "n", "values"])
         release()
 
-    whole = docs.withColumn("at", F.coalesce("doc_id", "key")).join(wanted, "at").select("set", "text").mapInArrow(sets, "set long, n long, values binary")
+    whole = docs.withColumn("at", F.coalesce("doc_id", "key")).join(wanted, "at").select("set", "one", "two", "text").mapInArrow(sets, "set long, n long, values binary")
     whole = stash(whole.dropDuplicates(["set"]), "sets", TEXTS)
     whole = whole if known is None else known.unionByName(whole)
 
@@ -249,26 +267,33 @@ def _linked(near: int):
     return 100 * F.col("both") >= near * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def _star(sided: DataFrame, turn: int, near: int) -> DataFrame:
-    """One member of each list's largest component, another each turn, with the members of other components."""
-    lead = sided.where("not minor").groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "set").alias("h"), "set", "n", "pos")).alias("f")).select("token", "f.*")
-    met = sided.where("minor").alias("x").join(lead.alias("f"), "token").where(_likely("x", "f", near))
+def _leads(sided: DataFrame, turn: int) -> DataFrame:
+    """token, set, n, pos of LEADS members of the largest component of each list that has more than FEW outside, others each turn."""
+    least = F.struct(F.xxhash64(F.lit(turn), "set").alias("h"), "set", "n", "pos")
+    busy = sided.where("busy and not minor").groupBy("token", F.pmod(F.xxhash64(F.lit(turn), F.lit(5), "set"), F.lit(LEADS)).alias("j")).agg(F.min(least).alias("f"))
+    return busy.select("token", "f.set", "f.n", "f.pos")
+
+
+def _star(sided: DataFrame, leads: DataFrame, near: int) -> DataFrame:
+    """Leads of the lists with the lists' members of other components."""
+    met = sided.where("busy and minor").alias("x").join(leads.alias("f"), "token").where(_likely("x", "f", near))
     return met.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct()
 
 
-def _rest(sided: DataFrame, first: DataFrame, tried: DataFrame, near: int) -> DataFrame:
+def _rest(sided: DataFrame, leads: DataFrame, tried: DataFrame, near: int) -> DataFrame:
     """Every pair of a list's members in different components that nothing rules out."""
     far = tried.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-    away = (
-        sided.join(first.select("token", F.col("set").alias("a")), "token")
-        .join(far.withColumnRenamed("b", "set"), ["a", "set"], "left")
-        .withColumn("far", F.when(F.col("a") == F.col("set"), 0.0).otherwise(F.col("far")))
-    )
+    either = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    # as many entries as pairs that were tried, which are linear in the postings
+    known = either.groupBy(F.col("b").alias("set")).agg(F.map_from_entries(F.collect_list(F.struct("a", "far"))).alias("known"))
+    of = leads.groupBy("token").agg(F.array_sort(F.collect_set("set")).alias("leads"))
+    to = F.transform("leads", lambda l: F.when(l == F.col("set"), F.lit(0.0)).otherwise(F.try_element_at("known", l)))
+    away = sided.join(of, "token").join(known, "set", "left").select("token", "set", "n", "pos", "component", "minor", to.alias("far"))
     # where two members also share one of the shingles just before, they were met there already: a pair that shares many comes out about once
     before = F.collect_list("token").over(Window.partitionBy("set").orderBy("pos", "token").rowsBetween(-LOOK_BACK, -1))
-    away = stash(away.withColumn("before", before).select("before", "token", "set", "n", "pos", "component", "far", "minor"), "away")
+    away = stash(away.withColumn("before", before), "away")
     x, y = away.where("minor").alias("x"), away.alias("y")
-    apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - near / 100 + 1e-9, F.lit(True))
+    apart = F.forall(F.zip_with("x.far", "y.far", lambda p, q: F.coalesce(F.abs(p - q) <= 1 - near / 100 + 1e-9, F.lit(True))), lambda ok: ok)
     once = (~F.col("y.minor") | (F.col("x.set") < F.col("y.set"))) & ~F.arrays_overlap("x.before", "y.before")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", near) & apart & once)
     return pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
@@ -291,30 +316,44 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), text_key(text).alias("key"))
     hashes, times = frequent_shingles(docs.select("text"), WIDTH, hot, FREQUENT)
     posted = post(docs, near, hashes, times)
-    rows = posted.where(F.col("range").isNull()).select("doc_id", "key", "n", "set", "grp")
-    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "grp", "n").agg(F.min("doc_id").alias("one_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("at")), "units")
+    rows = posted.where(F.col("range").isNull()).select("doc_id", "key", "n", F.col("one").alias("set"), "one", "two", "grp")
+    twins = stash(rows.groupBy("one").agg(F.min("two").alias("least"), F.max("two").alias("last")).where("least <> last").select("one", F.lit(True).alias("twin")), "twins")
+    if not twins.isEmpty():
+        rows = rows.join(twins, "one", "left").withColumn("set", F.when(F.col("twin"), F.xxhash64("one", "two")).otherwise(F.col("one"))).drop("twin")
+    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "one", "two", "grp", "n").agg(F.min("doc_id").alias("one_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("at")), "units")
     groups = units.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos"))
     lists = stash(shared_postings(posted).unionByName(groups).join(units.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists", TEXTS)
     first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
     star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
     tried, whole = verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), units, docs)
-    for turn in range(ROUNDS + 1):
+    leads, before = first.select("token", "set"), float("inf")
+    for turn in range(TURNS + 1):
         links = tried.where(_linked(near)).select("a", "b")
         held = stash(components(links), "components")
         # the lists that still hold more than one component
         part = lists.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-        mixed = part.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last").select("token")
-        lists = stash(part.join(mixed, "token", "left_semi").select(*lists.columns, "component"), "open-lists")
-        if lists.isEmpty():
+        inside = part.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("major"), F.sum("k").alias("members"), F.count("*").alias("parts"))
+        outside = F.col("members") - F.col("major.k")
+        busy = (outside > FEW) & (F.col("major.k") > 1)
+        mixed = inside.where("parts > 1").select("token", F.col("major.component").alias("major"), busy.alias("busy"), F.when(busy, outside).otherwise(0).alias("outside"))
+        sided = stash(part.join(mixed, "token").select(*lists.columns, "component", "busy", "outside", (F.col("component") != F.col("major")).alias("minor")), "open-lists")
+        lists = sided.select(*lists.columns)
+        # outside stands at each member of a list: its sum is the pairs that the busy lists could make
+        members, pending = sided.agg(F.count("*"), F.coalesce(F.sum("outside"), F.lit(0))).first()
+        if not members:
             break
-        sizes = lists.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component"))["component"].alias("major"))
-        sided = lists.join(sizes, "token").withColumn("minor", F.col("component") != F.col("major"))
-        pairs = _star(sided, turn, near) if turn < ROUNDS else _rest(sided, first, tried, near)
+        last = turn == TURNS or pending <= FEW * members or pending > 0.9 * before
+        before = pending
+        if not last:
+            more_leads = stash(_leads(sided, turn), "leads")
+            leads = leads.unionByName(more_leads.select("token", "set"))
+        pairs = _rest(sided, leads, tried, near) if last else _star(sided, more_leads, near)
         seen = tried.select("a", "b").union(tried.select("b", "a"))
         pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         more, whole = verify(pairs, units, docs, whole)
         tried = tried.unionByName(more)
-        lists = lists.drop("component")
+        if last:
+            break
     links = tried.where(_linked(near)).select("a", "b")
     held = stash(components(links), "components")
     least = units.groupBy("set").agg(F.min("one_id").alias("one_id"))

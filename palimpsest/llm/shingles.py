@@ -123,6 +123,30 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_counts(values: np.ndarray) -> bytes:
+    """Small unsigned integers in any order as compressed byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def add_up(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, sorted, and the sums of their times."""
+    if not len(values):
+        return values, times
+    order = np.argsort(values, kind="stable")
+    values, times = values[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.add.reduceat(times, first)
+
+
 def release() -> None:
     """Give freed memory back to the system; Python workers are kept and reused after a task."""
     import ctypes

@@ -3,8 +3,9 @@
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased. A key of
 at least min_chars code points that at least min_docs documents hold loses all its lines in every
 document; the other lines stay, unchanged and in order, joined by a line feed. A row of the input is
-a document, so rows that repeat count each. A null or empty text is one empty line. Null ids and any
-further columns pass through. An empty table gives an empty result.
+a document, so rows that repeat count each, and a key counts by how many hold it, so there are no ties. A null or empty text is one empty line;
+a text of any length is read whole. Null ids and any
+further columns pass through, also those named like columns used here. An empty table gives an empty result.
 
 Lines are exploded and hashed to 128 bits; a key counts once per document. The count is a hash
 aggregate with map-side combining, so a line in a third of all documents is a row per task in the
@@ -38,7 +39,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     names = docs.columns
     common = stash(common_keys(docs, text, min_docs, min_chars), "common-lines")
     t1, t2 = hash128(text_of(text))
-    a, b, d = (free_name(names, x) for x in ("t1", "t2", "dropped"))
+    lost_id, a, b, d = (free_name(names, x) for x in ("lost_id", "t1", "t2", "dropped"))
     lines = docs.select(F.col(doc_id).alias("id"), t1.alias("t1"), t2.alias("t2"), F.posexplode(F.transform(F.split(text_of(text), "\n"), line_key)).alias("pos", "key")).where(F.length("key") >= max(min_chars, 1))
     k1, k2 = hash128(F.col("key"))
     lost = (
@@ -46,11 +47,11 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
         .join(common, ["k1", "k2"], "left_semi")
         .groupBy("id", "t1", "t2")
         .agg(F.sort_array(F.collect_set("pos")).alias(d))
-        .select(F.col("id").alias("lost_id"), F.col("t1").alias(a), F.col("t2").alias(b), d)
+        .select(F.col("id").alias(lost_id), F.col("t1").alias(a), F.col("t2").alias(b), d)
     )
     n_lines, n_dropped = free_name(names, "n_lines"), free_name(names, "n_dropped")
     row = docs.withColumns({n_lines: F.size(F.split(text_of(text), "\n")).cast("long")})
-    out = row.join(lost, (F.xxhash64(F.col(doc_id), t1) == F.col("lost_id")) & (t1 == F.col(a)) & (t2 == F.col(b)), "left")
+    out = row.join(lost, (F.xxhash64(F.col(doc_id), t1) == F.col(lost_id)) & (t1 == F.col(a)) & (t2 == F.col(b)), "left")
     split = F.split(text_of(text), "\n")
     ends = F.concat(F.array(F.lit(-1)), F.col(d), F.array(F.size(split)))
     kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), lambda i: F.slice(split, F.get(ends, i - 1) + 2, F.get(ends, i) - F.get(ends, i - 1) - 1)))

@@ -11,8 +11,8 @@ those meet again in a reduction tree, FAN chunks at a time, until one per source
 rounded by a coin of its own.
 
 Coins are hashes of (seed, doc_id, text), so reruns agree on any cluster. Rows that repeat whole take one decision
-together. A null text or one without words has size 0 and zero copies. A null source is a source of its own,
-last in order. An empty table gives an empty result. Extra columns pass through.
+together. A null text or one without words has size 0 and zero copies; a text of any length is counted whole. A null source is a source of its own,
+last in order. Equal coins are ordered by the row's hashes. An empty table gives an empty result. Extra columns pass through, also those named like columns used here.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, free_name, hash128, ship, stash, text_of
 
 #: Rows that one task rounds in order, and chunks that meet at a node of the tree.
-CHUNK, FAN = 20_000, 256
+CHUNK, FAN = 1000, 256
 WEIGHTS, SHARE, CAP, SEED = (3, 1, 2), 1.5, 2.0, 17
 
 
@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     A round caps every source above cap times its size and deals the rest again; sources that can
     take a positive share only number as many as the distinct ratio of size to weight, so the level is found exactly by a
     window over sources sorted by that ratio: those with the least size per weight are capped first.
-    The windows run over sources, which are labels of a corpus, not rows.
+    The windows run over sources in one task, a row each: labels of a corpus, not rows. Millions of sources (domains, say) take seconds there; beyond that, group them first.
     """
     from pyspark.sql import Window
 
@@ -123,16 +123,17 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         most = -(-most // FAN)
     decided = decided.unionByName(level.withColumn("extra", (F.col("coin") < F.col("frac")).cast("int")))
     n, total, target, copies, taken = (free_name(names, x) for x in ("size", "source_size", "target", "copies", "taken"))
-    told = decided.select(F.col("k1").alias("d1"), F.col("k2").alias("d2"), F.col("size").alias("d_size"), F.col("source_size").cast("long").alias("d_total"), F.col("target").alias("d_target"), (F.col("base") + F.col("extra")).cast("int").alias("d_copies"))
+    d1, d2, d_size, d_total, d_target, d_copies = (free_name(names, x) for x in ("d1", "d2", "d_size", "d_total", "d_target", "d_copies"))
+    told = decided.select(F.col("k1").alias(d1), F.col("k2").alias(d2), F.col("size").alias(d_size), F.col("source_size").cast("long").alias(d_total), F.col("target").alias(d_target), (F.col("base") + F.col("extra")).cast("int").alias(d_copies))
     key1 = F.xxhash64(F.col(doc_id), t1, F.col(source), F.col(source).isNull())
     key2 = F.xxhash64(F.lit(3), F.col(doc_id), t2, F.col(source), F.col(source).isNull())
-    return docs.join(told, (key1 == F.col("d1")) & (key2 == F.col("d2"))).select(
+    return docs.join(told, (key1 == F.col(d1)) & (key2 == F.col(d2))).select(
         *[F.col(f"`{c}`") for c in names],
-        F.col("d_size").alias(n),
-        F.col("d_total").alias(total),
-        F.col("d_target").alias(target),
-        F.when(F.col("d_size") > 0, F.col("d_copies")).otherwise(0).alias(copies),
-        F.when(F.col("d_size") > 0, F.col("d_copies") * F.col("d_size")).otherwise(F.lit(0)).cast("long").alias(taken),
+        F.col(d_size).alias(n),
+        F.col(d_total).alias(total),
+        F.col(d_target).alias(target),
+        F.when(F.col(d_size) > 0, F.col(d_copies)).otherwise(0).alias(copies),
+        F.when(F.col(d_size) > 0, F.col(d_copies) * F.col(d_size)).otherwise(F.lit(0)).cast("long").alias(taken),
     )
 
 

@@ -12,12 +12,14 @@ sanitise() removes it, while base matches are generalised to their kind. A term
 least MIN_TOGETHER documents, so that a rare word near a lone address isn't one. Terms are counted with a hash aggregate over every word of
 every document.
 
-A null or empty text has no span. Rows that repeat count as documents each. Extra columns pass through; an empty table gives an empty result.
+A null or empty text has no span; texts of any length are read whole. Spans that start together are ordered by kind as listed. Rows that repeat count as
+documents each. Extra columns pass through, also those named like columns used here; an empty table gives an empty result. Entities and terms are told
+apart by 64-bit hashes: a term is taken for another one in a text with a probability of about the text's words times its entities' terms by 2^-64.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, ascii_lower, free_name, hash128, stash, text_of
@@ -32,25 +34,34 @@ PATTERNS = {
 }
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 MIN_TOGETHER, DISCLOSURE = 3, 0.9
+#: Matches of a text whose places are added up together.
+BLOCK = 256
 
 
 def found(c: Column, pattern: str) -> Column:
-    """Array of (start, end, value): the parts between matches and the matches' lengths add up to the places."""
+    """Array of (start, end, value): the parts between matches and the matches' lengths add up to the places.
+
+    The running sum goes by blocks, since an array that grows an element at a time is copied each time: a text of n matches costs n * (BLOCK + n / BLOCK**2)."""
     between, matches = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    step = F.zip_with(
-        F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), m.alias("value"))
-    )
+    step = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), m.alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    grown = F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), (acc["at"] + x["b"] + x["m"]).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(matches) == 0, none).otherwise(grown)
+
+    def placed(part: Column, start: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(start.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["b"] + x["m"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), (acc["at"] + x["b"] + x["m"]).alias("end"), x["value"].alias("value")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(step) - 1) / BLOCK).cast("int")), lambda i: F.slice(step, i * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x["b"] + x["m"]))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    many = F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), placed))
+    return F.when(F.size(matches) == 0, none).when(F.size(matches) <= BLOCK, placed(step, F.lit(0))).otherwise(many)
 
 
 def luhn(digits: Column) -> Column:
@@ -98,16 +109,16 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def term_spans(texts: DataFrame) -> DataFrame:
-    """t1, row2, hits: the places of the terms in each text, without those that touch a base span. Offsets are running sums over the text's pieces."""
-    pieces = texts.select("t1", "row2", "spans", "terms", F.posexplode(F.regexp_extract_all("body", F.lit(r"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"), F.lit(0))).alias("pos", "piece"))
-    at = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("t1", "row2").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    lead, tail = F.length(F.regexp_extract("piece", r"^[^\p{L}\p{N}]*", 0)), F.length(F.regexp_extract("piece", r"[^\p{L}\p{N}]*$", 0))
-    value = _core(ascii_lower(F.col("piece")))
-    placed = pieces.withColumn("at", at).where((F.length(value) > 0) & F.array_contains("terms", F.xxhash64(value)))
-    span = F.struct((F.col("at") + lead).alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), (F.col("at") + F.length("piece") - tail).alias("end"), value.alias("value"))
-    clear = placed.select("t1", "row2", "spans", span.alias("x")).where(~F.exists("spans", lambda s: (s["start"] < F.col("x.end")) & (F.col("x.start") < s["end"])))
-    return clear.groupBy("t1", "row2").agg(F.collect_list("x").alias("hits"))
+def term_spans(body: Column, spans: Column, terms: Column) -> Column:
+    """The places of the terms in a text, without those that touch a base span."""
+    core = lambda x: _core(ascii_lower(x["value"]))
+    hits = F.filter(found(body, WORD), lambda x: F.array_contains(terms, F.xxhash64(core(x))) & (F.length(core(x)) > 0))
+
+    def span(x: Column) -> Column:
+        lead, tail = F.length(F.regexp_extract(x["value"], r"^[^\p{L}\p{N}]*", 0)), F.length(F.regexp_extract(x["value"], r"[^\p{L}\p{N}]*$", 0))
+        return F.struct((x["start"] + lead).alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), (x["end"] - tail).alias("end"), core(x).alias("value"))
+
+    return F.filter(F.transform(hits, span), lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame, text: str, min_together: int, disclosure: float) -> DataFrame:
@@ -131,7 +142,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame, text: str, min_together:
 def find_pii(docs: DataFrame, text: str = "text", min_together: int = MIN_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
     """docs with base_spans and spans, arrays of (start, rank, kind, end, value); underscored where docs has such names."""
     names = docs.columns
-    base, every, row = free_name(names, "base_spans"), free_name(names, "spans"), free_name(names, "row")
+    base, every, m1, m2 = (free_name(names, x) for x in ("base_spans", "spans", "m1", "m2"))
     t1, t2 = hash128(text_of(text))
     held = docs.select(t1.alias("row"), t2.alias("row2"), text_of(text).alias("body")).withColumn("spans", base_spans(F.col("body"))).where(F.size("spans") > 0)
     held = stash(held.withColumn("turn", F.monotonically_increasing_id()).select(F.xxhash64("row", "turn").alias("row"), F.col("row").alias("t1"), "row2", "body", "spans"), "pii-spans")
@@ -139,10 +150,11 @@ def find_pii(docs: DataFrame, text: str = "text", min_together: int = MIN_TOGETH
     entities = held.select("t1", "row2", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(F.lower(x["value"]))))).alias("entity"))
     by_text = entities.join(reveal, "entity").groupBy("t1", "row2").agg(F.collect_set("term").alias("terms"))
     once = held.dropDuplicates(["t1", "row2"])
-    told = once.join(term_spans(once.join(by_text, ["t1", "row2"])), ["t1", "row2"], "left")
-    marked = told.select(F.col("t1").alias("m1"), F.col("row2").alias("m2"), F.col("spans").alias(base), F.when(F.col("hits").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "hits"))).alias(every))
+    told = once.join(by_text, ["t1", "row2"], "left")
+    both = F.array_sort(F.concat("spans", term_spans(F.col("body"), F.col("spans"), F.col("terms"))))
+    marked = told.select(F.col("t1").alias(m1), F.col("row2").alias(m2), F.col("spans").alias(base), F.when(F.col("terms").isNull(), F.col("spans")).otherwise(both).alias(every))
     none = F.array().cast(marked.schema[base].dataType)
-    out = docs.join(marked, (t1 == F.col("m1")) & (t2 == F.col("m2")), "left")
+    out = docs.join(marked, (t1 == F.col(m1)) & (t2 == F.col(m2)), "left")
     return out.select(*[F.col(f"`{c}`") for c in names], F.coalesce(base, none).alias(base), F.coalesce(every, none).alias(every))
 
 

@@ -8,7 +8,7 @@ expanded to their members, and members are verified on their whole sets.
 
 As a class needs only enough links to hold together, the pairs are taken in turns. First each posting list's
 smallest member is paired with the others (as many pairs as postings). Lists whose members are then all in one component are done. In
-lists with many members outside their largest component, LEADS members of that component are tried in the same way, turn after turn (each
+lists with many members outside their largest component, LEADS members of that component are tried with those outside, each in one of its lists, turn after turn (each
 turn makes LEADS pairs for such a member at most), until few are left outside. In what is left then,
 members outside the list's largest component are paired with all members of other components, except where the
 triangle inequality of the Jaccard distance, by way of any of the list's leads so far, rules a link out. No link between components is lost, and no list
@@ -39,7 +39,7 @@ from .shingles import add_up, mix, pack, pack_counts, release, steps, unpack, un
 
 WIDTH, NEAR = 5, 75
 #: Members outside its largest component that a list may have when what is left is looked at pair by pair; leads of a turn; turns at most.
-FEW, LEADS, TURNS = 4, 3, 12
+FEW, LEADS, TURNS = 4, 8, 6
 #: Posted shingles before a shared one by which a pair is known to have been met.
 LOOK_BACK = 8
 #: Rows of text, and of pairs of whole sets, that go to a Python worker at once.
@@ -275,11 +275,21 @@ def _leads(sided: DataFrame, turn: int) -> DataFrame:
 
 
 def _star(sided: DataFrame, leads: DataFrame, near: int) -> DataFrame:
-    """Leads of the lists with the lists' members of other components."""
-    met = sided.where("busy and minor").alias("x").join(leads.alias("f"), "token").where(_likely("x", "f", near))
+    """Leads with the members of other components; a member is tried in the list in which most others are, as its other lists have much the same leads."""
+    outside = sided.where("busy and minor").groupBy("set").agg(F.max_by(F.struct("token", "n", "pos"), F.struct("outside", "token")).alias("x")).select("set", "x.*")
+    met = outside.alias("x").join(leads.alias("f"), "token").where(_likely("x", "f", near))
     return met.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct()
 
 
+def _merged(held: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after one step along new links; what it doesn't join yet is joined by the next full run."""
+    of = lambda x: held.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x <> y")
+    step = ends.groupBy(F.greatest("x", "y").alias("component")).agg(F.min(F.least("x", "y")).alias("to"))
+    alone = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(held, "node", "left_anti").withColumn("component", F.col("node"))
+    return held.unionByName(alone).join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def _rest(sided: DataFrame, leads: DataFrame, tried: DataFrame, near: int) -> DataFrame:
     """Every pair of a list's members in different components that nothing rules out."""
     far = tried.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
@@ -326,10 +336,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: i
     first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
     star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
     tried, whole = verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), units, docs)
-    leads, before = first.select("token", "set"), float("inf")
-    for turn in range(TURNS + 1):
-        links = tried.where(_linked(near)).select("a", "b")
-        held = stash(components(links), "components")
+    leads, before, turn = first.select("token", "set"), float("inf"), 0
+    held, whole_run = stash(components(tried.where(_linked(near)).select("a", "b")), "components"), True
+    while True:
         # the lists that still hold more than one component
         part = lists.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         inside = part.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("major"), F.sum("k").alias("members"), F.count("*").alias("parts"))
@@ -343,7 +352,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: i
         if not members:
             break
         last = turn == TURNS or pending <= FEW * members or pending > 0.9 * before
-        before = pending
+        if last and not whole_run:
+            held, whole_run = stash(components(tried.where(_linked(near)).select("a", "b")), "components"), True
+            continue
         if not last:
             more_leads = stash(_leads(sided, turn), "leads")
             leads = leads.unionByName(more_leads.select("token", "set"))
@@ -354,6 +365,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: i
         tried = tried.unionByName(more)
         if last:
             break
+        held, whole_run = stash(_merged(held, more.where(_linked(near)).select("a", "b")), "components"), False
+        before, turn = pending, turn + 1
     links = tried.where(_linked(near)).select("a", "b")
     held = stash(components(links), "components")
     least = units.groupBy("set").agg(F.min("one_id").alias("one_id"))

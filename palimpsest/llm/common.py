@@ -52,11 +52,13 @@ def free_name(taken: Sequence[str], name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, as in tests, a new temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a new temporary one if all runs on this machine, as in tests, else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)

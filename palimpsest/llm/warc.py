@@ -7,11 +7,14 @@ seek table, one read of a frame and its decompression.
 
 Of records with equal payloads of at least MIN_SAME bytes the one with the smallest id is a response and the
 others revisit it, without their payload; smaller payloads are always responses. Null html is an empty payload.
-Rows that repeat the smallest id are responses each; a null id counts as larger than any.
-Extra columns are left alone. An empty table gives no bundle and an empty index.
+Rows that repeat the smallest id are responses each; a null id counts as larger than any. A payload of any length is one record.
+Extra columns are left alone, whatever their names. An empty table gives no bundle and an empty index.
 
-Each task writes its own bundle under a temporary name and then renames it, so a repeated task replaces its file
-by an equal one. Memory is one frame. The folder is any place pyarrow's file systems reach.
+Each attempt of a task writes a bundle of its own name, and the index names the bundle of the attempt that was committed, so a task that runs twice,
+in whatever order its rows come, leaves the index and its bundle in agreement; a bundle that no index names may be deleted.
+Memory is one frame and one Arrow batch, of BATCH rows or Spark's limit of bytes at most. The folder is any place pyarrow's file systems reach.
+
+What is read back is measured anew: length and digest come from the payload out of the frame, those of a revisit from the record it refers to.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, ship, stash, text_of
 
-FRAME, MIN_SAME, LEVEL = 1 << 20, 100, 3
+FRAME, MIN_SAME, LEVEL, BATCH = 1 << 20, 100, 3, 64
 #: Fixed values of the public formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "page_id long, bundle string, frame int, start long, length long, record_type string, payload_digest string"
 
 
@@ -43,31 +48,32 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
 
 def warc_record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    block = payload if kind == "response" else b""
+    """A response holds an HTTP head and the payload; a revisit holds the head alone and names the record that has its payload."""
+    block = HTTP + payload if kind == "response" else HTTP
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        "Content-Type: text/html",
+        "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
         head.insert(3, "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        head.append(f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>")
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields and payload, without the HTTP head."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) for x in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -123,8 +129,9 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME) ->
         from pyspark import TaskContext
 
         system, root = fs.FileSystem.from_uri(folder)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.zst"
-        pack, file, sizes, rows, frame, plain, temp = zstandard.ZstdCompressor(level=LEVEL), None, [], [], [], 0, f"{root}/.{name}-{uuid.uuid4().hex}"
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.warc.zst"
+        pack, file, sizes, rows, frame, plain, temp = zstandard.ZstdCompressor(level=LEVEL), None, [], [], [], 0, f"{root}/.{name}"
 
         def flush():
             nonlocal frame, plain
@@ -146,7 +153,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME) ->
                 raw = warc_record(x["page_id"], x["url"], x["payload"], x["digest"], x["record_type"], x["refers_to"])
                 if file is None:
                     system.create_dir(root, recursive=True)
-                    file = system.open_output_stream(temp)
+                    file = system.open_output_stream(temp, compression=None)
                 if frame and plain + len(raw) > frame_bytes:
                     flush()
                 rows.append({"page_id": x["page_id"], "bundle": f"{folder}/{name}", "frame": len(sizes), "start": plain, "length": len(raw), "record_type": x["record_type"], "payload_digest": x["digest"]})
@@ -160,19 +167,22 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME) ->
             file.close()
             system.move(temp, f"{root}/{name}")
 
-    return stash(records.mapInArrow(write, INDEX), "warc-index")
+    return stash(records.mapInArrow(write, INDEX), "warc-index", BATCH)
 
 
-READ = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+READ = "page_id long, record_type string, refers_to long, claimed string, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the index, read back from the bundles a frame at a time; a revisit has a null payload."""
+def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of the index, read back from the bundles a frame at a time: what its head claims as digest, and the length and digest
+    of the payload that is there. A revisit has neither these nor a payload; without payloads they are measured and left behind."""
 
     def read(batches: Iterator) -> Iterator:
+        import hashlib
+
         import pyarrow as pa
 
-        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("claimed", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
         number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
         held = (None, None, None, -1, b"")
         for batch in batches:
@@ -187,8 +197,10 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     held = (*held[:3], x["frame"], read_frame(held[1], held[2], x["frame"]))
                 fields, block = parse_record(held[4][x["start"] : x["start"] + x["length"]])
                 kind = fields["WARC-Type"]
-                out.append({"page_id": number(fields["WARC-Record-ID"]), "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To")), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"][7:], "payload": block if kind == "response" else None})
-                size += len(block)
+                own = block if kind == "response" else None
+                measured = (None, None) if own is None else (len(own), hashlib.sha256(own).hexdigest())
+                out.append({"page_id": number(fields["WARC-Record-ID"]), "record_type": kind, "refers_to": number(fields.get("WARC-Refers-To")), "claimed": fields["WARC-Payload-Digest"][7:], "payload_bytes": measured[0], "payload_digest": measured[1], "payload": own if payloads else None})
+                size += len(block) if payloads else 0
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
                     out, size = [], 0
@@ -201,10 +213,14 @@ def read_bundles(index: DataFrame) -> DataFrame:
     return ordered.mapInArrow(read, READ)
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
-    """Write pages as bundles and read them back."""
+def round_trip(pages: DataFrame, folder: str | None = None, payloads: bool = False, **how) -> DataFrame:
+    """Write pages as bundles and read them back: page_id, record_type, refers_to, payload_bytes, payload_digest and, asked for, payload (null in revisits)."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_bundles(write_bundles(plan_records(pages, **how), folder))
+    told = read_bundles(write_bundles(plan_records(pages, **how), folder), payloads)
+    told = told if payloads else stash(told.drop("payload"), "warc-read")
+    held = told.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("r_id"), F.col("claimed").alias("r_claimed")).agg(F.max(F.struct(F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))).alias("r"))
+    out = told.join(held, (F.col("refers_to") == F.col("r_id")) & (F.col("claimed") == F.col("r_claimed")), "left")
+    return out.select("page_id", "record_type", "refers_to", F.coalesce("payload_bytes", "r.n").alias("payload_bytes"), F.coalesce("payload_digest", "r.d").alias("payload_digest"), *(["payload"] if payloads else []))
 
 
 ship(__name__)

@@ -19,7 +19,7 @@ from palimpsest.llm.ngram_join import ngram_join
 from palimpsest.llm.quality import score_quality
 from palimpsest.llm.sentencepiece_codec import MODEL, Codec, encode
 from palimpsest.llm.url_filter import filter_urls
-from palimpsest.llm.warc import fetch, plan_records, round_trip, write_bundles
+from palimpsest.llm.warc import fetch, open_bundle, plan_records, read_bundles, read_frame, read_seek_table, round_trip, seek_table, write_bundles
 
 DOCS = "doc_id long, text string, source string"
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -328,7 +328,7 @@ def test_warc(spark, tmp_path):
     big = "é" * 60
     rows = [(3, "http://a/", big), (1, None, big), (2, "http://b/\r\nx", "small"), (4, "http://c/", "small"), (5, "u", None), (6, "u", "z" * 3_000_000), (7, "u", "z" * 3_000_000), (1, "again", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1, r.payload) for r in round_trip(pages, f"file://{tmp_path}/a").collect())
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or -1, r.payload) for r in round_trip(pages, f"file://{tmp_path}/a", payloads=True).collect())
     want = []
     for i, _, h in rows:
         raw = (h or "").encode()
@@ -342,6 +342,38 @@ def test_warc(spark, tmp_path):
     assert round_trip(pages.limit(0), f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_notices_a_spoilt_payload(spark, tmp_path):
+    """Lengths and digests are those of what lies in the bundle, for revisits too; heads claim what was written."""
+    import zstandard
+
+    rows = [(i, "u", "same " * 40) for i in range(3)] + [(9, "u", "other")]
+    index = write_bundles(plan_records(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), f"file://{tmp_path}/b")
+    assert {r.payload_digest for r in read_bundles(index).where("record_type = 'response'").collect()} == {sha("same " * 40), sha("other")}
+    for bundle in {r.bundle for r in index.collect()}:
+        path = bundle.removeprefix("file://")
+        with open(path, "rb") as f:
+            raw = f.read()
+        with open_bundle(bundle) as f:
+            table = read_seek_table(f)
+            plain = [read_frame(f, table, k).replace(b"same same", b"same-same") for k in range(len(table))]
+        frames = [zstandard.ZstdCompressor(level=3).compress(x) for x in plain]
+        with open(path, "wb") as f:
+            f.write(b"".join(frames) + seek_table([(len(x), len(p)) for x, p in zip(frames, plain, strict=True)]))
+        assert raw != open(path, "rb").read()
+    got = {r.page_id: (r.claimed, r.payload_digest) for r in read_bundles(index).where("record_type = 'response'").collect()}
+    assert got[9] == (sha("other"), sha("other")) and got[0][0] == sha("same " * 40) != got[0][1]
+
+
+def test_warc_tasks_that_run_twice(spark, tmp_path):
+    """The rows of a bundle in another order: another name, and both indexes read back right."""
+    rows = [(i, "u", f"page {i} " * 30) for i in range(40)]
+    records = plan_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    both = [write_bundles(records.orderBy(o).coalesce(1), f"file://{tmp_path}/b") for o in ("page_id", F.desc("page_id"))]
+    assert not {r.bundle for r in both[0].collect()} & {r.bundle for r in both[1].collect()}
+    for index in both:
+        assert {r.page_id: bytes(r.payload).decode() for r in read_bundles(index).collect()} == {i: h for i, _, h in rows}
+
+
 def test_quality_held_out(spark):
     from ..conftest import SF
 

@@ -55,6 +55,7 @@ FILE_EXTENSIONS = ("md", "py", "json", "yaml", "yml", "sh", "txt", "js", "ts", "
 #: Stopwords of the version store, the audit and the intake gate; keys too general to name a fact.
 FACT_STOP = tuple("the and for with that this from into via are was now not but you use uses used per out all any has have his her its new old user note notes should must can".split())
 FACT_GENERIC = ("user", "user-preference", "user-pref", "note", "notes", "update", "updates", "todo", "wip", "memory", "entry", "fact", "context")
+AUDIT_GENERIC = ("user", "note", "memory", "update", "todo", "wip")
 AUDIT_STOP = tuple(
     "the and for with that this from into via are was has have not but all any use used user when then must should after before current currently default also per set now new "
     "first still each every over without their they them than more less one two three can will his her its out you want wants uses".split()
@@ -83,3 +84,21 @@ QUOTE = r"\b(my\s+(?:\w+\s+){0,3}(?:said|says|always said|used to say|told me|re
 ROLEPLAY = r"\b(role-?play|let'?s pretend|pretend (?:you|to be|that)|in character|stay in character|act as if|you'?re playing|persona)\b"
 META = r"\b(jok(ing|ingly)|humorously|humourously|sarcastically|figuratively|metaphorically|is\s+(joking|kidding|being\s+sarcastic|exaggerating)|\b(lol|lmao|rofl)\b|compares?\s+\w+\s+to)\b"
 NEGATED = r"^\s*user\s+(is\s+not|isn'?t|was\s+not|wasn'?t|does\s+not|doesn'?t|do\s+not|don'?t|did\s+not|didn'?t|has\s+no\b|have\s+no\b|is\s+no\s+longer|no\s+longer)\b"
+#: Stopwords of search queries and of the harness.
+QUERY_STOP = tuple(
+    "the and for with that this from into via are was now not but you use uses used per out all any has have how did does what when where which who why our your their about get got set "
+    "can will should would could find search show tell give need want look see read make run".split()
+)
+HARNESS_STOP = tuple(
+    "a an and are as at be but by do for from has have how i if in into is it its my no not of on or so that the their then there these this to up use used user using was "
+    "what when where which who why will with you your me again keep need needs should".split()
+)
+#: What a question asks for, by search lane, case-insensitive.
+INTENTS = {
+    "memory-entry": r"\b(prefer|preference|setting|config(?:ured|uration)?|default|rule|policy|always|never|safety|api key|credential|secret|do i|my\b|owner|user|fact|remember(?:ed)?|stored|pin|pinned)\b",
+    "session-semantic": r"\b(conversation|chat|session|how did we|did we (?:discuss|talk|decide)|last time|earlier|previously discussed|we talked|remember when|what did .* say|recall|transcript|past work|figure[d]? out)\b",
+    "temporal": r"\b(chang(?:e|ed|es)|history|when did|since when|version|evolv|used to|previously|prior|rollback|roll back|revert|diff|over time|timeline|superseded|stale|outdated|update[d]?)\b",
+    "notes-canonical": r"\b(status|project|spec|roadmap|plan|planning|canonical|note[s]?|document(?:ation|ed)?|index|where is|where does|source of truth|context|architecture|design|handoff|inventory)\b",
+    "source-code": r"\b(code|implement(?:ation|ed)?|function|method|class|module|script|bug|error|traceback|import|def |test[s]?|refactor|cli|argument|flag|\.py\b|\.sh\b|installer|install\.sh)\b",
+    "spine": r"\b(evidence|provenance|artifact|ledger|spine|authority|verif(?:y|ied|ication)|who said|source for|citation|where did .* come from)\b",
+}

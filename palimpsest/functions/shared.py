@@ -11,8 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a new temporary folder."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-")).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or the one that the context was given. Where there is none a new temporary one if all runs on this machine, as in tests,
+    else an error."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    if held.isEmpty():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

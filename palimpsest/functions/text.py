@@ -31,6 +31,11 @@ def content_hash(c: Column) -> Column:
     return F.substring(F.sha2(strip(c), 256), 1, 16)
 
 
+def text_digest(place: Column, c: Column) -> Column:
+    """A number for a text at its place, whose sum over a file's entries tells the file from others without putting it together."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", place.cast("string"), c), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def slug(c: Column, most: int = 48, default: str = "entry") -> Column:
     """Words joined by hyphens; trimmed first, then cut."""
     cut = F.left(F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split(strip(c), LINE_BREAK), 1)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(most))
@@ -127,6 +132,58 @@ def fact_tokens(c: Column) -> Column:
     return F.array_distinct(words(c, r"[A-Za-z][A-Za-z0-9]{2,}", P.FACT_STOP))
 
 
+def query_terms(c: Column) -> Column:
+    """The search map's words of a question, repeats kept."""
+    return words(c, r"[a-z][a-z0-9_]{2,}", P.QUERY_STOP)
+
+
+def harness_tokens(c: Column) -> Column:
+    return F.array_distinct(F.filter(words(c, r"[a-z0-9]+", P.HARNESS_STOP), lambda w: F.length(w) >= 2))
+
+
+def shadow_tokens(c: Column) -> Column:
+    """Words, paths and names of three characters and more; letter case is lost."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("(?i)[a-z0-9_./@+-]{3,}"), F.lit(0)), F.lower))
+
+
+def without_owner(tokens: Column, *names: str) -> Column:
+    """A bag without the words of an owner's name or of a home folder's last part; these belong to an installation, so they are given."""
+    import re
+
+    own = sorted({w for n in names if n for w in re.findall(r"[a-z][a-z0-9]{2,}", n.rstrip("/").rpartition("/")[2].lower())})
+    return F.filter(tokens, lambda w: ~w.isin(*own)) if own else tokens
+
+
+def audit_key(c: Column) -> Column:
+    """The audit's own name of an entry: as the version store's, but the pointer's archive note counts, fewer labels are too general, and other words are left out."""
+    line = first_line(c)
+    base = F.when(F.startswith(line, F.lit(POINTER_SIGIL)), strip(F.substr(line, F.lit(2)))).otherwise(line)
+    topic = F.regexp_extract(base, "(?U)" + P.TOPIC, 1)
+    label = F.regexp_replace(F.regexp_replace(F.lower(topic), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    said = F.array_join(F.slice(words(base, r"[a-z][a-z0-9]{2,}", P.AUDIT_STOP), 1, 6), "-")
+    named = (label != "") & ~label.isin(*P.AUDIT_GENERIC)
+    return F.when(is_header(c), "notes-system-header").when(named, F.left(label, F.lit(48))).when(said != "", F.left(said, F.lit(48))).otherwise("entry")
+
+
+def bag_cosine(a: Column, b: Column) -> Column:
+    """Of two sets of words; 0 where one is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / (F.sqrt(F.size(a)) * F.sqrt(F.size(b))))
+
+
+def human_bytes(n: Column) -> Column:
+    """A size in powers of 1024 with one place; whole bytes as they are; null as a question mark."""
+    units = ("B", "KB", "MB", "GB", "TB")
+    power = F.least(F.floor(F.log(1024.0, F.greatest(n.cast("double"), F.lit(1.0))) + 1e-12), F.lit(len(units) - 1)).cast("int")
+    shown = F.format_string("%.1f", F.bround(n / F.pow(F.lit(1024.0), power), 1))
+    return F.when(n.isNull(), "?").when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(F.concat_ws(" ", shown, F.element_at(F.array(*[F.lit(u) for u in units]), power + 1)))
+
+
+def shown_path(c: Column, home: str) -> Column:
+    """A path as it may be shown: the home folder as a tilde."""
+    h = home.rstrip("/")
+    return F.when(c == h, "~").when(F.startswith(c, F.lit(h + "/")), F.concat(F.lit("~"), F.substr(c, F.lit(len(h) + 1)))).otherwise(c)
+
+
 def identifiers(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("(?iU)" + P.IDENTIFIER), F.lit(0)), F.lower))
 

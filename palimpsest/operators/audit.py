@@ -134,3 +134,29 @@ def best_duplicate(pairs: DataFrame) -> DataFrame:
     common = pairs.select(F.col("a").alias("ref"), F.col("b").alias("other"), "common", "either").union(pairs.select("b", "a", "common", "either"))
     w = Window.partitionBy("ref").orderBy(F.desc(F.col("common") / F.col("either")), "other")
     return common.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: Characters that an entry keeps after its action; the others free nothing.
+RESIDUAL = {"rewrite_to_pointer": 120, "merge": 120, "archive_to_note": 120, "remove_after_archive": 0, "move_to_skill": 80, "move_to_note": 80}
+
+
+def saved(action: Column, chars: Column) -> Column:
+    """Characters that an action frees; null where it frees none by itself."""
+    rest = F.try_element_at(F.create_map(*[F.lit(x) for kv in RESIDUAL.items() for x in kv]), action)
+    return F.when(rest.isNotNull(), F.greatest(F.lit(0), chars - rest))
+
+
+def store_summary(recommended: DataFrame, limits: DataFrame) -> DataFrame:
+    """recommended entries (store, kind, action, chars, missing) and limits (store, char_limit): per store the entries, actionable and broken ones, characters, fill, what could be freed and the fill after it."""
+    own = recommended.groupBy("store").agg(
+        F.count("*").alias("entries"), F.count_if(F.col("action") != "keep").alias("actionable"), F.count_if("missing").alias("broken"), F.sum("chars").alias("chars"), F.coalesce(F.sum(saved(F.col("action"), F.col("chars"))), F.lit(0)).alias("recoverable"),
+    )
+    left = F.greatest(F.lit(0), F.col("chars") - F.col("recoverable"))
+    fill = lambda c: F.round(100 * c / F.col("char_limit"), 1)
+    return own.join(limits, "store", "left").withColumn("percent", fill(F.col("chars"))).withColumn("percent_after", fill(left))
+
+
+def top_shrink(recommended: DataFrame, n: int = 10) -> DataFrame:
+    """The n entries whose action frees most, in file order where equal: a report's list."""
+    freed = recommended.withColumn("saved", saved(F.col("action"), F.col("chars"))).where("saved > 0")
+    return freed.select("ref", "kind", "action", "chars", "saved").orderBy(F.desc("saved"), "ref").limit(n)

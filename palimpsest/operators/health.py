@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import CAPACITY_CRIT, CAPACITY_WARN, DB_CRIT_MB, DB_WARN_MB, ENTRY_CEILING, ENTRY_TARGET
 
-#: Statuses from best to worst.
-RANKS = ("ok", "unknown", "warning", "critical")
+#: How bad a status is; a check that couldn't run ranks with a warning.
+RANKS = {"ok": 0, "green": 0, "unknown": 1, "yellow": 1, "warning": 1, "red": 2, "critical": 2, "error": 2}
 
 
 def capacity_flag(percent: Column) -> Column:
@@ -24,18 +24,25 @@ def size_flag(mb: Column) -> Column:
 
 
 def rank(status: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in RANKS]), status)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), status), F.lit(1))
+
+
+def worse(one: Column, two: Column) -> Column:
+    """The worse of two; where they rank alike the first stands."""
+    return F.when(rank(two) > rank(one), two).otherwise(one)
 
 
 def capacity(files: DataFrame) -> DataFrame:
-    """files (store, chars, entries, char_limit; null chars where there is no file) with percent and status."""
+    """files (store, chars, entries, char_limit; null chars where there is no file) with percent, pressure of the number of entries, and status, the worse of both."""
     percent = F.round(100 * F.col("chars") / F.col("char_limit"), 1)
-    return files.withColumn("percent", percent).withColumn("status", F.when(F.col("chars").isNull(), "unknown").otherwise(capacity_flag(percent))).withColumn("pressure", entry_pressure(F.col("entries")))
+    flagged = files.withColumn("percent", percent).withColumn("pressure", entry_pressure(F.col("entries")))
+    return flagged.withColumn("status", F.when(F.col("chars").isNull(), "unknown").otherwise(worse(capacity_flag(percent), F.col("pressure"))))
 
 
 def rollup(checks: DataFrame) -> DataFrame:
-    """checks (check, status): the worst status, and the checks that raise it as alerts."""
-    return checks.agg(F.max_by("status", rank(F.col("status"))).alias("status"), F.array_sort(F.collect_list(F.when(F.col("status") != "ok", F.col("check")))).alias("alerts"))
+    """checks (check, status): the worst status, of those that rank alike the first check's, and the checks that raise it as alerts."""
+    first = checks.groupBy(rank(F.col("status")).alias("r")).agg(F.min_by("status", "check").alias("status"))
+    return checks.agg(F.array_sort(F.collect_list(F.when(rank(F.col("status")) > 0, F.col("check")))).alias("alerts")).join(first.agg(F.max_by("status", "r").alias("status"))).select("status", "alerts")
 
 
 def reconcile(live: DataFrame, current: DataFrame) -> DataFrame:

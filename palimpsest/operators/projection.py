@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HALF_LIFE_DAYS, NEUTRAL_RECENCY, RESERVE_COUNT, RESERVE_MIN, VALUE_SCALE
@@ -20,6 +20,27 @@ def recency(day: Column, today: Column, half_life: int = HALF_LIFE_DAYS) -> Colu
     return F.when(day.isNull(), NEUTRAL_RECENCY).otherwise(decayed)
 
 
+def dated(entries: DataFrame, current_facts: DataFrame, text_date: Column) -> DataFrame:
+    """entries (ref, store, hash, key, ...) with day and day_source: of the store's current fact of the same content, else of the same key, else the text's latest date.
+
+    current_facts: store, hash, fact_key, day; of several the latest counts. Two equi-joins on small rows."""
+    by_hash = current_facts.where("day is not null").groupBy("store", "hash").agg(F.max("day").alias("_hash_day"))
+    by_key = current_facts.where("day is not null").groupBy("store", F.col("fact_key").alias("key")).agg(F.max("day").alias("_key_day"))
+    j = entries.withColumn("_text_day", text_date).join(by_hash, ["store", "hash"], "left").join(by_key, ["store", "key"], "left")
+    source = F.when(F.col("_hash_day").isNotNull(), "temporal:hash").when(F.col("_key_day").isNotNull(), "temporal:key").when(F.col("_text_day").isNotNull(), "text-date").otherwise("neutral-default")
+    return j.withColumn("day", F.coalesce("_hash_day", "_key_day", "_text_day")).withColumn("day_source", source).drop("_hash_day", "_key_day", "_text_day")
+
+
+def relevant(entries: DataFrame, hits: DataFrame) -> DataFrame:
+    """entries (ref, hash) met by hits (query_id, ref, hash, score): query_id, ref, relevance and by what it was found, the content first, then the ref."""
+    score = clamp(F.coalesce("score", F.lit(0.0)))
+    by_hash = hits.where("hash is not null").groupBy("query_id", "hash").agg(F.max(score).alias("relevance"))
+    by_ref = hits.where("ref is not null").groupBy("query_id", "ref").agg(F.max(score).alias("relevance"))
+    first = entries.select("ref", "hash").join(by_hash, "hash").select("query_id", "ref", "relevance", F.lit("content_hash").alias("found_by"))
+    second = entries.select("ref").join(by_ref, "ref").join(first.select("query_id", "ref"), ["query_id", "ref"], "left_anti")
+    return first.unionByName(second.select("query_id", "ref", "relevance", F.lit("entry_ref").alias("found_by")))
+
+
 def projection_score(importance: Column, recent: Column, specificity: Column, fit: Column, pinned: Column, relevance: Column) -> Column:
     pin = F.when(pinned, 1.0).otherwise(0.0)
     return clamp(W_IMPORTANCE * importance + W_RECENCY * recent + W_SPECIFICITY * specificity + W_FIT * fit + W_PIN * pin + W_RELEVANCE * relevance)
@@ -60,14 +81,24 @@ def best_subset(weights: list[int], values: list[int], capacity: int) -> list[in
 
 
 def knapsack(items: DataFrame) -> DataFrame:
-    """items (grp, ord, ref, tokens, score, room) -> grp, ref of each group's best subset. A group is one profile's entries and its table fits in a task."""
+    """items (grp, ord, ref, tokens, score, room) -> grp, ref of each group's best subset.
+
+    Of items of one weight only the best room / weight can be in it, the earlier where equal, so the others go before a group meets in a task; what is left of a
+    group of any size is about room * ln(room) items, and its table room times that. The subset is the same."""
+    value = F.greatest(F.lit(0), F.rint(F.col("score") * VALUE_SCALE)).cast("long")
+    best = Window.partitionBy("grp", "tokens").orderBy(F.desc("value"), "ord")
+    fits = items.groupBy("grp").agg((F.sum("tokens") <= F.max("room")).alias("all_fit"))
+    valued = items.select("grp", "ord", "ref", "tokens", "score", "room", value.alias("value"))
+    few = valued.withColumn("at", F.row_number().over(best)).where(F.col("at") * F.col("tokens") <= F.col("room"))
 
     def fill(frame):
         frame = frame.sort_values("ord")
-        values = [max(0, round(v * VALUE_SCALE)) for v in frame["score"]]
-        return frame.iloc[best_subset(frame["tokens"].tolist(), values, int(frame["room"].iloc[0]))][["grp", "ref", "tokens", "score"]]
+        if frame["all_fit"].iloc[0]:
+            return frame[["grp", "ref", "tokens", "score"]]
+        frame = frame[frame["value"] > 0]
+        return frame.iloc[best_subset(frame["tokens"].tolist(), frame["value"].tolist(), int(frame["room"].iloc[0]) if len(frame) else 0)][["grp", "ref", "tokens", "score"]]
 
-    return items.select("grp", "ord", "ref", "tokens", "score", "room").groupBy("grp").applyInPandas(fill, "grp long, ref long, tokens int, score double")
+    return few.join(fits, "grp").groupBy("grp").applyInPandas(fill, "grp long, ref long, tokens int, score double")
 
 
 def project(scored: DataFrame, budget: int) -> DataFrame:

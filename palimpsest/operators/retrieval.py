@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import RRF_K
+from ..functions.text import clamp
 
 
 def _unit(c: Column) -> tuple[Column, Column]:
@@ -13,20 +14,31 @@ def _unit(c: Column) -> tuple[Column, Column]:
     return v, F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+#: Bytes of queries that are sent to all tasks at once.
+SENT = 64 << 20
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, sent: int = SENT) -> DataFrame:
     """vectors (id, vector, ...), queries (query_id, vector): each query's k most similar vectors, ties to the smaller id.
 
-    The filter is applied before the join. Queries are the short side, and Spark broadcasts them when small; a partial
-    top k (max_by per task is what the window's group limit does) keeps k rows per query and task before the exchange.
+    The filter is applied before the join. Queries are counted and sent to all tasks in blocks of at most `sent` bytes, so vectors stay where they are read and no
+    key holds everything; the window's group limit keeps k rows a query and task before the exchange.
     """
     v = vectors if where is None else vectors.where(where)
     a, an = _unit(F.col("vector"))
     v = v.select("id", a.alias("v"), an.alias("vn"))
     q = queries.select("query_id", a.alias("q"), an.alias("qn"))
+    size = queries.agg(F.coalesce(F.sum(F.size("vector") * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // sent))
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = v.join(q, F.size("v") == F.size("q")).select("query_id", "id", F.when((F.col("vn") == 0) | (F.col("qn") == 0), 0.0).otherwise(dot / (F.nullif("vn", F.lit(0.0)) * F.nullif("qn", F.lit(0.0)))).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = None
+    for i in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        met = v.join(F.broadcast(block), F.size("v") == F.size("q")).select("query_id", "id", F.when((F.col("vn") == 0) | (F.col("qn") == 0), 0.0).otherwise(dot / (F.nullif("vn", F.lit(0.0)) * F.nullif("qn", F.lit(0.0)))).alias("score"))
+        best = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -53,3 +65,10 @@ def lexical_relevance(entries: DataFrame, queries: DataFrame) -> DataFrame:
     whole = asked.groupBy("query_id").agg(F.sum("weight").alias("whole"))
     hit = words.join(asked, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("held"), F.count("*").alias("shared"))
     return hit.join(whole, "query_id").select("query_id", "id", "shared", (F.col("held") / F.col("whole")).alias("score"))
+
+
+def ranked_relevance(hits: DataFrame, hashes: DataFrame) -> DataFrame:
+    """hits (query_id, id, score) with the score clamped and rounded to four places, and its rank: by score, then by the text's hash (hashes: id, hash), then by id."""
+    scored = hits.withColumn("score", F.round(clamp(F.col("score")), 4)).join(hashes, "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "hash", "id")
+    return scored.withColumn("rank", F.row_number().over(w))

@@ -28,15 +28,31 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Each left set's best right set by Jaccard, ties to the smaller id; left sets without a common token are left out."""
-    l = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    r = right.select(F.col("id").alias("other"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    met = l.join(r, "token").groupBy("id", "other", "n", "m").agg(F.count("*").alias("common"))
+    """Each left set's best right set by Jaccard, ties to the smaller id; left sets without a common token, or below the threshold, are left out.
+
+    With a threshold only prefixes are joined, the tokens that are rarest on the right first, on both sides. Without one every common token can decide, and all are joined."""
+    if threshold > 0:
+        pairs = _near_pairs(left, right, threshold)
+        full = pairs.join(left.select("id", F.col("tokens").alias("x")), "id").join(right.select(F.col("id").alias("other"), F.col("tokens").alias("y")), "other")
+        met = full.select("id", "other", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
+    else:
+        l = left.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        r = right.select(F.col("id").alias("other"), F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+        met = l.join(r, "token").groupBy("id", "other", "n", "m").agg(F.count("*").alias("common"))
     scored = met.withColumn("score", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where(F.col("score") >= threshold)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", F.col("other").alias("best_id"), "common", (F.col("n") + F.col("m") - F.col("common")).alias("either"), "score")
 
 
+def _near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """id, other that may be as near as threshold: they share a token of both prefixes, and their sizes allow it."""
+    words = left.select(F.explode("tokens").alias("token"), F.lit(0).alias("k")).unionByName(right.select(F.explode("tokens").alias("token"), F.lit(1).alias("k")))
+    frequency = words.groupBy("token").agg(F.sum("k").alias("df"))
+    a = _prefix(left, frequency, threshold)
+    b = _prefix(right, frequency, threshold).select(F.col("id").alias("other"), F.col("n").alias("m"), "token")
+    return a.join(b, "token").where(F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9).select("id", "other").distinct()
+
+
 def repeats(left: DataFrame, right: DataFrame, jaccard: float, share: float) -> DataFrame:
     """id of the left sets that are near a right set by Jaccard, or of whose tokens one right set holds at least share.
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import DELIMITER, RESTORE_LIMIT
+from ..functions.text import LINE_BREAK, content_hash, strip
+
 
 def last_by_id(events: DataFrame) -> DataFrame:
     """Of events with one id the one with the highest seq stays."""
@@ -36,9 +39,15 @@ def versions(events: DataFrame) -> DataFrame:
 
 
 def current(v: DataFrame) -> DataFrame:
+    """Current versions, by store, then by key where they are shown in order (see in_order)."""
     return v.where("is_current = 1")
 
 
+def in_order(facts: DataFrame) -> DataFrame:
+    """The order that lists of facts are shown in."""
+    return facts.orderBy("store", "fact_key", "version")
+
+
 def history(v: DataFrame, key) -> DataFrame:
     return v.where(F.col("fact_key") == key)
 
@@ -51,7 +60,7 @@ def as_of(v: DataFrame, at: Column, axis: str = "valid") -> DataFrame:
     """The version of each fact that holds at a moment: half-open intervals, a null end is open; of several the latest start, then record, then version. Tombstones are no facts."""
     lo, hi = _bounds(axis)
     w = Window.partitionBy("fact_key").orderBy(F.desc(lo), F.desc("recorded_at"), F.desc("version"))
-    held = v.where((F.col(lo) <= at) & (F.col(hi).isNull() | (F.col(hi) > at)) & (F.col("tombstone") == 0))
+    held = v.where((F.col(lo).isNull() | (F.col(lo) <= at)) & (F.col(hi).isNull() | (F.col(hi) > at)) & (F.col("tombstone") == 0))
     return held.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -63,11 +72,34 @@ def as_of_many(v: DataFrame, moments: DataFrame, axis: str = "valid") -> DataFra
     return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def changed_between(v: DataFrame, one: Column, two: Column, axis: str = "valid") -> DataFrame:
-    """Facts at two moments, and whether their content differs when stripped."""
-    a = as_of(v, one, axis).select("fact_key", F.col("content").alias("before"))
-    b = as_of(v, two, axis).select("fact_key", F.col("content").alias("after"))
-    return a.join(b, "fact_key", "full_outer").withColumn("changed", ~F.trim("before").eqNullSafe(F.trim("after")))
+SEGMENT = r"(?<=[.;|])\s+"
+
+
+def _unified(before, after):
+    """Unified difference of two lists of segments, as lines."""
+    import difflib
+
+    import pandas as pd
+
+    return pd.Series(["\n".join(difflib.unified_diff(list(a), list(b), fromfile="before", tofile="after", lineterm="")) for a, b in zip(before, after, strict=True)])
+
+
+def changed_between(v: DataFrame, one: Column, two: Column, axis: str = "valid", unified: bool = False) -> DataFrame:
+    """Facts at two moments with their versions and contents (empty where there is none), whether the contents differ when stripped, and the segments that only one side has.
+
+    Both moments come from one scan: a fact's versions are ranked per moment, so the version window isn't made twice."""
+    lo, hi = _bounds(axis)
+    moments = F.explode(F.array(F.struct(F.lit("a").alias("side"), one.alias("at")), F.struct(F.lit("b").alias("side"), two.alias("at"))))
+    met = v.where("tombstone = 0").select("fact_key", "version", "content", "recorded_at", F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), moments.alias("m"))
+    held = met.where((F.col("_lo").isNull() | (F.col("_lo") <= F.col("m.at"))) & (F.col("_hi").isNull() | (F.col("_hi") > F.col("m.at"))))
+    side = lambda x: F.max_by(F.struct("version", "content"), F.when(F.col("m.side") == x, F.struct("_lo", "recorded_at", "version")))
+    both = held.groupBy("fact_key").agg(side("a").alias("_a"), side("b").alias("_b"))
+    text = lambda x: F.coalesce(F.col(f"{x}.content"), F.lit(""))
+    out = both.select("fact_key", F.col("_a.version").alias("from_version"), F.col("_b.version").alias("to_version"), text("_a").alias("before"), text("_b").alias("after"))
+    pieces = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, SEGMENT))
+    out = out.withColumn("changed", strip(F.col("before")) != strip(F.col("after")))
+    out = out.withColumn("removed", F.array_except(pieces("before"), pieces("after"))).withColumn("added", F.array_except(pieces("after"), pieces("before")))
+    return out.withColumn("unified", F.pandas_udf(_unified, "string")(pieces("before"), pieces("after"))) if unified else out
 
 
 def prune(v: DataFrame, cutoff: Column, keep: int) -> DataFrame:
@@ -78,15 +110,23 @@ def prune(v: DataFrame, cutoff: Column, keep: int) -> DataFrame:
 
 
 def record_runs(events: DataFrame) -> DataFrame:
-    """Events that differ from the fact's event before them; going back to an older content is a change."""
-    w = Window.partitionBy("fact_key").orderBy("recorded_at", "seq")
-    return events.withColumn("_before", F.lag("content").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("content"))).drop("_before")
+    """Events that are recorded: those whose stripped content differs from the fact's event before them in transaction order, or that follow a deletion or are one.
+    Going back to an older content is a change."""
+    w = Window.partitionBy("fact_key").orderBy("recorded_at", "seq", "event_id")
+    same = (F.lag("op").over(w) != "delete") & (F.lag(content_hash(F.coalesce("content", F.lit("")))).over(w) == content_hash(F.coalesce("content", F.lit(""))))
+    return events.withColumn("_same", F.coalesce(same, F.lit(False)) & (F.col("op") != "delete")).where("not _same").drop("_same")
 
 
 def first_seen(events: DataFrame) -> DataFrame:
     return events.groupBy("store", "fact_key").agg(F.min("seq").alias("first_seq"))
 
 
+def reconstruct(v: DataFrame) -> DataFrame:
+    """store, first_seq, fact_key, content: the current facts as the entries of each store's file; first_seq, when a fact was first seen, is their order."""
+    order = v.groupBy("store", "fact_key").agg(F.min("seq").alias("first_seq"))
+    return current(v).join(order, ["store", "fact_key"]).select("store", "first_seq", "fact_key", "content")
+
+
 def store_stats(v: DataFrame) -> DataFrame:
     return v.agg(
         F.count("*").alias("versions"),
@@ -104,20 +144,90 @@ def linked_facts(v: DataFrame, one: Column, two: Column) -> DataFrame:
 
 
 def match(entries: DataFrame, known: DataFrame, tokens: Column, threshold: float) -> DataFrame:
-    """DUPLICATE by hash, else UPDATE by key, else UPDATE by the nearest known fact of Jaccard >= threshold (pointers aside), else NEW.
+    """DUPLICATE by hash, else UPDATE by key, else UPDATE by the nearest known fact of Jaccard >= threshold (pointers aside), else NEW; each within the entry's store.
 
-    entries: ref, hash, key, is_pointer, tokens; known: fact_key, hash, tokens. The fuzzy step is an equi-join on tokens.
-    """
+    entries: ref, store, hash, key, is_pointer, tokens; known: store, fact_key, hash, tokens, the current facts. The fuzzy step is an equi-join on the tokens of prefixes,
+    each word with its store, so stores never meet."""
     from .similarity import nearest
 
-    by_hash = known.groupBy("hash").agg(F.min("fact_key").alias("hash_key"))
-    by_key = known.select(F.col("fact_key").alias("key")).distinct().withColumn("key_hit", F.lit(True))
-    near = nearest(entries.where(~F.col("is_pointer")).select(F.col("ref").alias("id"), tokens.alias("tokens")), known.select(F.col("fact_key").alias("id"), "tokens"), threshold)
-    near = near.select(F.col("id").alias("ref"), F.col("best_id").alias("fuzzy_key"), F.col("score").alias("fuzzy_score"))
+    by_hash = known.groupBy("store", "hash").agg(F.min("fact_key").alias("hash_key"))
+    by_key = known.select("store", F.col("fact_key").alias("key")).distinct().withColumn("key_hit", F.lit(True))
+    scoped = lambda t: F.transform(t, lambda w: F.concat_ws("\n", "store", w))
+    near = nearest(entries.where(~F.col("is_pointer")).select(F.col("ref").alias("id"), scoped(tokens).alias("tokens")), known.select(F.struct("store", "fact_key").alias("id"), scoped(F.col("tokens")).alias("tokens")), threshold)
+    near = near.select(F.col("id").alias("ref"), F.col("best_id.fact_key").alias("fuzzy_key"), F.round("score", 3).alias("fuzzy_score"))
     return (
-        entries.join(by_hash, "hash", "left")
-        .join(by_key, "key", "left")
+        entries.join(by_hash, ["store", "hash"], "left")
+        .join(by_key, ["store", "key"], "left")
         .join(near, "ref", "left")
         .withColumn("decision", F.when(F.col("hash_key").isNotNull(), "DUPLICATE").when(F.col("key_hit"), "UPDATE").when(F.col("fuzzy_key").isNotNull(), "UPDATE").otherwise("NEW"))
-        .withColumn("fact_key", F.coalesce("hash_key", F.when(F.col("key_hit"), F.col("key")), "fuzzy_key"))
+        .withColumn("how", F.when(F.col("hash_key").isNotNull(), "hash").when(F.col("key_hit"), "key").when(F.col("fuzzy_key").isNotNull(), "fuzzy"))
+        .withColumn("fact_key", F.coalesce("hash_key", F.when(F.col("key_hit"), F.col("key")), "fuzzy_key", "key"))
     )
+
+
+def number_collisions(matched: DataFrame) -> DataFrame:
+    """matched (store, ref, fact_key, hash, decision) with keys made unique in a pass: entries are placed in file order, the first content of a key keeps it, each further
+    content gets -2, -3, ... and is NEW; a content that was placed under the key already shares its place."""
+    first = matched.groupBy("store", "fact_key", "hash").agg(F.min("ref").alias("_first"))
+    w = Window.partitionBy("store", "fact_key").orderBy("_first")
+    placed = first.withColumn("_n", F.row_number().over(w)).drop("_first")
+    j = matched.join(placed, ["store", "fact_key", "hash"])
+    return j.withColumn("decision", F.when(F.col("_n") > 1, "NEW").otherwise(F.col("decision"))).withColumn("fact_key", F.when(F.col("_n") > 1, F.concat_ws("-", "fact_key", F.col("_n").cast("string"))).otherwise(F.col("fact_key"))).drop("_n")
+
+
+def ingest(entries: DataFrame, current_facts: DataFrame, archived: DataFrame, threshold: float) -> DataFrame:
+    """What a pass over the live files records: store, fact_key, op, content, archived_at and ref (null for what vanished).
+
+    entries: as for match, with text; current_facts: store, fact_key, hash, tokens, content; archived (fact_key, content, archived_at): blocks of archives.
+    An entry whose place holds its content already records nothing (op null); a current fact that no entry touches is archived by its latest block, else deleted."""
+    m = number_collisions(match(entries, current_facts, F.col("tokens"), threshold))
+    now = current_facts.select("store", "fact_key", F.col("hash").alias("_hash"))
+    j = m.join(now, ["store", "fact_key"], "left")
+    op = F.when(F.col("_hash").eqNullSafe(F.col("hash")), None).when(F.col("decision") == "NEW", "create").otherwise("update")
+    none = F.lit(None)
+    live = j.select("store", "fact_key", op.alias("op"), F.col("text").alias("content"), none.cast("string").alias("archived_at"), "ref")
+    last = archived.groupBy("fact_key").agg(F.max_by(F.struct("content", "archived_at"), F.struct("archived_at", "content")).alias("_b"))
+    gone = current_facts.join(m.select("store", "fact_key"), ["store", "fact_key"], "left_anti").join(last, "fact_key", "left")
+    lost = gone.select("store", "fact_key", F.when(F.col("_b").isNotNull(), "archive").otherwise("delete").alias("op"), F.coalesce("_b.content", "content").alias("content"), F.col("_b.archived_at").cast("string").alias("archived_at"), none.cast(entries.schema["ref"].dataType).alias("ref"))
+    return live.unionByName(lost)
+
+
+def ingest_archives(blocks: DataFrame, events: DataFrame) -> DataFrame:
+    """blocks (fact_key, hash, content, archived, ...) that no event of their fact has by hash, each content once: the rest are on record already."""
+    once = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("fact_key", "hash").orderBy("archived", "content"))).where("_n = 1").drop("_n")
+    return once.join(events.select("fact_key", "hash").distinct(), ["fact_key", "hash"], "left_anti")
+
+
+def rebuild_guard(events: DataFrame, versions_held: int, claimed: int, log_exists: bool, force: bool = False) -> None:
+    """Refuses to replace a filled index by an empty one when the log has gone."""
+    if not force and (versions_held or claimed) and not log_exists and events.isEmpty():
+        raise ValueError(f"the event log is missing but the index holds {versions_held} versions and its record claims {claimed} events")
+
+
+def restore(v: DataFrame, at: Column | None = None, version: int | None = None, limit: int = RESTORE_LIMIT) -> DataFrame:
+    """The version of each fact to go back to (by number, by moment on the valid axis, else the last), and why it may not be written: delimiter or length."""
+    if version is not None:
+        picked = v.where(F.col("version") == version)
+    elif at is not None:
+        picked = as_of(v, at)
+    else:
+        picked = v.withColumn("_n", F.row_number().over(Window.partitionBy("fact_key").orderBy(F.desc("version")))).where("_n = 1").drop("_n")
+    refused = F.when(has_delimiter(F.col("content")), "delimiter").when(F.length("content") > limit, "length")
+    return picked.withColumn("refused", refused)
+
+
+def has_delimiter(c: Column) -> Column:
+    """Whether a text would end an entry where it stands in a store's file."""
+    return F.contains(c, F.lit(DELIMITER)) | F.exists(F.split(c, LINE_BREAK), lambda line: strip(line) == strip(F.lit(DELIMITER)))
+
+
+def parse_dt(c: Column) -> Column:
+    """A date, date and time or epoch second in text as an ISO-8601 instant in UTC without fractions; null where it can't be read, blank or null."""
+    t = strip(c)
+    number = F.timestamp_seconds(t.try_cast("bigint"))
+    zoned = F.regexp_replace(t, "Z$", "+00:00")
+    has_zone = zoned.rlike(r"[+-]\d{2}:?\d{2}(:?\d{2})?$") & (F.length(t) > 10)
+    # a time without a zone is UTC: read in the session's zone, then taken as its own wall clock
+    naive = F.when(has_zone, F.try_to_timestamp(zoned)).otherwise(F.convert_timezone(F.lit("UTC"), F.current_timezone(), t.try_cast("timestamp_ntz")).cast("timestamp"))
+    moment = F.when(t.rlike(r"^\d{9,11}$"), number).when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), naive)
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.date_trunc("second", moment).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,28 +71,23 @@ TAILS = (
     " [M12] dream reflection",
 )
 HEADS = {12: "↪ ", 13: "Long-form notes live in ~/notes: ", 3: "Model routing: ", 1: "User: "}
-CUTS = (40, 160, 300, 430, 720)
 TODAY = "2024-06-01"
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot-memory entries of mixed length: the start of a document between a head and a tail. ENTRIES_SQL holds the queries with SQL to these."""
-    cut = F.get(F.array(*[F.lit(c) for c in CUTS]), (F.col("doc_id") % len(CUTS)).cast("int"))
-    return _entries(spark, sf_dir, F.left("text", cut))
-
-
-def whole_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with whole documents, for the queries without SQL."""
-    return _entries(spark, sf_dir, F.col("text"))
-
-
-def _entries(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
+    """Hot-memory entries of mixed length: whole documents between a head and a tail."""
     k = (F.col("doc_id") % len(TAILS)).cast("int")
     head = F.coalesce(*[F.when(k == i, h) for i, h in HEADS.items()], F.lit(""))
-    text = F.concat(head, body, F.get(F.array(*[F.lit(t) for t in TAILS]), k))
+    text = F.concat(head, "text", F.get(F.array(*[F.lit(t) for t in TAILS]), k))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.when(F.col("doc_id") % 2 == 0, "memory").otherwise("user").alias("store"), text.alias("text"))
 
 
+def altered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries again as they might have been: a third as they are, a third with more at the end, a third with another beginning."""
+    k = F.col("ref") % 3
+    return entries(spark, sf_dir).withColumn("text", F.when(k == 0, F.col("text")).when(k == 1, F.concat("text", F.lit(" Changed since."))).otherwise(F.concat(F.lit("Formerly "), "text")))
+
+
 def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -100,9 +95,8 @@ def quoted(x: str) -> str:
 ENTRIES_SQL = (
     "e AS (SELECT doc_id AS ref, CASE WHEN doc_id % 2 = 0 THEN 'memory' ELSE 'user' END AS store, CASE doc_id % 16 "
     + " ".join(f"WHEN {i} THEN {quoted(h)}" for i, h in HEADS.items())
-    + " ELSE '' END || substr(text, 1, ["
-    + ", ".join(map(str, CUTS))
-    + "][doc_id % 5 + 1]) || ["
+    + " ELSE '' END || text || ["
     + ", ".join(map(quoted, TAILS))
     + "][doc_id % 16 + 1] AS text FROM documents)"
 )
+ALTERED_SQL = "e2 AS (SELECT ref, store, CASE ref % 3 WHEN 0 THEN text WHEN 1 THEN text || ' Changed since.' ELSE 'Formerly ' || text END AS text FROM e)"

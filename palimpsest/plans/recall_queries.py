@@ -13,10 +13,10 @@ from ..operators import gate as G
 from ..operators import projection as J
 from ..operators import retrieval as R
 from ..operators import similarity as S
-from .bind import TODAY, entries, table, whole_entries
-from .text_queries import _E, _GB, _SCORES, _TOPICS, _says
+from .bind import TODAY, entries, table
+from .text_queries import _E, _GB, _SCORES, _STRIP, _TOPICS, _says
 
-K = 10
+K, PROFILE = 10, 50
 
 
 def _vectors(spark, d):
@@ -24,7 +24,8 @@ def _vectors(spark, d):
 
 
 def _asked(spark, d):
-    return _vectors(spark, d).where("id < 10").select(F.col("id").alias("query_id"), "vector")
+    """The stated query set: every vector whose id is divisible by 20, against all."""
+    return _vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 def _mil(c, name):
@@ -39,29 +40,30 @@ def vector_topk_filtered(spark, d):
     return R.vector_topk(_vectors(spark, d), _asked(spark, d), K, F.col("label") == 3).select("query_id", "id", "rank", _mil(F.col("score"), "score"))
 
 
-def _tokens(spark, d, of=entries):
-    docs = of(spark, d).select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
+def _tokens(spark, d):
+    docs = entries(spark, d).select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.gate_tokens(F.col("text")).alias("tokens"))
     return docs, items
 
 
-def lexical_idf_topk(spark, d):
-    from pyspark.sql import Window
+def _lexical(spark, d):
+    """Relevance of whole documents to benchmark items, with the place by the rounded score, then by the text's hash, then by id."""
+    docs, items = _tokens(spark, d)
+    hashes = entries(spark, d).select(F.col("ref").alias("id"), X.content_hash(F.col("text")).alias("hash"))
+    return R.ranked_relevance(R.lexical_relevance(docs, items), hashes)
 
-    hits = R.lexical_relevance(*_tokens(spark, d)).withColumn("score", F.round(F.col("score") * 1e6).cast("long"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20).select("query_id", "id", "rank", "score")
+
+def lexical_idf_topk(spark, d):
+    return _lexical(spark, d).where("rank <= 20").select("query_id", "id", "rank", F.round(F.col("score") * 1e4).cast("long").alias("score"))
 
 
 def hybrid_rrf(spark, d):
-    """Vector and keyword lists of ten queries fused; keyword places come from shared label order."""
+    """Vector and keyword lists fused: query 20 i asks with its vector and with the words of benchmark item i, where there is one."""
     from pyspark.sql import Window
 
     sem = R.vector_topk(_vectors(spark, d), _asked(spark, d), 20).select("query_id", F.lit("semantic").alias("list"), "id", (F.col("rank") - 1).alias("pos"))
-    v = _vectors(spark, d).select("id", "label")
-    q = v.where("id < 10").select(F.col("id").alias("query_id"), "label")
-    kw = q.join(v, "label").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1).where("pos < 20").select("query_id", F.lit("keyword").alias("list"), "id", "pos")
-    fused = R.fuse(sem.unionByName(kw))
+    kw = _lexical(spark, d).where("rank <= 20").withColumn("query_id", F.col("query_id") * 20).join(_asked(spark, d).select("query_id"), "query_id", "left_semi")
+    fused = R.fuse(sem.unionByName(kw.select("query_id", F.lit("keyword").alias("list"), "id", (F.col("rank") - 1).alias("pos"))))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("score") * 1e9)), "id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K).select("query_id", "id", "rank", "source", F.round(F.col("score") * 1e9).cast("long").alias("score"))
 
@@ -69,7 +71,7 @@ def hybrid_rrf(spark, d):
 def semantic_duplicates(spark, d):
     """Entries whose bags pass the prefilter and whose vectors are close; an entry's vector is the one of its number."""
     e = entries(spark, d).select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
-    pairs = S.similar_pairs(e, 0.30)
+    pairs = S.similar_pairs(e, 0.30).where(F.col("common") > 0.30 * F.col("either"))
     v = _vectors(spark, d)
     x, y = v.select((F.col("id")).alias("a"), F.col("vector").alias("va")), v.select((F.col("id")).alias("b"), F.col("vector").alias("vb"))
     met = pairs.join(x, "a").join(y, "b").withColumn("cosine", X.vector_cosine(F.col("va"), F.col("vb")))
@@ -82,11 +84,11 @@ def recency_scores(spark, d):
     return e.select("ref", F.when(day.isNull(), "neutral-default").otherwise("text-date").alias("source"), _mil(J.recency(day, F.lit(TODAY).cast("date")), "recency"))
 
 
-def _scored(spark, d, of=whole_entries):
-    """Entries of ten profiles with score, pin and relevance (the share of the profile's query that an entry holds)."""
-    a = A.audit(of(spark, d), F.lit(TODAY).cast("date"))
-    rel = R.lexical_relevance(*_tokens(spark, d, of)).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
-    s = a.withColumn("grp", (F.col("ref") % 10).cast("long")).join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
+def _scored(spark, d):
+    """Entries of profiles of fifty each with score, pin and relevance (the share that an entry holds of the query of the profile's number)."""
+    a = A.audit(entries(spark, d), F.lit(TODAY).cast("date"))
+    rel = R.lexical_relevance(*_tokens(spark, d)).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
+    s = a.withColumn("grp", F.floor(F.col("ref") / PROFILE).cast("long")).join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
     sc = F.col("scores")
     pin = G.pin_class(F.col("text"))
     score = J.projection_score(X.clamp((sc["durability"] + sc["pointer_quality"]) / 2.0), J.recency(X.latest_date(F.col("text")), F.lit(TODAY).cast("date")), sc["specificity"], sc["hot_memory_fit"], pin != "none", F.col("relevance"))
@@ -98,8 +100,8 @@ def projection_scores(spark, d):
 
 
 def reserve_fill(spark, d):
-    s = _scored(spark, d, entries).where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
-    return J.reserve(s.withColumn("room", F.lit(150)), least=0.05).select("grp", "ref", "used")
+    s = _scored(spark, d).where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
+    return J.reserve(s.withColumn("room", F.lit(BUDGET)), least=0.05).select("grp", "ref", "used")
 
 
 def projection(spark, d):
@@ -108,39 +110,40 @@ def projection(spark, d):
 
 
 def knapsack_selection(spark, d):
-    """Best value of groups of eight entries in 150 tokens; the oracle tries every subset."""
-    e = entries(spark, d).where("ref < 160").select((F.col("ref") % 20).alias("grp"), F.col("ref").alias("ord"), "ref", X.entry_weight(F.col("text")).alias("tokens"), ((F.col("ref") * 37 % 101 + 1) / 128.0).alias("score"), F.lit(150).alias("room"))
+    """Best value of each eight entries in a row within the budget; the oracle tries every subset."""
+    e = entries(spark, d).select(F.floor(F.col("ref") / 8).alias("grp"), F.col("ref").alias("ord"), "ref", X.entry_weight(F.col("text")).alias("tokens"), ((F.col("ref") * 37 % 101 + 1) / 128.0).alias("score"), F.lit(BUDGET).alias("room"))
     return J.knapsack(e).groupBy("grp").agg(F.sum(F.round(F.col("score") * 128).cast("long")).alias("value"))
 
 
 QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, lexical_idf_topk, hybrid_rrf, semantic_duplicates, recency_scores, projection_scores, reserve_fill, projection, knapsack_selection)}
 
-_VEC = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), q AS (SELECT id AS query_id, label, vec AS qv FROM v WHERE id < 10),
+_VEC = """v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings), q AS (SELECT id AS query_id, label, vec AS qv FROM v WHERE id % 20 = 0),
 sim AS (SELECT query_id, id, v.label, list_cosine_similarity(vec, qv) AS score FROM v, q)"""
 _TOP = "SELECT query_id, id, rank, CAST(round(score * 1000000) AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sim{}) WHERE rank <= 10"
 _LEX = _E + f""", d AS (SELECT ref AS id, {_GB} AS t FROM e), bq AS (SELECT item_id AS query_id, {_GB} AS t FROM benchmark), w AS (SELECT id, unnest(t) AS tok FROM d), df AS (SELECT tok, count(*) AS df FROM w GROUP BY 1),
 ask AS (SELECT query_id, tok, CASE WHEN df IS NULL THEN ln(1e0 + (SELECT count(*) FROM d)) ELSE ln(1e0 + (SELECT count(*) FROM d) / CAST(df AS DOUBLE)) END AS wt FROM (SELECT query_id, unnest(t) AS tok FROM bq) LEFT JOIN df USING (tok)),
-lex AS (SELECT h.query_id, h.id, held / whole AS score FROM (SELECT query_id, id, sum(wt) AS held FROM w JOIN ask USING (tok) GROUP BY ALL) h JOIN (SELECT query_id, sum(wt) AS whole FROM ask GROUP BY 1) t ON h.query_id = t.query_id)"""
+lex AS (SELECT h.query_id, h.id, held / whole AS score FROM (SELECT query_id, id, sum(wt) AS held FROM w JOIN ask USING (tok) GROUP BY ALL) h JOIN (SELECT query_id, sum(wt) AS whole FROM ask GROUP BY 1) t ON h.query_id = t.query_id),
+lr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, substr(sha256({_STRIP.format("text")}), 1, 16), id) AS rank FROM (SELECT query_id, id, round(least(1e0, score), 4) AS score FROM lex) JOIN e ON e.ref = id)"""
 _RESERVE = _LEX + f""", pins AS (SELECT ref, {_says(P.SAFETY_PIN, 't0')} OR starts_with(t0, 'Long-form notes live in') OR {_says(P.OPERATIONAL_TOPIC, 'topic')} AS pinned FROM ({_TOPICS} SELECT * FROM topics)),
-c AS (SELECT e.ref % 10 AS grp, e.ref, CAST((length(text) + 3) // 4 + 1 AS INTEGER) AS tokens, round(round(coalesce(score, 0), 4), 2) AS rel FROM e JOIN pins ON pins.ref = e.ref LEFT JOIN lex ON lex.id = e.ref AND lex.query_id = e.ref % 10 WHERE NOT pinned),
+c AS (SELECT e.ref // 50 AS grp, e.ref, CAST((length(text) + 3) // 4 + 1 AS INTEGER) AS tokens, round(round(coalesce(score, 0), 4), 2) AS rel FROM e JOIN pins ON pins.ref = e.ref LEFT JOIN lex ON lex.id = e.ref AND lex.query_id = e.ref // 50 WHERE NOT pinned),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rel DESC, ref) AS n FROM c WHERE rel >= 0.05),
 f AS (WITH RECURSIVE s(grp, n, used, k, ref) AS (SELECT DISTINCT grp, CAST(0 AS BIGINT), 0, 0, CAST(NULL AS BIGINT) FROM r UNION ALL
-  SELECT s.grp, s.n + 1, CASE WHEN s.k < 3 AND s.used + r.tokens <= 150 THEN s.used + r.tokens ELSE s.used END, CASE WHEN s.k < 3 AND s.used + r.tokens <= 150 THEN s.k + 1 ELSE s.k END, CASE WHEN s.k < 3 AND s.used + r.tokens <= 150 THEN r.ref END FROM s JOIN r ON r.grp = s.grp AND r.n = s.n + 1) SELECT * FROM s)
+  SELECT s.grp, s.n + 1, CASE WHEN s.k < 3 AND s.used + r.tokens <= 2000 THEN s.used + r.tokens ELSE s.used END, CASE WHEN s.k < 3 AND s.used + r.tokens <= 2000 THEN s.k + 1 ELSE s.k END, CASE WHEN s.k < 3 AND s.used + r.tokens <= 2000 THEN r.ref END FROM s JOIN r ON r.grp = s.grp AND r.n = s.n + 1) SELECT * FROM s)
 SELECT grp, ref, max(used) OVER (PARTITION BY grp) AS used FROM f WHERE ref IS NOT NULL"""
 
 SQL = {
     "vector_topk": "WITH " + _VEC + _TOP.format(""),
     "vector_topk_filtered": "WITH " + _VEC + _TOP.format(" WHERE label = 3"),
-    "lexical_idf_topk": _LEX + " SELECT query_id, id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, CAST(round(score * 1e6) AS BIGINT) AS score FROM lex)) WHERE rank <= 20",
-    "hybrid_rrf": "WITH " + _VEC + """, l AS (SELECT query_id, 'semantic' AS list, id, rank - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sim) WHERE rank <= 20
-  UNION ALL SELECT query_id, 'keyword', id, rank - 1 FROM (SELECT q.query_id, v.id, row_number() OVER (PARTITION BY q.query_id ORDER BY v.id) AS rank FROM q JOIN v ON v.label = q.label) WHERE rank <= 20),
+    "lexical_idf_topk": _LEX + " SELECT query_id, id, rank, CAST(round(score * 1e4) AS BIGINT) AS score FROM lr WHERE rank <= 20",
+    "hybrid_rrf": _LEX + ", " + _VEC + """, l AS (SELECT query_id, 'semantic' AS list, id, rank - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sim) WHERE rank <= 20
+  UNION ALL SELECT query_id * 20, 'keyword', id, rank - 1 FROM lr WHERE rank <= 20 AND query_id * 20 IN (SELECT query_id FROM q)),
 f AS (SELECT query_id, id, CAST(round(sum(1e0 / (61 + pos)) * 1e9) AS BIGINT) AS score, CASE WHEN count(*) = 2 THEN 'both' ELSE min(list) END AS source FROM l GROUP BY ALL)
 SELECT query_id, id, rank, source, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""",
     "semantic_duplicates": _E + f""", d AS (SELECT ref AS id, {_GB} AS t FROM e), w AS (SELECT id, unnest(t) AS tok FROM d), j AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM w x JOIN w y ON x.tok = y.tok AND x.id < y.id GROUP BY ALL),
-p AS (SELECT a, b, c, len(x.t) + len(y.t) - c AS u FROM j JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE c >= 0.3e0 * (len(x.t) + len(y.t) - c)), v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
+p AS (SELECT a, b, c, len(x.t) + len(y.t) - c AS u FROM j JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE c > 0.3e0 * (len(x.t) + len(y.t) - c)), v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
 SELECT a, b, c >= 0.45e0 * u AS token_flagged, list_cosine_similarity(x.vec, y.vec) >= 0.85e0 AS semantic, CAST(round(list_cosine_similarity(x.vec, y.vec) * 1000000) AS BIGINT) AS cosine FROM p JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b""",
     "recency_scores": _E + _SCORES + " SELECT ref, CASE WHEN latest IS NULL THEN 'neutral-default' ELSE 'text-date' END AS source, CAST(round(CASE WHEN latest IS NULL THEN 0.5e0 ELSE least(1e0, pow(0.5e0, greatest(age, 0) / 30e0)) END * 1000000) AS BIGINT) AS recency FROM o",
     "reserve_fill": _RESERVE,
-    "knapsack_selection": _E + """, i AS (SELECT ref % 20 AS grp, ref // 20 AS bit, (length(text) + 3) // 4 + 1 AS w, ref * 37 % 101 + 1 AS val FROM e WHERE ref < 160),
-s AS (SELECT grp, m, sum(w) AS w, sum(val) AS val FROM i, range(256) t(m) WHERE (m >> bit) & 1 = 1 GROUP BY ALL) SELECT grp, CAST(max(val) AS BIGINT) AS value FROM s WHERE w <= 150 GROUP BY 1""",
+    "knapsack_selection": _E + f""", i AS (SELECT ref // 8 AS grp, ref % 8 AS bit, (length(text) + 3) // 4 + 1 AS w, ref * 37 % 101 + 1 AS val FROM e),
+s AS (SELECT grp, m, coalesce(sum(w) FILTER ((m >> bit) & 1 = 1), 0) AS w, coalesce(sum(val) FILTER ((m >> bit) & 1 = 1), 0) AS val FROM i, range(256) t(m) GROUP BY ALL) SELECT grp, CAST(max(val) AS BIGINT) AS value FROM s WHERE w <= {BUDGET} GROUP BY 1 HAVING max(val) > 0""",
 }

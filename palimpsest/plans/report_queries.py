@@ -12,12 +12,12 @@ from ..operators import harness as H
 from ..operators import health as L
 from ..operators import rewrite as W
 from ..streaming import twins
-from .bind import TODAY, entries, table, whole_entries
-from .text_queries import _KEYS
+from .bind import TODAY, altered, entries, table
+from .text_queries import _BOTH
 
 
 def _recommended(spark, d):
-    a = stored(A.audit(whole_entries(spark, d), F.lit(TODAY).cast("date")), "audit")
+    a = stored(A.audit(entries(spark, d), F.lit(TODAY).cast("date")), "audit")
     merged = A.duplicates(a, DUP_NEAR).select(F.col("loser").alias("ref"))
     c = A.contradictions(a)
     return A.recommend(a, merged, c.select(F.col("a").alias("ref")).union(c.select("b")))
@@ -32,7 +32,7 @@ def rewrite_summary(spark, d):
 
 
 def composed_files(spark, d):
-    return W.compose(W.decide(_recommended(spark, d), TODAY)).select("store", "entries", F.length("proposed").alias("chars"), F.sha2("proposed", 256).alias("proposed_sha256"))
+    return W.composed(W.compose(W.decide(_recommended(spark, d), TODAY)))
 
 
 def capacity_flags(spark, d):
@@ -48,9 +48,9 @@ def health_rollup(spark, d):
 
 
 def _sides(spark, d):
-    e = entries(spark, d).select("ref", X.fact_key(F.col("text")).alias("key"), X.content_hash(F.col("text")).alias("hash"))
-    side = lambda where: e.where(where).groupBy("key").agg(F.min_by("hash", "ref").alias("hash"))
-    return side("ref % 3 <> 0"), side("ref % 3 <> 1")
+    """All entries as live files and an altered copy of all of them as the store's current facts, by key: the first entry of each."""
+    side = lambda e: e.groupBy(X.fact_key(F.col("text")).alias("key")).agg(F.min_by(X.content_hash(F.col("text")), "ref").alias("hash"))
+    return side(entries(spark, d)), side(altered(spark, d))
 
 
 def reconcile_full_outer(spark, d):
@@ -58,8 +58,8 @@ def reconcile_full_outer(spark, d):
 
 
 def bag_drift(spark, d):
-    e = entries(spark, d).select("ref", X.content_hash(F.col("text")).alias("text"))
-    live, rebuilt = e.where("ref % 5 <> 0").select("text"), e.where("ref % 7 <> 0").select("text")
+    """All entries against an altered copy of all of them, as bags."""
+    live, rebuilt = (e.select(X.content_hash(F.col("text")).alias("text")) for e in (entries(spark, d), altered(spark, d)))
     return L.drift(live, rebuilt).groupBy("side").agg(F.count("*").alias("entries"), F.min("text").alias("first"))
 
 
@@ -122,8 +122,8 @@ def sessionized(spark, d):
 QUERIES = {f.__name__: f for f in (rewrite_decisions, rewrite_summary, composed_files, capacity_flags, health_rollup, reconcile_full_outer, bag_drift, set_operations, harness_tasks, harness_modes, graded_tasks, streaming_versions, streaming_once, windowed_counts, sessionized)}
 
 _CAP = """WITH f AS (SELECT source AS store, sum(length(text)) AS chars, count(*) AS entries FROM documents GROUP BY 1), p AS (SELECT *, round(100 * chars / 100000e0, 1) AS pct FROM f),
-c AS (SELECT store, chars, entries, pct, CASE WHEN pct >= 90 THEN 'critical' WHEN pct >= 80 THEN 'warning' ELSE 'ok' END AS status, CASE WHEN entries > 35 THEN 'critical' WHEN entries > 25 THEN 'warning' ELSE 'ok' END AS pressure FROM p)"""
-_SIDES = _KEYS + ", a AS (SELECT fact_key AS k, arg_min(hash, ref) AS h FROM keys WHERE ref % 3 <> 0 GROUP BY 1), b AS (SELECT fact_key AS k, arg_min(hash, ref) AS h FROM keys WHERE ref % 3 <> 1 GROUP BY 1)"
+c AS (SELECT store, chars, entries, pct, CASE WHEN pct >= 90 OR entries > 35 THEN 'critical' WHEN pct >= 80 OR entries > 25 THEN 'warning' ELSE 'ok' END AS status, CASE WHEN entries > 35 THEN 'critical' WHEN entries > 25 THEN 'warning' ELSE 'ok' END AS pressure FROM p)"""
+_SIDES = _BOTH + ", a AS (SELECT fact_key AS k, arg_min(hash, ref) AS h FROM keys GROUP BY 1), b AS (SELECT fact_key AS k, arg_min(hash, ref) AS h FROM others GROUP BY 1)"
 _TASKS = """WITH t AS (SELECT d.doc_id % 20 AS task, CASE WHEN d.doc_id % 2 = 0 THEN 'lexical' ELSE 'static' END AS mode, (length(text) + 3) // 4 + 1 AS tok, quality = 1 AS req, toxic = 1 AS pin, d.doc_id AS ref FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 s AS (SELECT *, tok < 900 OR (pin AND ref % 3 <> 0) AS sel FROM t),
 r AS (SELECT task, mode, count(*) FILTER (req) AS required, count(*) FILTER (req AND sel) AS kept, count(*) FILTER (sel) AS selected, count(*) FILTER (req AND NOT sel AND tok <= 700) AS droppable, count(*) FILTER (req AND NOT sel AND tok > 700) AS unfittable,
@@ -134,7 +134,7 @@ SQL = {
     "capacity_flags": _CAP + " SELECT store, chars, entries, CAST(floor(pct * 10 + 0.5e0) AS BIGINT) AS tenths, status, pressure FROM c",
     "health_rollup": _CAP + " SELECT CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'warning') THEN 'warning' ELSE 'ok' END AS status, coalesce(string_agg(store, ',' ORDER BY store) FILTER (status <> 'ok'), '') AS alerts FROM c",
     "reconcile_full_outer": _SIDES + " SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS state FROM a FULL JOIN b ON a.k = b.k",
-    "bag_drift": _KEYS + ", l AS (SELECT hash FROM keys WHERE ref % 5 <> 0), r AS (SELECT hash FROM keys WHERE ref % 7 <> 0) SELECT 'live' AS side, count(*) AS entries, min(hash) AS first FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT 'rebuilt', count(*), min(hash) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)",
+    "bag_drift": _BOTH + ", l AS (SELECT hash FROM keys), r AS (SELECT hash FROM others) SELECT 'live' AS side, count(*) AS entries, min(hash) AS first FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT 'rebuilt', count(*), min(hash) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)",
     "set_operations": _SIDES + " SELECT 'union' AS set, count(*) AS keys, min(k) AS first FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'difference', count(*), min(k) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'intersection', count(*), min(k) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)",
     "harness_tasks": _TASKS + " SELECT task, mode, required, kept, selected, droppable, unfittable, lost_pins, full_tokens, tokens, status FROM st",
     "harness_modes": _TASKS + " SELECT mode, CAST(floor((1 - CAST(sum(tokens) AS DOUBLE) / sum(full_tokens)) * 10000 + 0.5e0) AS BIGINT) AS savings, CAST(floor(avg(share) * 10000 + 0.5e0) AS BIGINT) AS recall, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail FROM st GROUP BY mode",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import HIDDEN_SOURCES
+from ..functions.shared import stored
 from ..operators import sessions as S
 from .bind import table
 
 NOW = "1998-09-01 00:00:00"
-CLOSED, OPEN, PROTECT, PROTECTED = 400, 800, 2, ["1-URGENT"]
+DAYS, PROTECT, PROTECTED = 400, 2, ["1-URGENT"]
 PROBES = ["the", "ing", "ent", "and", "tion"]
 
 
@@ -35,7 +36,17 @@ def _now():
 
 def _targets(spark, d):
     s, m = _large(spark, d)
-    return S.retention_targets(S.last_activity(s, m), _now(), CLOSED, OPEN, PROTECT, PROTECTED)
+    return S.retention_targets(S.last_activity(s, m), _now(), DAYS, PROTECT, PROTECTED)
+
+
+def _states(spark, d):
+    return S.compression_states(_large(spark, d)[0], _targets(spark, d), _now(), PROTECT, PROTECTED)
+
+
+def _gone(spark, d):
+    """All that the policy deletes, written once for the joins that read it several times."""
+    s, m = _large(spark, d)
+    return stored(S.collect_targets(S.last_activity(s, m), _now(), DAYS, PROTECT, PROTECTED), "gone")
 
 
 def session_first_user_message(spark, d):
@@ -92,24 +103,36 @@ def compression_bytes(spark, d):
 
 
 def compression_targets(spark, d):
-    s, _ = _large(spark, d)
-    return S.compression_targets(s, _targets(spark, d)).select("id")
+    return _states(spark, d).where("state = 'delete'").select("id")
+
+
+def compression_states(spark, d):
+    return _states(spark, d).groupBy("state").agg(F.count("*").alias("sessions"), F.min("id").alias("first"))
+
+
+def cleanup_targets(spark, d):
+    return _gone(spark, d)
+
+
+def target_counts(spark, d):
+    s, m = _large(spark, d)
+    return S.target_counts(s, m, _gone(spark, d), _states(spark, d))
 
 
 def children_unlinked(spark, d):
     s, _ = _large(spark, d)
-    return S.unlinked_children(s, _targets(spark, d)).select("id", "parent_session_id")
+    return S.unlinked_children(s, _gone(spark, d)).select("id", "parent_session_id")
 
 
 def cleanup_after_counts(spark, d):
     s, m = _large(spark, d)
-    left_s, left_m = S.cleanup(s, m, _targets(spark, d))
+    left_s, left_m = S.cleanup(s, m, _gone(spark, d))
     return left_s.agg(F.count("*").alias("sessions"), F.count("parent_session_id").alias("linked")).join(left_m.agg(F.count("*").alias("messages")))
 
 
 def orphan_check(spark, d):
     s, m = _large(spark, d)
-    return S.orphans(*S.cleanup(s, m, _targets(spark, d)))
+    return S.orphans(*S.cleanup(s, m, _gone(spark, d)))
 
 
 def word_index_df(spark, d):
@@ -117,14 +140,14 @@ def word_index_df(spark, d):
 
 
 def trigram_index(spark, d):
-    return S.trigram_index(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).groupBy("gram").agg(F.count("*").alias("items"))
+    return S.trigram_index(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).groupBy("gram").agg(F.count("*").alias("documents"))
 
 
 def search_impact(spark, d):
     return S.search_impact(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), PROBES)
 
 
-QUERIES = {f.__name__: f for f in (session_first_user_message, session_docs, session_age_histogram, session_metrics, source_histogram, end_reasons, last_activity, prune_closed_targets, prune_unclosed_targets, compression_semi, compression_bytes, compression_targets, children_unlinked, cleanup_after_counts, orphan_check, word_index_df, trigram_index, search_impact)}
+QUERIES = {f.__name__: f for f in (session_first_user_message, session_docs, session_age_histogram, session_metrics, source_histogram, end_reasons, last_activity, prune_closed_targets, prune_unclosed_targets, compression_semi, compression_bytes, compression_targets, compression_states, cleanup_targets, target_counts, children_unlinked, cleanup_after_counts, orphan_check, word_index_df, trigram_index, search_impact)}
 
 _SMALL = """WITH m AS (SELECT conv_id AS session_id, turn AS id, turn AS timestamp, role, text AS content FROM conversations),
 s AS (SELECT id, CASE id % 5 WHEN 0 THEN 'telegram' WHEN 1 THEN 'cli' WHEN 2 THEN 'cron' WHEN 3 THEN 'subagent' ELSE 'web' END AS source,
@@ -134,9 +157,11 @@ _LARGE = f"""WITH s AS (SELECT o_orderkey AS id, o_orderdate AS started_at, CASE
 m AS (SELECT l_orderkey AS session_id, l_shipdate AS timestamp, l_quantity AS size FROM lineitem),
 a AS (SELECT s.*, coalesce(x.t, ended_at, started_at) AS last_activity FROM s LEFT JOIN (SELECT session_id, max(timestamp) AS t FROM m GROUP BY 1) x ON s.id = x.session_id),
 i AS (SELECT *, date_diff('day', CAST(last_activity AS DATE), DATE '1998-09-01') AS idle FROM a),
-t AS (SELECT *, CASE WHEN ended_at IS NOT NULL AND idle >= {CLOSED} THEN 'closed' WHEN ended_at IS NULL AND idle >= {OPEN} THEN 'unclosed' END AS reason FROM i
-  WHERE (source IS NULL OR source NOT IN ('1-URGENT')) AND idle >= {PROTECT}),
-g AS (SELECT * FROM t WHERE reason IS NOT NULL),
+t AS (SELECT *, CASE WHEN ended_at IS NOT NULL THEN 'closed' ELSE 'unclosed' END AS reason FROM a
+  WHERE (source IS NULL OR source NOT IN ('1-URGENT')) AND last_activity < TIMESTAMP '{NOW}' - to_seconds({DAYS} * 86400) AND last_activity < TIMESTAMP '{NOW}' - to_seconds({PROTECT} * 86400)),
+cs AS (SELECT p.id, CASE WHEN p.parent_session_id IN (SELECT id FROM s WHERE end_reason = 'compression') THEN 'deferred' WHEN NOT EXISTS (SELECT 1 FROM s c WHERE c.parent_session_id = p.id AND c.id NOT IN (SELECT id FROM t)) THEN 'demoted' ELSE 'delete' END AS state
+  FROM s p WHERE end_reason = 'compression' AND started_at < TIMESTAMP '{NOW}' - to_seconds({PROTECT} * 86400) AND (source IS NULL OR source NOT IN ('1-URGENT')) AND EXISTS (SELECT 1 FROM s c WHERE c.parent_session_id = p.id)),
+g AS (SELECT id, source, reason FROM t UNION ALL SELECT cs.id, s.source, 'compression_parent' FROM cs JOIN s ON s.id = cs.id WHERE state = 'delete' AND cs.id NOT IN (SELECT id FROM t)),
 ls AS (SELECT s.id, CASE WHEN s.parent_session_id IN (SELECT id FROM g) THEN NULL ELSE s.parent_session_id END AS parent_session_id FROM s WHERE s.id NOT IN (SELECT id FROM g)),
 lm AS (SELECT * FROM m WHERE session_id NOT IN (SELECT id FROM g)) """
 _FIRST = ", f AS (SELECT session_id, arg_min(content, row(timestamp, id)) AS first_message FROM m WHERE role = 'user' AND trim(content) <> '' GROUP BY 1)"
@@ -156,15 +181,20 @@ SQL = {
     "source_histogram": _LARGE + "SELECT source, count(*) AS sessions FROM s GROUP BY 1",
     "end_reasons": _LARGE + "SELECT coalesce(end_reason, 'none') AS end_reason, count(*) AS sessions FROM s GROUP BY 1",
     "last_activity": _LARGE + "SELECT id, last_activity FROM a",
-    "prune_closed_targets": _LARGE + "SELECT id, source FROM g WHERE reason = 'closed'",
-    "prune_unclosed_targets": _LARGE + "SELECT id, source FROM g WHERE reason = 'unclosed'",
+    "prune_closed_targets": _LARGE + "SELECT id, source FROM t WHERE reason = 'closed'",
+    "prune_unclosed_targets": _LARGE + "SELECT id, source FROM t WHERE reason = 'unclosed'",
     "compression_semi": _SMALL + " SELECT id, source FROM s WHERE end_reason = 'compression' AND EXISTS (SELECT 1 FROM s c WHERE c.parent_session_id = s.id)",
     "compression_bytes": _LARGE + "SELECT count(*) AS messages, CAST(sum(CAST(size AS BIGINT)) AS BIGINT) AS bytes FROM m WHERE session_id IN (SELECT id FROM s WHERE end_reason = 'compression' AND EXISTS (SELECT 1 FROM s c WHERE c.parent_session_id = s.id))",
-    "compression_targets": _LARGE + ", p AS (SELECT id, parent_session_id FROM s WHERE end_reason = 'compression' AND EXISTS (SELECT 1 FROM s c WHERE c.parent_session_id = s.id)) SELECT id FROM p WHERE EXISTS (SELECT 1 FROM s c WHERE c.parent_session_id = p.id AND c.id NOT IN (SELECT id FROM g)) AND NOT EXISTS (SELECT 1 FROM p q WHERE q.parent_session_id = p.id)",
+    "compression_targets": _LARGE + "SELECT id FROM cs WHERE state = 'delete'",
+    "compression_states": _LARGE + "SELECT state, count(*) AS sessions, min(id) AS first FROM cs GROUP BY 1",
+    "cleanup_targets": _LARGE + "SELECT id, reason FROM g",
+    "target_counts": _LARGE + """SELECT (SELECT count(*) FROM g) AS sessions_to_delete, (SELECT count(*) FROM g WHERE reason = 'closed') AS prune_closed, (SELECT count(*) FROM g WHERE reason = 'unclosed') AS prune_unclosed,
+  (SELECT count(*) FROM cs WHERE state = 'delete') AS compression_parents, (SELECT count(*) FROM cs WHERE state = 'demoted') AS demoted, (SELECT count(*) FROM cs WHERE state = 'deferred') AS deferred,
+  (SELECT count(*) FROM m WHERE session_id IN (SELECT id FROM g)) AS messages_to_delete, (SELECT count(*) FROM s WHERE parent_session_id IN (SELECT id FROM g) AND id NOT IN (SELECT id FROM g)) AS children_unlinked""",
     "children_unlinked": _LARGE + "SELECT id, parent_session_id FROM s WHERE parent_session_id IN (SELECT id FROM g) AND id NOT IN (SELECT id FROM g)",
     "cleanup_after_counts": _LARGE + "SELECT (SELECT count(*) FROM ls) AS sessions, (SELECT count(parent_session_id) FROM ls) AS linked, (SELECT count(*) FROM lm) AS messages",
     "orphan_check": _LARGE + "SELECT (SELECT count(*) FROM lm WHERE session_id NOT IN (SELECT id FROM ls)) AS orphan_messages, (SELECT count(*) FROM ls WHERE parent_session_id IS NOT NULL AND parent_session_id NOT IN (SELECT id FROM ls)) AS broken_parents",
     "word_index_df": "SELECT word, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY 1",
-    "trigram_index": "SELECT gram, count(*) AS items FROM (SELECT DISTINCT item_id, substr(lower(text), i, 3) AS gram FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark)) GROUP BY 1",
+    "trigram_index": "SELECT gram, count(*) AS documents FROM (SELECT DISTINCT doc_id, substr(lower(text), i, 3) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents)) GROUP BY 1",
     "search_impact": "SELECT probe, count(*) FILTER (contains(lower(text), probe)) AS substring_hits, count(*) FILTER (list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), probe)) AS word_hits FROM documents, (SELECT unnest(['" + "', '".join(PROBES) + "']) AS probe) GROUP BY 1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import temporal as T
 from .bind import VERSION_EVENTS_SQL, VERSIONS_SQL, version_events
 
@@ -70,7 +71,8 @@ def prune_cold(spark, d):
 
 
 def diff_changed_facts(spark, d):
-    return T.changed_between(_v(spark, d), _ts(AT), _ts(LATER)).select("fact_key", "before", "after", "changed")
+    c = T.changed_between(_v(spark, d), _ts(AT), _ts(LATER))
+    return c.select("fact_key", "from_version", "to_version", "before", "after", "changed", F.size("removed").alias("removed"), F.size("added").alias("added"))
 
 
 def record_dedup_runs(spark, d):
@@ -93,12 +95,22 @@ def restore_candidates(spark, d):
 
 
 def reconstructed_stores(spark, d):
-    """Each store's text from its current facts in the order they were first seen."""
+    """Each store's file from its current facts in the order they were first seen: entries, characters, and a digest of places and contents."""
+    r = T.reconstruct(_v(spark, d))
+    return r.groupBy("store").agg(F.count("*").alias("entries"), F.sum(F.length("content")).alias("chars"), F.sum(X.text_digest(F.col("first_seq"), F.col("content"))).cast("string").alias("digest"))
+
+
+def restored(spark, d):
+    """What each selector would restore: version 2, a moment, or the last version, and why it may not be written."""
     v = _v(spark, d)
-    order = v.groupBy("fact_key").agg(F.min("seq").alias("first_seq"))
-    now = T.current(v).join(order, "fact_key")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "content"))), lambda x: x["content"]), "\n§\n")
-    return now.groupBy("store").agg(F.count("*").alias("entries"), F.sha2(text, 256).alias("text_sha256"))
+    one = lambda name, df: df.select(F.lit(name).alias("selector"), "fact_key", "version", "refused")
+    return one("version", T.restore(v, version=2)).unionByName(one("moment", T.restore(v, at=_ts(AT), limit=15))).unionByName(one("last", T.restore(v)))
+
+
+def archived_facts(spark, d):
+    """Every event as an archive block of its fact, against the log of the events whose content is settled: what would be recorded."""
+    e = version_events(spark, d).select("fact_key", X.content_hash(F.col("content")).alias("hash"), "content", F.col("recorded_at").alias("archived"), "event_type")
+    return T.ingest_archives(e, e.where("event_type = 'purchase'")).groupBy("fact_key").agg(F.count("*").alias("blocks"), F.min("archived").alias("first"))
 
 
 _AS_OF = """SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {lo} DESC, recorded_at DESC, version DESC) AS n FROM v{join}
@@ -114,7 +126,7 @@ def _as_of(at, axis, cols):
 _PRUNE = _W + f"""SELECT fact_key, event_id, version FROM (SELECT *, row_number() OVER (PARTITION BY fact_key ORDER BY version) = 1
   OR row_number() OVER (PARTITION BY fact_key ORDER BY version DESC) <= {KEEP} OR recorded_at >= TIMESTAMP '{CUTOFF}' AS hot FROM v) WHERE """
 
-QUERIES = {f.__name__: f for f in (version_history, current_facts, fact_history, first_seen_order, as_of_valid, as_of_transaction, as_of_many_dates, temporal_stats, facts_with_history, linked_facts, prune_hot, prune_cold, diff_changed_facts, record_dedup_runs, last_writer_wins, restore_candidates, reconstructed_stores)}
+QUERIES = {f.__name__: f for f in (version_history, current_facts, fact_history, first_seen_order, as_of_valid, as_of_transaction, as_of_many_dates, temporal_stats, facts_with_history, linked_facts, prune_hot, prune_cold, diff_changed_facts, record_dedup_runs, last_writer_wins, restore_candidates, reconstructed_stores, restored, archived_facts)}
 SQL = {
     "version_history": _W + f"SELECT {OUT_SQL} FROM v",
     "current_facts": _W + "SELECT fact_key, store, version, content FROM v WHERE is_current = 1",
@@ -128,9 +140,14 @@ SQL = {
     "linked_facts": _W + "SELECT fact_key FROM v GROUP BY 1 HAVING bool_or(op = 'create') AND bool_or(op = 'delete')",
     "prune_hot": _PRUNE + "hot",
     "prune_cold": _PRUNE + "NOT hot",
-    "diff_changed_facts": _W + f", a AS ({_as_of(AT, 'valid', 'fact_key, content')}), b AS ({_as_of(LATER, 'valid', 'fact_key, content')}) SELECT coalesce(a.fact_key, b.fact_key) AS fact_key, a.content AS before, b.content AS after, trim(a.content) IS DISTINCT FROM trim(b.content) AS changed FROM a FULL JOIN b ON a.fact_key = b.fact_key",
-    "record_dedup_runs": "WITH " + VERSION_EVENTS_SQL + " SELECT fact_key, event_id, content FROM (SELECT *, lag(content) OVER (PARTITION BY fact_key ORDER BY recorded_at, seq) AS b FROM ev) WHERE b IS NULL OR b <> content",
+    "diff_changed_facts": _W + f""", a AS ({_as_of(AT, 'valid', 'fact_key, version, content')}), b AS ({_as_of(LATER, 'valid', 'fact_key, version, content')}),
+x AS (SELECT coalesce(a.fact_key, b.fact_key) AS fact_key, a.version AS from_version, b.version AS to_version, coalesce(a.content, '') AS before, coalesce(b.content, '') AS after FROM a FULL JOIN b ON a.fact_key = b.fact_key),
+y AS (SELECT *, CASE WHEN before = '' THEN [] ELSE string_split_regex(regexp_replace(before, '([.;|])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS p, CASE WHEN after = '' THEN [] ELSE string_split_regex(regexp_replace(after, '([.;|])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS q FROM x)
+SELECT fact_key, from_version, to_version, before, after, trim(before, ' ' || chr(9) || chr(10) || chr(13)) <> trim(after, ' ' || chr(9) || chr(10) || chr(13)) AS changed, CAST(len(list_filter(list_distinct(p), lambda z: NOT list_contains(q, z))) AS INTEGER) AS removed, CAST(len(list_filter(list_distinct(q), lambda z: NOT list_contains(p, z))) AS INTEGER) AS added FROM y""",
+    "record_dedup_runs": "WITH " + VERSION_EVENTS_SQL + " SELECT fact_key, event_id, content FROM (SELECT *, lag(content) OVER w AS b, lag(op) OVER w AS o FROM ev WINDOW w AS (PARTITION BY fact_key ORDER BY recorded_at, seq, event_id)) WHERE b IS NULL OR op = 'delete' OR o = 'delete' OR trim(b, ' ' || chr(9) || chr(10) || chr(13)) <> trim(content, ' ' || chr(9) || chr(10) || chr(13))",
     "last_writer_wins": "WITH " + VERSION_EVENTS_SQL + " SELECT event_id, fact_key, CASE WHEN event_id % 3 = 0 THEN content || '!' ELSE content END AS content FROM ev",
     "restore_candidates": _W + f", t AS ({_as_of(AT, 'transaction', 'fact_key, version, content AS restored')}), c AS (SELECT fact_key, content FROM v WHERE is_current = 1) SELECT t.fact_key, version, restored, CASE WHEN content IS NULL THEN 'append' ELSE 'replace' END AS how FROM t LEFT JOIN c ON t.fact_key = c.fact_key WHERE restored IS DISTINCT FROM content AND length(restored) <= 2000",
-    "reconstructed_stores": _W + ", o AS (SELECT fact_key, min(seq) AS s FROM v GROUP BY 1) SELECT store, count(*) AS entries, sha256(string_agg(content, chr(10) || '§' || chr(10) ORDER BY s)) AS text_sha256 FROM v JOIN o USING (fact_key) WHERE is_current = 1 GROUP BY store",
+    "reconstructed_stores": _W + ", o AS (SELECT store, fact_key, min(seq) AS s FROM v GROUP BY ALL) SELECT store, count(*) AS entries, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(sum(CAST(CAST('0x' || substr(sha256(s || ':' || content), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM v JOIN o USING (store, fact_key) WHERE is_current = 1 GROUP BY store",
+    "restored": _W + f", m AS ({_as_of(AT, 'valid', 'fact_key, version, content')}), l AS (SELECT * FROM (SELECT fact_key, version, content, row_number() OVER (PARTITION BY fact_key ORDER BY version DESC) AS n FROM v) WHERE n = 1) SELECT 'version' AS selector, fact_key, version, CASE WHEN length(content) > 2000 THEN 'length' END AS refused FROM v WHERE version = 2 UNION ALL SELECT 'moment', fact_key, version, CASE WHEN length(content) > 15 THEN 'length' END FROM m UNION ALL SELECT 'last', fact_key, version, CASE WHEN length(content) > 2000 THEN 'length' END FROM l",
+    "archived_facts": "WITH " + VERSION_EVENTS_SQL + ", h AS (SELECT fact_key, event_type, recorded_at, substr(sha256(trim(content, ' ' || chr(9) || chr(10) || chr(13))), 1, 16) AS hash FROM ev), o AS (SELECT fact_key, hash, min(recorded_at) AS archived FROM h GROUP BY ALL) SELECT fact_key, count(*) AS blocks, min(archived) AS first FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.fact_key = o.fact_key AND h.hash = o.hash AND event_type = 'purchase') GROUP BY 1",
 }

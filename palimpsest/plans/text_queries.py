@@ -12,7 +12,7 @@ from ..operators import audit as A
 from ..operators import gate as G
 from ..operators import similarity as S
 from ..operators import temporal as T
-from .bind import ENTRIES_SQL, TODAY, entries, quoted, table
+from .bind import ALTERED_SQL, ENTRIES_SQL, TODAY, altered, entries, quoted, table
 
 def _t():
     return F.col("text")
@@ -135,15 +135,31 @@ def containment_dup(spark, d):
     return S.containment(items, known).select("id", "common", "n")
 
 
+def keyed(e):
+    """Entries (ref, store, text) with what the version store tells facts apart by."""
+    return e.select("ref", "store", "text", X.content_hash(_t()).alias("hash"), X.fact_key(_t()).alias("key"), X.is_pointer(_t()).alias("is_pointer"), X.fact_tokens(_t()).alias("tokens"))
+
+
+def known_facts(e):
+    """An entry table as the current facts of its stores: the first entry of each key."""
+    return keyed(e).groupBy("store", F.col("key").alias("fact_key")).agg(F.min_by("hash", "ref").alias("hash"), F.min_by("tokens", "ref").alias("tokens"), F.min_by("text", "ref").alias("content"))
+
+
 def match_decisions(spark, d):
-    """Odd entries matched against even ones as known facts."""
-    e = entries(spark, d).select("ref", X.content_hash(_t()).alias("hash"), X.fact_key(_t()).alias("key"), X.is_pointer(_t()).alias("is_pointer"), X.fact_tokens(_t()).alias("tokens"))
-    known = e.where("ref % 4 <> 1").select(F.col("key").alias("fact_key"), "hash", "tokens", "ref")
-    known = known.groupBy("fact_key").agg(F.min_by("hash", "ref").alias("hash"), F.min_by("tokens", "ref").alias("tokens"))
-    return T.match(e.where("ref % 4 = 1"), known, F.col("tokens"), FUZZY_MATCH).select("ref", "decision", "fact_key")
+    """All entries against the facts that an altered copy of all entries makes current."""
+    e = keyed(entries(spark, d))
+    return T.match(e, known_facts(altered(spark, d)), F.col("tokens"), FUZZY_MATCH).select("ref", "decision", "how", "fact_key")
+
+
+def ingest(spark, d):
+    """A pass over all entries against the facts of an altered copy; documents of the copy whose number ends in 7 are in the archives too."""
+    a = altered(spark, d)
+    archived = keyed(a).where("ref % 10 = 7").select(F.col("key").alias("fact_key"), F.col("text").alias("content"), F.concat(F.lit("2024-01-"), F.lpad((F.col("ref") % 28 + 1).cast("string"), 2, "0")).alias("archived_at"))
+    out = T.ingest(stored(keyed(entries(spark, d)), "keyed"), stored(known_facts(a), "known"), archived, FUZZY_MATCH)
+    return out.groupBy("store", F.coalesce("op", F.lit("none")).alias("op")).agg(F.count("*").alias("facts"), F.min("fact_key").alias("first"), F.count("archived_at").alias("archived"))
 
 
-QUERIES = {f.__name__: f for f in (content_hash, slug, derive_key, topic_of, est_tokens, extract_paths, latest_date, redact_secrets, clean_labels, token_bags, signals, entry_kinds, kind_counts, quality_scores, near_duplicates, best_duplicate, contradictions, recommended_actions, audit_summary, intake_gate, pin_classes, nearest_existing, containment_dup, match_decisions)}
+QUERIES = {f.__name__: f for f in (content_hash, slug, derive_key, topic_of, est_tokens, extract_paths, latest_date, redact_secrets, clean_labels, token_bags, signals, entry_kinds, kind_counts, quality_scores, near_duplicates, best_duplicate, contradictions, recommended_actions, audit_summary, intake_gate, pin_classes, nearest_existing, containment_dup, match_decisions, ingest)}
 
 _E = "WITH " + ENTRIES_SQL
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -221,10 +237,24 @@ _ACTION = _DUP + _CON + f""", act AS (SELECT ref, kind, CASE WHEN ref IN (SELECT
   FROM (SELECT *, sigil OR len({_FILES}) > 0 AS tgt, len({_PATHS}) AS np FROM o))"""
 _SC = lambda c: f"CAST(floor({c} * 10000e0 + 0.5e0) AS BIGINT) AS {c}"
 _KEY = f"""CASE WHEN hdr THEN 'notes-system-header' WHEN topic <> '' AND NOT list_contains({_stop(P.FACT_GENERIC)}, {_slug('topic')}) THEN {_slug('topic')} WHEN len(said) > 0 THEN {_slug("array_to_string(said, ' ')")} ELSE {_slug('base')} END"""
-_KEYS = _E + f""", b0 AS (SELECT *, starts_with({_STRIP.format('text')}, '↪') AS ptr, starts_with({_STRIP.format('text')}, 'Long-form notes live in') AS hdr FROM e),
-b1 AS (SELECT *, CASE WHEN ptr THEN {_STRIP.format("regexp_replace(regexp_replace(" + _STRIP.format("substr(" + _STRIP.format('text') + ", 2)") + ", '(?s)\\s*→\\s*archived\\b.*$', ''), '[ .…]+$', '')")} ELSE {_FIRST.format('text')} END AS base FROM b0),
-b2 AS (SELECT *, regexp_extract(base, '^([A-Za-z][\\pL\\pN_ &/+.\\-]{{1,46}}?)\\s*(?:\\([^)]*\\))?\\s*:', 1) AS topic, {_bag('base', '[A-Za-z][A-Za-z0-9]{2,}', P.FACT_STOP)}[1:6] AS said FROM b1),
-keys AS (SELECT ref, text, ptr, {_KEY} AS fact_key, substr(sha256({_STRIP.format('text')}), 1, 16) AS hash, list_distinct({_bag('text', '[A-Za-z][A-Za-z0-9]{2,}', P.FACT_STOP)}) AS t FROM b2)"""
+def _keys(src, to):
+    """Common table expressions that end in `to`: the entries of `src` with key, hash and tokens."""
+    return f"""{to}0 AS (SELECT *, starts_with({_STRIP.format('text')}, '↪') AS ptr, starts_with({_STRIP.format('text')}, 'Long-form notes live in') AS hdr FROM {src}),
+{to}1 AS (SELECT *, CASE WHEN ptr THEN {_STRIP.format("regexp_replace(regexp_replace(" + _STRIP.format("substr(" + _STRIP.format('text') + ", 2)") + ", '(?s)\\s*→\\s*archived\\b.*$', ''), '[ .…]+$', '')")} ELSE {_FIRST.format('text')} END AS base FROM {to}0),
+{to}2 AS (SELECT *, regexp_extract(base, '^([A-Za-z][\\pL\\pN_ &/+.\\-]{{1,46}}?)\\s*(?:\\([^)]*\\))?\\s*:', 1) AS topic, {_bag('base', '[A-Za-z][A-Za-z0-9]{2,}', P.FACT_STOP)}[1:6] AS said FROM {to}1),
+{to} AS (SELECT ref, store, text, ptr, {_KEY} AS fact_key, substr(sha256({_STRIP.format('text')}), 1, 16) AS hash, list_distinct({_bag('text', '[A-Za-z][A-Za-z0-9]{2,}', P.FACT_STOP)}) AS t FROM {to}2)"""
+
+
+_KEYS = _E + ", " + _keys("e", "keys")
+_BOTH = _KEYS + ", " + ALTERED_SQL + ", " + _keys("e2", "others")
+_KNOWN = _BOTH + ", kn AS (SELECT store, fact_key, arg_min(hash, ref) AS hash, arg_min(t, ref) AS t, arg_min(text, ref) AS content FROM others GROUP BY ALL)"
+_MATCH = _KNOWN + """, h AS (SELECT store, hash, min(fact_key) AS hash_key FROM kn GROUP BY ALL),
+j AS (SELECT x.ref, y.fact_key, count(*) AS common FROM (SELECT ref, store, unnest(t) AS w FROM keys WHERE NOT ptr) x JOIN (SELECT store, fact_key, unnest(t) AS w FROM kn) y ON x.w = y.w AND x.store = y.store GROUP BY ALL),
+f0 AS (SELECT j.ref, j.fact_key, CAST(common AS DOUBLE) / (len(c.t) + len(kn.t) - common) AS sim FROM j JOIN keys c ON c.ref = j.ref JOIN kn ON kn.fact_key = j.fact_key AND kn.store = c.store),
+f AS (SELECT ref, fact_key FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY sim DESC, fact_key) AS n FROM f0 WHERE sim >= 0.6e0) WHERE n = 1),
+mt AS (SELECT c.ref, c.store, c.text, c.hash, CASE WHEN hash_key IS NOT NULL THEN 'DUPLICATE' WHEN kn.fact_key IS NOT NULL OR f.fact_key IS NOT NULL THEN 'UPDATE' ELSE 'NEW' END AS decision,
+  CASE WHEN hash_key IS NOT NULL THEN 'hash' WHEN kn.fact_key IS NOT NULL THEN 'key' WHEN f.fact_key IS NOT NULL THEN 'fuzzy' END AS how, coalesce(hash_key, kn.fact_key, f.fact_key, c.fact_key) AS fact_key
+  FROM keys c LEFT JOIN h ON c.hash = h.hash AND c.store = h.store LEFT JOIN kn ON kn.fact_key = c.fact_key AND kn.store = c.store LEFT JOIN f ON f.ref = c.ref)"""
 _TOPICS = _E + f""", t0 AS (SELECT ref, {_STRIP.format('text')} AS t FROM e), t1 AS (SELECT ref, t AS t0, string_split(CASE WHEN starts_with(t, '↪') THEN {_STRIP.format('substr(t, 2)')} ELSE t END, chr(10))[1] AS head FROM t0),
 topics AS (SELECT ref, t0, CASE WHEN contains(substr(head, 1, 70), ':') THEN string_split(head, ':')[1] ELSE substr(head, 1, 70) END AS topic FROM t1)"""
 _RED = "html"
@@ -264,10 +294,11 @@ SQL = {
     "pin_classes": _TOPICS + f" SELECT ref, CASE WHEN {_says(P.SAFETY_PIN, 't0')} THEN 'safety' WHEN starts_with(t0, 'Long-form notes live in') THEN 'operational' WHEN {_says(P.OPERATIONAL_TOPIC, 'topic')} THEN 'operational' ELSE 'none' END AS pin FROM topics",
     "nearest_existing": _NEAR + " SELECT id, best_id, common, either FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(common AS DOUBLE) / either DESC, best_id) AS k FROM g) WHERE k = 1",
     "containment_dup": _NEAR + " SELECT id, common, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY common DESC, best_id) AS k FROM g) WHERE k = 1",
-    "match_decisions": _KEYS + """, kn AS (SELECT fact_key, arg_min(hash, ref) AS hash, arg_min(t, ref) AS t FROM keys WHERE ref % 4 <> 1 GROUP BY 1), c AS (SELECT * FROM keys WHERE ref % 4 = 1),
-h AS (SELECT hash, min(fact_key) AS hash_key FROM kn GROUP BY 1),
-j AS (SELECT x.ref, y.fact_key, count(*) AS common FROM (SELECT ref, unnest(t) AS w FROM c WHERE NOT ptr) x JOIN (SELECT fact_key, unnest(t) AS w FROM kn) y ON x.w = y.w GROUP BY ALL),
-f AS (SELECT ref, fact_key FROM (SELECT j.ref, j.fact_key, row_number() OVER (PARTITION BY j.ref ORDER BY CAST(common AS DOUBLE) / (len(c.t) + len(kn.t) - common) DESC, j.fact_key) AS n FROM j JOIN c ON c.ref = j.ref JOIN kn ON kn.fact_key = j.fact_key WHERE CAST(common AS DOUBLE) / (len(c.t) + len(kn.t) - common) >= 0.6e0) WHERE n = 1)
-SELECT c.ref, CASE WHEN hash_key IS NOT NULL THEN 'DUPLICATE' WHEN kn.fact_key IS NOT NULL OR f.fact_key IS NOT NULL THEN 'UPDATE' ELSE 'NEW' END AS decision, coalesce(hash_key, kn.fact_key, f.fact_key) AS fact_key
-FROM c LEFT JOIN h ON c.hash = h.hash LEFT JOIN kn ON kn.fact_key = c.fact_key LEFT JOIN f ON f.ref = c.ref""",
+    "match_decisions": _MATCH + " SELECT ref, decision, how, fact_key FROM mt",
+    "ingest": _MATCH + """, pl AS (SELECT store, fact_key, hash, row_number() OVER (PARTITION BY store, fact_key ORDER BY r) AS n FROM (SELECT store, fact_key, hash, min(ref) AS r FROM mt GROUP BY ALL)),
+m2 AS (SELECT mt.ref, mt.store, mt.text, mt.hash, CASE WHEN n > 1 THEN 'NEW' ELSE decision END AS decision, CASE WHEN n > 1 THEN mt.fact_key || '-' || n ELSE mt.fact_key END AS fact_key FROM mt JOIN pl ON pl.store = mt.store AND pl.fact_key = mt.fact_key AND pl.hash = mt.hash),
+ar AS (SELECT fact_key, max('2024-01-' || lpad(CAST(ref % 28 + 1 AS VARCHAR), 2, '0')) AS archived_at FROM others WHERE ref % 10 = 7 GROUP BY 1),
+li AS (SELECT m2.store, m2.fact_key, CASE WHEN kn.hash = m2.hash THEN NULL WHEN decision = 'NEW' THEN 'create' ELSE 'update' END AS op, CAST(NULL AS VARCHAR) AS archived_at FROM m2 LEFT JOIN kn ON kn.store = m2.store AND kn.fact_key = m2.fact_key),
+lo AS (SELECT kn.store, kn.fact_key, CASE WHEN ar.fact_key IS NOT NULL THEN 'archive' ELSE 'delete' END AS op, archived_at FROM kn LEFT JOIN ar ON ar.fact_key = kn.fact_key WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.store = kn.store AND m2.fact_key = kn.fact_key))
+SELECT store, coalesce(op, 'none') AS op, count(*) AS facts, min(fact_key) AS first, count(archived_at) AS archived FROM (SELECT * FROM li UNION ALL SELECT * FROM lo) GROUP BY ALL""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DELIMITER
+from ..functions.shared import ship
 from ..functions.text import strip
 
 EVENT = "event_id STRING, fact_key STRING, store STRING, seq BIGINT, op STRING, title STRING, content STRING, content_hash STRING, taxonomy STRING, valid_from STRING, valid_to STRING, recorded_at STRING, source STRING, confidence DOUBLE, actor STRING, reason STRING, tags ARRAY<STRING>, archived_path STRING"
@@ -17,6 +18,19 @@ def _whole(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """path, at (the line's number in its file, from 0), line: files cut at line feeds only, each in as many tasks as it has splits.
+
+    A task numbers its lines; what the splits before it hold comes from counts of splits, which are few."""
+    # a line feed that another character stands before doesn't count as a line's end elsewhere: U+2028 and its like stay in the line
+    raw = spark.read.option("lineSep", "\n").text(path)
+    read = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = read.groupBy("path", "block").agg(F.min("n").alias("first"), F.count("*").alias("k"))
+    before = splits.select("path", "block", "first", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("before"))
+    return read.join(before, ["path", "block"]).select("path", (F.col("n") - F.col("first") + F.col("before")).alias("at"), "line")
+
+
 def read_entries(spark: SparkSession, path, store: str) -> DataFrame:
     """store, raw_index, index, ref, text of a delimited file; blank entries are dropped, index counts the rest."""
     cut = _whole(spark, path).select("path", F.posexplode(F.split("value", DELIMITER)).alias("raw_index", "raw")).withColumn("text", strip(F.col("raw"))).where("text <> ''")
@@ -25,12 +39,14 @@ def read_entries(spark: SparkSession, path, store: str) -> DataFrame:
 
 
 def read_event_log(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """(events, bad lines) of a JSON-lines log cut at line feeds only. Bad: not an object, or without fact_key or content. Missing seq is the line's number."""
-    lines = _whole(spark, path).select("path", F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    """(events, bad lines) of a JSON-lines log cut at line feeds only. Bad: not an object, or without fact_key or content. Missing seq is the line's number, missing recorded_at
+    is valid_from, else the time of reading."""
+    lines = _lines(spark, path).where(F.trim("line") != "")
     read = lines.withColumn("e", F.from_json("line", EVENT, {"mode": "PERMISSIVE"}))
     good = F.col("e").isNotNull() & F.col("e.fact_key").isNotNull() & F.col("e.content").isNotNull()
     events = read.where(good).select("at", "e.*")
-    events = events.withColumn("seq", F.coalesce("seq", F.col("at") + 1)).withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("line-"), F.col("seq").cast("string")))).drop("at")
+    events = events.withColumn("seq", F.coalesce("seq", F.col("at") + 1)).withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("line-"), F.col("seq").cast("string"))))
+    events = events.withColumn("recorded_at", F.coalesce("recorded_at", "valid_from", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))).drop("at")
     return events, read.where(~F.coalesce(good, F.lit(False))).select("path", F.col("at"), "line")
 
 
@@ -42,7 +58,7 @@ def quarantine(bad: DataFrame, path: str, seen: DataFrame | None = None) -> None
 
 def read_shadow_events(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(events, errors with path and line number) of telemetry logs."""
-    lines = _whole(spark, paths).select("path", F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    lines = _lines(spark, paths).where(F.trim("line") != "")
     read = lines.withColumn("e", F.from_json("line", SHADOW))
     bad = ~F.startswith(F.ltrim("line"), F.lit("{")) | F.col("e").isNull() | F.expr("try_parse_json(line) IS NULL")
     return read.where(~bad).select("path", F.col("at").alias("ordinal"), "e.*"), read.where(bad).select("path", (F.col("at") + 1).alias("line_number"), "line")
@@ -84,7 +100,7 @@ def read_notes_index(spark: SparkSession, path) -> DataFrame:
 def read_transcripts(spark: SparkSession, path, turns: int = 20) -> DataFrame:
     """Human turns of JSON-lines transcripts: text of string or list contents, one per first 80 characters, the first `turns` of a session (the format's sampling rule)."""
     kind = "type STRING, message STRUCT<role: STRING, content: STRING>"
-    lines = _whole(spark, path).select("path", F.posexplode(F.split("value", "\n")).alias("ord", "line")).withColumn("e", F.from_json("line", kind)).where("e.message.role = 'user'")
+    lines = _lines(spark, path).withColumnRenamed("at", "ord").withColumn("e", F.from_json("line", kind)).where("e.message.role = 'user'")
     raw = F.col("e.message.content")
     parts = F.array_join(F.transform(F.filter(F.from_json(raw, "ARRAY<STRUCT<type: STRING, text: STRING>>"), lambda x: x["type"] == "text"), lambda x: x["text"]), " ")
     said = lines.withColumn("content", strip(F.when(F.startswith(raw, F.lit("[")), F.coalesce(parts, raw)).otherwise(raw))).where("content <> ''").withColumn("key", F.left("content", F.lit(80)))
@@ -109,6 +125,33 @@ def role_of(path: Column) -> Column:
     return F.when(F.exists(parts, lambda p: p.isin("backup", "backups", "_archive")), "backup").when(F.array_contains(parts, "profiles"), "profile").when(F.exists(parts, lambda p: p.isin("work", "tmp")), "work").otherwise("main")
 
 
+#: Fixed value: how a SQLite file begins.
+SQLITE_MAGIC = b"SQLite format 3\x00"
+
+
+def _begins(paths):
+    """Whether each file begins as a SQLite file; null where it can't be read."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    out = []
+    for p in paths.to_pylist():
+        try:
+            system, place = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+            with system.open_input_file(place) as f:
+                out.append(f.read(len(SQLITE_MAGIC)) == SQLITE_MAGIC)
+        except OSError:
+            out.append(None)
+    return pa.array(out, pa.bool_())
+
+
+def discover_stores(spark: SparkSession, root: str, names: str = "*.db") -> DataFrame:
+    """path, role, bytes, modified, is_sqlite of every store under a folder, however deep, of which only the first bytes are read. Links to folders are followed as Spark's listing does."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
+    listed = files.select("path", role_of(F.col("path")).alias("role"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return listed.withColumn("is_sqlite", F.arrow_udf(_begins, "boolean")("path"))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """New part files, so a torn last line can't be."""
     events.write.mode("append").json(path)
@@ -117,3 +160,6 @@ def append_events(events: DataFrame, path: str) -> None:
 def upsert_vectors(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The collection after an upsert: what is there and still wanted, and what is new. Ids that are no longer wanted go."""
     return existing.join(incoming.select("id"), "id", "left_semi").unionByName(incoming.join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+ship(__name__)

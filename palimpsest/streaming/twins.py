@@ -15,7 +15,9 @@ STATE = "version int, event_id long, content string, recorded_at timestamp"
 
 
 def closed_versions(events: DataFrame) -> DataFrame:
-    """A stream of events (fact_key, event_id, content, recorded_at) as versions, each written once its successor has come; the state is a fact's last version."""
+    """A stream of events (fact_key, event_id, content, recorded_at) as versions, each written once its successor has come; the state is a fact's last version, one row a fact.
+
+    An event that comes after one recorded later than it would end a version before it began: it is passed over, and a rebuild from the log gives it its place."""
 
     def step(key, frames: Iterator, state):
         import pandas as pd
@@ -23,6 +25,8 @@ def closed_versions(events: DataFrame) -> DataFrame:
         new = pd.concat(list(frames)).sort_values(["recorded_at", "event_id"])
         held, out = (state.get if state.exists else None), []
         for x in new.itertuples(index=False):
+            if held is not None and (x.recorded_at, x.event_id) < (held[3], held[1]):
+                continue
             if held is not None:
                 out.append((key[0], held[0], held[1], held[2], held[3], x.recorded_at, x.event_id))
             held = ((held[0] if held is not None else 0) + 1, x.event_id, x.content, x.recorded_at)

@@ -7,12 +7,12 @@ Of the groups that share a posted shingle, pairs that fail the size or the posit
 expanded to their members, and members are verified on their whole sets.
 
 As a class needs only enough links to hold together, the pairs are taken in turns. First each posting list's
-smallest member is paired with the others (as many pairs as postings). Lists whose members are then all in one component are done. In
-lists with many members outside their largest component, LEADS members of that component are tried with those outside, each in one of its lists, turn after turn (each
-turn makes LEADS pairs for such a member at most), until few are left outside. In what is left then,
-members outside the list's largest component are paired with all members of other components, except where the
-triangle inequality of the Jaccard distance, by way of any of the list's leads so far, rules a link out. No link between components is lost, and no list
-of n members that are alike makes more than a few times n pairs.
+lead (the member with the fewest rare shingles, which is the one nearest to what the list's members are copies of) is paired with the others (as many pairs as postings). Lists whose members are then
+all in one component are done. Where many members are outside their lists' largest components, LEADS members of that component are tried with those outside, each in one of its lists, as
+long as that helps (a turn makes LEADS pairs for such a member at most). In what is left then,
+members outside the list's largest component are paired with all members of other components, except where what is known of both against the list's lead rules a link out: the
+triangle inequality of the Jaccard distance, and the shingles that one lacks of the lead, or has besides it, and the other doesn't, counted from below by maps of BITS bits. No link between components is
+lost, and no list of n members that are alike makes more than a few times n pairs.
 
 Common shingles: every shingle is counted. A task adds up what it has read before it sends (value, count) runs to be merged by hash range, so
 a shingle of every document is a row for each RUN different ones. Those in more than HOT documents
@@ -39,12 +39,14 @@ from .shingles import add_up, mix, pack, pack_counts, release, steps, unpack, un
 
 WIDTH, NEAR = 5, 75
 #: Members outside its largest component that a list may have when what is left is looked at pair by pair; leads of a turn; turns at most.
-FEW, LEADS, TURNS = 4, 8, 6
+FEW, LEADS, TURNS = 4, 8, 3
 #: Posted shingles before a shared one by which a pair is known to have been met.
 LOOK_BACK = 8
 #: Rows of text, and of pairs of whole sets, that go to a Python worker at once.
 TEXTS, SETS = 1000, 250
 HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 2 << 20, 1 << 20
+#: Bits of the maps of what a set has and another hasn't.
+BITS = 512
 #: Different shingles that a task holds before it sends their counts.
 RUN = 1 << 19
 _LOW, _A, _B = np.uint64(16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -103,20 +105,20 @@ def frequent_shingles(texts: DataFrame, width: int, hot: int, most: int) -> tupl
     return hashes[order], times[order]
 
 
-def prefix_of(values: np.ndarray, near: int, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The prefix of a sorted set under the global order."""
+def prefix_of(values: np.ndarray, near: int, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
+    """The prefix of a sorted set under the global order, and how many of the set's shingles aren't frequent."""
     n = len(values)
     p = n - -(-near * n // 100) + 1
     if not len(hashes):
-        return values[:p]
+        return values[:p], n
     tokens = values >> _LOW
     at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
     hot = hashes[at] == tokens
-    cold = values[~hot][:p]
-    if len(cold) == p:
-        return cold
+    cold = values[~hot]
+    if len(cold) >= p:
+        return cold[:p], len(cold)
     warm = values[hot]
-    return np.concatenate([cold, warm[np.lexsort((warm, times[at[hot]]))][: p - len(cold)]])
+    return np.concatenate([cold, warm[np.lexsort((warm, times[at[hot]]))][: p - len(cold)]]), len(cold)
 
 
 def _sums(values: np.ndarray) -> tuple[int, int]:
@@ -125,7 +127,7 @@ def _sums(values: np.ndarray) -> tuple[int, int]:
 
 
 def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> DataFrame:
-    """docs (doc_id, text, key). Two kinds of row: per document doc_id, key, n, the two sums of its set and grp; per run of documents and
+    """docs (doc_id, text, key). Two kinds of row: per document doc_id, key, n, the two sums of its set, grp and cold (its shingles that aren't frequent); per run of documents and
     hash range the posted shingles with their groups and positions, a prefix posted once a task."""
     spark, ranges = docs.sparkSession, _ranges(docs)
     sent = spark.sparkContext.broadcast((hashes, times))
@@ -137,21 +139,23 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
         seen = set()
         for batch in batches:
             for start, end, sets in steps(batch.column(1), STEP):
-                n, ones, twos, group, tokens, owner, place = [], [], [], [], [], [], []
+                n, ones, twos, group, colds, tokens, owner, place = [], [], [], [], [], [], [], []
                 for s in sets:
                     n.append(len(s))
                     if not len(s):
                         ones.append(None)
                         twos.append(None)
                         group.append(None)
+                        colds.append(None)
                         continue
                     one, two = _sums(s)
-                    head = prefix_of(s, near, hot, often)
+                    head, cold = prefix_of(s, near, hot, often)
                     first, last = _sums(head)
                     g = int(mix(np.array([last & ((1 << 64) - 1)], np.uint64) + np.uint64(len(s)))[0] >> np.uint64(24))
                     ones.append(one)
                     twos.append(two)
                     group.append(g)
+                    colds.append(cold)
                     if (g, first) not in seen:
                         seen.add((g, first))
                         tokens.append(head >> _LOW)
@@ -159,7 +163,7 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                         place.append(np.arange(len(head)))
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start).cast(pa.int64()), batch.column(2).slice(start, end - start), pa.array(n, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(group, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
+                    [batch.column(0).slice(start, end - start).cast(pa.int64()), batch.column(2).slice(start, end - start), pa.array(n, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(group, pa.int64()), pa.array(colds, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
                     names=names,
                 )
                 if not tokens:
@@ -172,13 +176,13 @@ def post(docs: DataFrame, near: int, hashes: np.ndarray, times: np.ndarray) -> D
                 full = np.flatnonzero(np.diff(at))
                 k, cut = len(full), [slice(at[r], at[r + 1]) for r in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64())] * 6 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
+                    [pa.nulls(k, pa.int64())] * 7 + [pa.array(full, pa.int64()), pa.array([pack(token[c]) for c in cut], pa.binary()), pa.array([who[c].tobytes() for c in cut], pa.binary()), pa.array([pos[c].tobytes() for c in cut], pa.binary())],
                     names=names,
                 )
         release()
 
-    names = ["doc_id", "key", "n", "one", "two", "grp", "range", "tokens", "owners", "places"]
-    return stash(docs.mapInArrow(run, "doc_id long, key long, n long, one long, two long, grp long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
+    names = ["doc_id", "key", "n", "one", "two", "grp", "cold", "range", "tokens", "owners", "places"]
+    return stash(docs.mapInArrow(run, "doc_id long, key long, n long, one long, two long, grp long, cold long, range long, tokens binary, owners binary, places binary"), "posted", TEXTS)
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -221,7 +225,8 @@ def _likely(a: str, b: str, near: int):
 
 
 def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b) of set numbers with na, nb and both, the size of the intersection; and all whole sets read so far, of which known are at hand."""
+    """pairs (a, b) of set numbers with na, nb, both (the size of the intersection) and maps of lost (what a has and b hasn't) and new (the reverse); and all whole sets read so far, of
+    which known are at hand."""
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
     if known is not None:
         wanted = wanted.join(known.select("set"), "set", "left_anti")
@@ -243,23 +248,35 @@ def verify(pairs: DataFrame, units: DataFrame, docs: DataFrame, known: DataFrame
     whole = stash(whole.dropDuplicates(["set"]), "sets", TEXTS)
     whole = whole if known is None else known.unionByName(whole)
 
+    def bits(values):
+        out = np.zeros(BITS, dtype=bool)
+        out[(values % np.uint64(BITS)).astype(np.int64)] = True
+        return np.packbits(out).view(np.int64)
+
     def meet(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            held, x, both = None, None, []
+            held, x, both, lost, new = None, None, [], [], []
             a, va, vb = batch.column("a").to_pylist(), batch.column("va"), batch.column("vb")
             for i in range(batch.num_rows):
                 if a[i] != held:
                     held, x = a[i], unpack(va[i].as_py())
                 y = unpack(vb[i].as_py())
-                both.append(len(np.intersect1d(x, y)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                hit = x[at] == y
+                alone = np.ones(len(x), dtype=bool)
+                alone[at[hit]] = False
+                both.append(int(hit.sum()))
+                lost.append(bits(x[alone]))
+                new.append(bits(y[~hit]))
+            words = lambda rows: pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (BITS // 64), np.concatenate([*rows, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(both, pa.int64()), words(lost), words(new)], names=["a", "b", "na", "nb", "both", "lost", "new"])
         release()
 
     right = pairs.join(whole.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("values").alias("vb")), "b")
     full = right.join(whole.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("values").alias("va")), "a")
-    met = full.select("a", "b", "na", "nb", "va", "vb").mapInArrow(meet, "a long, b long, na long, nb long, both long")
+    met = full.select("a", "b", "na", "nb", "va", "vb").mapInArrow(meet, "a long, b long, na long, nb long, both long, lost array<long>, new array<long>")
     return stash(met, "tried", SETS), whole
 
 
@@ -268,8 +285,8 @@ def _linked(near: int):
 
 
 def _leads(sided: DataFrame, turn: int) -> DataFrame:
-    """token, set, n, pos of LEADS members of the largest component of each list that has more than FEW outside, others each turn."""
-    least = F.struct(F.xxhash64(F.lit(turn), "set").alias("h"), "set", "n", "pos")
+    """token, set, n, pos of LEADS members of the largest component of each list that has more than FEW outside, others each turn, those of the fewest rare shingles first."""
+    least = F.struct("cold", F.xxhash64(F.lit(turn), "set").alias("h"), "set", "n", "pos")
     busy = sided.where("busy and not minor").groupBy("token", F.pmod(F.xxhash64(F.lit(turn), F.lit(5), "set"), F.lit(LEADS)).alias("j")).agg(F.min(least).alias("f"))
     return busy.select("token", "f.set", "f.n", "f.pos")
 
@@ -290,22 +307,30 @@ def _merged(held: DataFrame, links: DataFrame) -> DataFrame:
     return held.unionByName(alone).join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
-def _rest(sided: DataFrame, leads: DataFrame, tried: DataFrame, near: int) -> DataFrame:
+def _apart(near: int):
+    """Whether x and y, of one list, may link by what is known of them against the list's lead; true where one of them is unknown.
+
+    Of the lead's shingles x has those that y lacks and x doesn't; of the others it has its own new ones. Bits that one map has and the other hasn't stand for different shingles."""
+    only = lambda p, q: sum((F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(BITS // 64)), F.lit(0))
+    x_alone = only(F.col("y.lost"), F.col("x.lost")) + only(F.col("x.new"), F.col("y.new"))
+    y_alone = only(F.col("x.lost"), F.col("y.lost")) + only(F.col("y.new"), F.col("x.new"))
+    most = F.least(F.col("x.n") - x_alone, F.col("y.n") - y_alone)
+    close = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - near / 100 + 1e-9, F.lit(True))
+    return close & F.coalesce((100 + near) * most >= near * (F.col("x.n") + F.col("y.n")), F.lit(True))
+
+
+def _rest(sided: DataFrame, first: DataFrame, tried: DataFrame, near: int) -> DataFrame:
     """Every pair of a list's members in different components that nothing rules out."""
-    far = tried.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"))
-    either = far.unionByName(far.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-    # as many entries as pairs that were tried, which are linear in the postings
-    known = either.groupBy(F.col("b").alias("set")).agg(F.map_from_entries(F.collect_list(F.struct("a", "far"))).alias("known"))
-    of = leads.groupBy("token").agg(F.array_sort(F.collect_set("set")).alias("leads"))
-    to = F.transform("leads", lambda l: F.when(l == F.col("set"), F.lit(0.0)).otherwise(F.try_element_at("known", l)))
-    away = sided.join(of, "token").join(known, "set", "left").select("token", "set", "n", "pos", "component", "minor", to.alias("far"))
+    met = tried.select("a", F.col("b").alias("set"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far"), "lost", "new")
+    none, own = F.array(*[F.lit(0).cast("long")] * (BITS // 64)), F.col("a") == F.col("set")
+    away = sided.join(first.select("token", F.col("set").alias("a")), "token").join(met, ["a", "set"], "left")
+    away = away.withColumns({"far": F.when(own, 0.0).otherwise(F.col("far")), "lost": F.when(own, none).otherwise(F.col("lost")), "new": F.when(own, none).otherwise(F.col("new"))})
     # where two members also share one of the shingles just before, they were met there already: a pair that shares many comes out about once
     before = F.collect_list("token").over(Window.partitionBy("set").orderBy("pos", "token").rowsBetween(-LOOK_BACK, -1))
-    away = stash(away.withColumn("before", before), "away")
+    away = stash(away.withColumn("before", before).select("before", "token", "set", "n", "pos", "component", "far", "lost", "new", "minor"), "away")
     x, y = away.where("minor").alias("x"), away.alias("y")
-    apart = F.forall(F.zip_with("x.far", "y.far", lambda p, q: F.coalesce(F.abs(p - q) <= 1 - near / 100 + 1e-9, F.lit(True))), lambda ok: ok)
     once = (~F.col("y.minor") | (F.col("x.set") < F.col("y.set"))) & ~F.arrays_overlap("x.before", "y.before")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", near) & apart & once)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _likely("x", "y", near) & once & _apart(near))
     return pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
 
 
@@ -326,18 +351,18 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), text_key(text).alias("key"))
     hashes, times = frequent_shingles(docs.select("text"), WIDTH, hot, FREQUENT)
     posted = post(docs, near, hashes, times)
-    rows = posted.where(F.col("range").isNull()).select("doc_id", "key", "n", F.col("one").alias("set"), "one", "two", "grp")
+    rows = posted.where(F.col("range").isNull()).select("doc_id", "key", "n", F.col("one").alias("set"), "one", "two", "grp", "cold")
     twins = stash(rows.groupBy("one").agg(F.min("two").alias("least"), F.max("two").alias("last")).where("least <> last").select("one", F.lit(True).alias("twin")), "twins")
     if not twins.isEmpty():
         rows = rows.join(twins, "one", "left").withColumn("set", F.when(F.col("twin"), F.xxhash64("one", "two")).otherwise(F.col("one"))).drop("twin")
-    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "one", "two", "grp", "n").agg(F.min("doc_id").alias("one_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("at")), "units")
+    units = stash(rows.where(F.col("set").isNotNull()).groupBy("set", "one", "two", "grp", "n", "cold").agg(F.min("doc_id").alias("one_id"), F.coalesce(F.min("doc_id"), F.min("key")).alias("at")), "units")
     groups = units.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("pos"))
-    lists = stash(shared_postings(posted).unionByName(groups).join(units.select("grp", "set", "n"), "grp").select("token", "set", "n", "pos"), "lists", TEXTS)
-    first = lists.groupBy("token").agg(F.min(F.struct("set", "n", "pos")).alias("f")).select("token", "f.*")
+    lists = stash(shared_postings(posted).unionByName(groups).join(units.select("grp", "set", "n", "cold"), "grp").select("token", "set", "n", "cold", "pos"), "lists", TEXTS)
+    first = lists.groupBy("token").agg(F.min(F.struct("cold", "set", "n", "pos")).alias("f")).select("token", "f.*")
     star = lists.alias("x").join(first.alias("f"), "token").where((F.col("x.set") != F.col("f.set")) & _likely("x", "f", near))
     tried, whole = verify(stash(star.select(F.col("f.set").alias("a"), F.col("x.set").alias("b")).distinct(), "pairs"), units, docs)
-    leads, before, turn = first.select("token", "set"), float("inf"), 0
-    held, whole_run = stash(components(tried.where(_linked(near)).select("a", "b")), "components"), True
+    before, turn = float("inf"), 0
+    held = stash(components(tried.where(_linked(near)).select("a", "b")), "components")
     while True:
         # the lists that still hold more than one component
         part = lists.join(held.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -351,21 +376,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: i
         members, pending = sided.agg(F.count("*"), F.coalesce(F.sum("outside"), F.lit(0))).first()
         if not members:
             break
-        last = turn == TURNS or pending <= FEW * members or pending > 0.9 * before
-        if last and not whole_run:
-            held, whole_run = stash(components(tried.where(_linked(near)).select("a", "b")), "components"), True
-            continue
-        if not last:
-            more_leads = stash(_leads(sided, turn), "leads")
-            leads = leads.unionByName(more_leads.select("token", "set"))
-        pairs = _rest(sided, leads, tried, near) if last else _star(sided, more_leads, near)
+        last = turn == TURNS or pending <= FEW * members or pending > 0.5 * before
+        pairs = _rest(sided, first, tried, near) if last else _star(sided, stash(_leads(sided, turn), "leads"), near)
         seen = tried.select("a", "b").union(tried.select("b", "a"))
         pairs = stash(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         more, whole = verify(pairs, units, docs, whole)
         tried = tried.unionByName(more)
         if last:
             break
-        held, whole_run = stash(_merged(held, more.where(_linked(near)).select("a", "b")), "components"), False
+        held = stash(_merged(held, more.where(_linked(near)).select("a", "b")), "components")
         before, turn = pending, turn + 1
     links = tried.where(_linked(near)).select("a", "b")
     held = stash(components(links), "components")

@@ -17,6 +17,9 @@ from .sentencepiece_codec import encode
 from .url_filter import filter_urls
 from .warc import round_trip
 
+#: The tokenizer model that the queries use.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 #: Fixed rules: host, path, verdict.
 RULES = [
     ("com", "/", "allow"),
@@ -40,7 +43,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number of ids, the SHA-256 of the comma-joined ids, and whether decoding gives the text back."""
-    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MODEL)
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"), (F.col("decoded") == text_of("text")).alias("round_trip"))
 
 

@@ -11,8 +11,8 @@ therefore its last piece under the model's own merges: among the pieces that end
 piece of the prefix before it, namely that which merging the two pieces' letters alone leaves apart. Following those
 states back gives the model's segmentation. Characters outside the vocabulary become byte pieces.
 
-A null text is encoded as an empty one: no ids. Each row is encoded by itself: ties, repeated rows and extra columns don't matter. An empty table
-gives an empty result. Memory is one Arrow batch, its different words and two caches of bounded size. The model is read once on the driver and sent as one broadcast of fixed size.
+A null text is encoded as an empty one: no ids. Each row is encoded by itself: ties, repeated rows and extra columns, whatever their names, don't matter. A very long
+text is cut into words like any other. An empty table gives an empty result. Memory is one Arrow batch, its different words and two caches of bounded size. The model is read once on the driver and sent as one broadcast of fixed size.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 
 from .common import free_name, ship, text_of
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces that a task remembers; bytes of text whose words are sorted at once.
 CACHE, STEP = 200_000, 3 << 20
@@ -186,8 +185,8 @@ def read_model(path: str) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.vocab_size())]
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with token_ids (array<int>) and decoded (the ids' text); underscored where docs has such names."""
+def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """docs with the token_ids (array<int>) of the model at that path and decoded (the ids' text); underscored where docs has such names."""
     names = docs.columns
     token_ids, decoded = free_name(names, "token_ids"), free_name(names, "decoded")
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model))

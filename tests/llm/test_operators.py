@@ -17,7 +17,8 @@ from palimpsest.llm.line_dedup import line_dedup
 from palimpsest.llm.mixing import mix, pivot
 from palimpsest.llm.ngram_join import ngram_join
 from palimpsest.llm.quality import score_quality
-from palimpsest.llm.sentencepiece_codec import MODEL, Codec, encode
+from palimpsest.llm.queries import MODEL
+from palimpsest.llm.sentencepiece_codec import Codec, encode
 from palimpsest.llm.url_filter import filter_urls
 from palimpsest.llm.warc import fetch, open_bundle, plan_records, read_bundles, read_frame, read_seek_table, round_trip, seek_table, write_bundles
 
@@ -109,9 +110,9 @@ def test_sentencepiece_equals_the_library(spark):
     assert ids == sp.encode(texts)
     assert [codec.decode(x) for x in ids] == texts
     df = docs(spark, corpus(1)).withColumn("decoded", F.lit("own"))
-    rows = encode(df).collect()
+    rows = encode(df, MODEL).collect()
     assert len(rows) == len(corpus(1)) and all(x._decoded == (x.text or "") and x.token_ids == sp.encode(x.text or "") and x.decoded == "own" for x in rows)
-    assert encode(docs(spark, [])).count() == 0
+    assert encode(docs(spark, []), MODEL).count() == 0
 
 
 def shingles(t):

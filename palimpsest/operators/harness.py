@@ -63,3 +63,26 @@ def valid_tasks(tasks: DataFrame) -> DataFrame:
     pins = tasks.where(F.col("pin").isNotNull() & ~F.col("pin").isin("safety", "identity", "operational")).select("id", F.lit("bad pin").alias("problem"))
     bare = tasks.groupBy("id").agg(F.count("label").alias("n")).where("n = 0").select("id", F.lit("no label").alias("problem"))
     return twice.union(pins).union(bare).distinct()
+
+
+def control(entries: DataFrame) -> DataFrame:
+    """entries (task, ref, label, required, selected), selected by a run without a budget: per task whether the fixture is valid, i.e. all that is required was selected, and the labels that weren't."""
+    missed = F.col("required") & ~F.col("selected")
+    return entries.groupBy("task").agg(F.count_if("required").alias("required"), F.array_sort(F.collect_list(F.when(missed, F.col("label")))).alias("missing")).withColumn("valid", F.size("missing") == 0)
+
+
+def pin_probe(entries: DataFrame) -> DataFrame:
+    """entries (task, ref, expected, actual, selected), selected by a run with a budget of 0: per task the pins that didn't survive it, and those that did under another class than expected."""
+    pins = entries.where(F.col("expected").isNotNull())
+    return pins.groupBy("task").agg(
+        F.count("*").alias("pins"), F.array_sort(F.collect_list(F.when(~F.col("selected"), F.col("ref")))).alias("dropped"),
+        F.array_sort(F.collect_list(F.when(F.col("selected") & ~F.col("actual").eqNullSafe(F.col("expected")), F.col("ref")))).alias("misclassed"),
+    )
+
+
+def with_controls(statuses: DataFrame, controls: DataFrame, probes: DataFrame) -> DataFrame:
+    """Task statuses (task, status) made worse by an invalid fixture or a dropped pin, which fail, and by a pin of another class, which warns."""
+    j = statuses.join(controls.select("task", "valid"), "task", "left").join(probes.select("task", "dropped", "misclassed"), "task", "left")
+    fail = ~F.coalesce("valid", F.lit(True)) | (F.coalesce(F.size("dropped"), F.lit(0)) > 0)
+    warn = F.coalesce(F.size("misclassed"), F.lit(0)) > 0
+    return j.withColumn("status", F.when(fail, "FAIL").when(warn & (F.col("status") == "PASS"), "WARN").otherwise(F.col("status"))).drop("valid", "dropped", "misclassed")

@@ -61,3 +61,15 @@ def drift_kind(live_text: Column, rebuilt_text: Column, same_bag: Column) -> Col
     """exact, whitespace, order or content."""
     flat = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     return F.when(live_text == rebuilt_text, "exact").when(flat(live_text) == flat(rebuilt_text), "whitespace").when(same_bag, "order").otherwise("content")
+
+
+def store_drift(live: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """live and rebuilt entries (store, at, text): per store exact, whitespace, order or content, by sums of hashes instead of whole files.
+
+    Places and texts agree; else the texts without white space agree in order; else as bags; else the contents differ."""
+    flat = F.regexp_replace("text", r"(?U)\s+", "")
+    digest = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    sums = lambda e, p: e.groupBy("store").agg(digest("at", "text").alias(f"{p}_exact"), digest("at", flat).alias(f"{p}_flat"), digest(F.lit(0), "text").alias(f"{p}_bag"))
+    j = sums(live, "x").join(sums(rebuilt, "y"), "store", "full_outer")
+    same = lambda k: F.col(f"x_{k}").eqNullSafe(F.col(f"y_{k}"))
+    return j.select("store", F.when(same("exact"), "exact").when(same("flat"), "whitespace").when(same("bag"), "order").otherwise("content").alias("drift"))

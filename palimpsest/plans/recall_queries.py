@@ -143,6 +143,9 @@ SELECT query_id, id, rank, source, score FROM (SELECT *, row_number() OVER (PART
 p AS (SELECT a, b, c, len(x.t) + len(y.t) - c AS u FROM j JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE c > 0.3e0 * (len(x.t) + len(y.t) - c)), v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
 SELECT a, b, c >= 0.45e0 * u AS token_flagged, list_cosine_similarity(x.vec, y.vec) >= 0.85e0 AS semantic, CAST(round(list_cosine_similarity(x.vec, y.vec) * 1000000) AS BIGINT) AS cosine FROM p JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b""",
     "recency_scores": _E + _SCORES + " SELECT ref, CASE WHEN latest IS NULL THEN 'neutral-default' ELSE 'text-date' END AS source, CAST(round(CASE WHEN latest IS NULL THEN 0.5e0 ELSE least(1e0, pow(0.5e0, greatest(age, 0) / 30e0)) END * 1000000) AS BIGINT) AS recency FROM o",
+    "projection_scores": f"""SELECT ref // 50 AS grp, ref, tokens, pinned, CAST(floor(round(greatest(0e0, least(1e0, 0.25e0 * greatest(0e0, least(1e0, (durability + pointer_quality) / 2e0)) + 0.15e0 * rec + 0.15e0 * specificity + 0.1e0 * hot_memory_fit + CASE WHEN pinned THEN 0.15e0 ELSE 0e0 END + 0.2e0 * rel)), 4) * 1000 + 0.5e0) AS BIGINT) AS score
+FROM (SELECT x.*, z.pinned, round(coalesce(y.score, 0e0), 4) AS rel FROM ({_E}{_SCORES} SELECT ref, CAST((n + 3) // 4 + 1 AS INTEGER) AS tokens, durability, pointer_quality, specificity, hot_memory_fit, CASE WHEN latest IS NULL THEN 0.5e0 ELSE least(1e0, pow(0.5e0, greatest(age, 0) / 30e0)) END AS rec FROM o) x
+JOIN ({_TOPICS} SELECT ref, {_says(P.SAFETY_PIN, 't0')} OR starts_with(t0, 'Long-form notes live in') OR {_says(P.OPERATIONAL_TOPIC, 'topic')} AS pinned FROM topics) z USING (ref) LEFT JOIN ({_LEX} SELECT query_id, id, score FROM lex) y ON y.id = x.ref AND y.query_id = x.ref // 50)""",
     "reserve_fill": _RESERVE,
     "knapsack_selection": _E + f""", i AS (SELECT ref // 8 AS grp, ref % 8 AS bit, (length(text) + 3) // 4 + 1 AS w, ref * 37 % 101 + 1 AS val FROM e),
 s AS (SELECT grp, m, coalesce(sum(w) FILTER ((m >> bit) & 1 = 1), 0) AS w, coalesce(sum(val) FILTER ((m >> bit) & 1 = 1), 0) AS val FROM i, range(256) t(m) GROUP BY ALL) SELECT grp, CAST(max(val) AS BIGINT) AS value FROM s WHERE w <= {BUDGET} GROUP BY 1 HAVING max(val) > 0""",

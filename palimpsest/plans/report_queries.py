@@ -13,7 +13,7 @@ from ..operators import health as L
 from ..operators import rewrite as W
 from ..streaming import twins
 from .bind import TODAY, altered, entries, table
-from .text_queries import _BOTH
+from .text_queries import _BOTH, _E
 
 
 def _recommended(spark, d):
@@ -35,6 +35,31 @@ def composed_files(spark, d):
     return W.composed(W.compose(W.decide(_recommended(spark, d), TODAY)))
 
 
+def rewrite_manifest(spark, d):
+    return W.manifest(W.decide(_recommended(spark, d), TODAY)).select("store", "entries", "chars", "source_digest", (F.col("entries_after") <= F.col("entries")).alias("no_more"), "grew")
+
+
+def rewrite_archives(spark, d):
+    return W.archives(W.decide(_recommended(spark, d), TODAY), TODAY, "~/archive").select("ref", "kind", "slug", "hash", "destination")
+
+
+def fixture_controls(spark, d):
+    """Tasks whose required documents a run without a budget selects but for very long ones, and pins that a run with none keeps but for each ninth."""
+    t = _tasks(spark, d)
+    c = H.control(t.select("task", "ref", F.col("ref").cast("string").alias("label"), "required", (F.col("tokens") < 6000).alias("selected")))
+    p = H.pin_probe(t.select("task", "ref", F.when(F.col("pinned"), "safety").alias("expected"), F.when(F.col("ref") % 5 != 0, "safety").alias("actual"), (F.col("ref") % 9 != 0).alias("selected")))
+    s = H.with_controls(H.task_status(H.recall(t, F.lit(700))).select("task", "mode", "status"), c, p)
+    return s.join(c.select("task", F.array_join("missing", ",").alias("missing")), "task").join(p.select("task", F.size("dropped").alias("dropped"), F.size("misclassed").alias("misclassed")), "task", "left")
+
+
+def drift_kinds(spark, d):
+    """Each source's documents as a store, rebuilt from other copies: as they are, with other white space, in another order, or with another text."""
+    live = table(spark, d, "documents").select(F.col("source").alias("store"), F.col("doc_id").alias("at"), "text")
+    k = F.pmod(F.length("store") + F.ascii(F.right("store", F.lit(1))), F.lit(4))
+    rebuilt = live.withColumn("text", F.when(k == 1, F.concat("text", F.lit("  "))).when(k == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("at", F.when(k == 2, -F.col("at")).otherwise(F.col("at")))
+    return L.store_drift(live, rebuilt)
+
+
 def capacity_flags(spark, d):
     """Each source's documents as a store of 100,000 characters."""
     files = table(spark, d, "documents").groupBy(F.col("source").alias("store")).agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("entries")).withColumn("char_limit", F.lit(100000))
@@ -112,14 +137,15 @@ def streaming_once(spark, d):
 
 
 def windowed_counts(spark, d):
-    return twins.drain(twins.windowed(_stream(spark, d)), shared_dir(spark))
+    return twins.drain(twins.windowed(_stream(spark, d)), shared_dir(spark)).withColumn("from", F.col("from").cast("timestamp_ntz"))
 
 
 def sessionized(spark, d):
-    return twins.drain(twins.sessionized(_stream(spark, d)), shared_dir(spark))
+    s = twins.drain(twins.sessionized(_stream(spark, d)), shared_dir(spark))
+    return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from", "to")})
 
 
-QUERIES = {f.__name__: f for f in (rewrite_decisions, rewrite_summary, composed_files, capacity_flags, health_rollup, reconcile_full_outer, bag_drift, set_operations, harness_tasks, harness_modes, graded_tasks, streaming_versions, streaming_once, windowed_counts, sessionized)}
+QUERIES = {f.__name__: f for f in (rewrite_decisions, rewrite_summary, composed_files, rewrite_manifest, rewrite_archives, fixture_controls, drift_kinds, capacity_flags, health_rollup, reconcile_full_outer, bag_drift, set_operations, harness_tasks, harness_modes, graded_tasks, streaming_versions, streaming_once, windowed_counts, sessionized)}
 
 _CAP = """WITH f AS (SELECT source AS store, sum(length(text)) AS chars, count(*) AS entries FROM documents GROUP BY 1), p AS (SELECT *, round(100 * chars / 100000e0, 1) AS pct FROM f),
 c AS (SELECT store, chars, entries, pct, CASE WHEN pct >= 90 OR entries > 35 THEN 'critical' WHEN pct >= 80 OR entries > 25 THEN 'warning' ELSE 'ok' END AS status, CASE WHEN entries > 35 THEN 'critical' WHEN entries > 25 THEN 'warning' ELSE 'ok' END AS pressure FROM p)"""
@@ -138,6 +164,18 @@ SQL = {
     "set_operations": _SIDES + " SELECT 'union' AS set, count(*) AS keys, min(k) AS first FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'difference', count(*), min(k) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'intersection', count(*), min(k) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)",
     "harness_tasks": _TASKS + " SELECT task, mode, required, kept, selected, droppable, unfittable, lost_pins, full_tokens, tokens, status FROM st",
     "harness_modes": _TASKS + " SELECT mode, CAST(floor((1 - CAST(sum(tokens) AS DOUBLE) / sum(full_tokens)) * 10000 + 0.5e0) AS BIGINT) AS savings, CAST(floor(avg(share) * 10000 + 0.5e0) AS BIGINT) AS recall, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail FROM st GROUP BY mode",
+    "rewrite_manifest": _E + " SELECT store, count(*) AS entries, CAST(sum(length(text)) + (count(*) - 1) * 3 AS BIGINT) AS chars, CAST(sum(CAST(CAST('0x' || substr(sha256(ref || ':' || text), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS source_digest, true AS no_more, false AS grew FROM e GROUP BY store",
+    "fixture_controls": _TASKS + """, c AS (SELECT task, array_to_string(list_sort(list(CAST(ref AS VARCHAR)) FILTER (req AND tok >= 6000)), ',') AS missing FROM s GROUP BY 1),
+p AS (SELECT task, CAST(count(*) FILTER (ref % 9 = 0) AS INTEGER) AS dropped, CAST(count(*) FILTER (ref % 9 <> 0 AND ref % 5 = 0) AS INTEGER) AS misclassed FROM s WHERE pin GROUP BY 1)
+SELECT st.task, mode, CASE WHEN coalesce(missing, '') <> '' OR coalesce(dropped, 0) > 0 THEN 'FAIL' WHEN coalesce(misclassed, 0) > 0 AND status = 'PASS' THEN 'WARN' ELSE status END AS status, coalesce(missing, '') AS missing, dropped, misclassed FROM st JOIN c USING (task) LEFT JOIN p USING (task)""",
+    "drift_kinds": "SELECT source AS store, CASE (length(source) + ascii(right(source, 1))) % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'whitespace' WHEN 2 THEN CASE WHEN bool_and(doc_id = 0) THEN 'exact' ELSE 'order' END ELSE 'content' END AS drift FROM documents GROUP BY source",
+    "graded_tasks": """WITH i AS (SELECT item_id AS task, list_filter(['r1', 'r2', 'r3', 'r4'], lambda x: (item_id + CAST(substr(x, 2) AS BIGINT)) % 99 <> 0) AS required, list_filter(['r1', 'r2', 'r3', 'r4'], lambda x: (item_id + CAST(substr(x, 2) AS BIGINT)) % 3 <> 0 AND NOT (item_id % 5 = 0 AND x = 'r2')) AS kept,
+  list_filter(['p1', 'p2'], lambda x: x = 'p2' AND item_id % 2 <> 0 AND item_id % 11 <> 0) AS unsure, item_id % 11 = 0 AS broken, CASE WHEN item_id % 4 = 0 THEN 'equivalent' ELSE 'degraded' END AS equal, item_id % 13 = 0 AS unreachable, item_id % 17 = 5 AS bad FROM benchmark),
+l AS (SELECT *, list_filter(required, lambda x: NOT list_contains(kept, x)) AS lost FROM i)
+SELECT task, array_to_string(lost, ',') AS lost, array_to_string(unsure, ',') AS unconfirmed, CASE WHEN unreachable THEN 'BLOCKED' WHEN bad THEN 'ERROR' WHEN broken THEN 'FAIL' WHEN len(required) > 0 AND CAST(len(required) - len(lost) AS DOUBLE) / len(required) < 0.5e0 THEN 'FAIL' WHEN len(lost) > 0 OR len(unsure) > 0 OR equal = 'degraded' THEN 'WARN' ELSE 'PASS' END AS status FROM l""",
+    "windowed_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS \"from\", event_type AS kind, count(*) AS events FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL",
+    "sessionized": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id AS fact_key, min(ts) AS "from", max(ts) + INTERVAL 2 HOUR AS "to", count(*) AS events FROM n GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "streaming_once": "SELECT event_id, user_id AS fact_key FROM events",
     "streaming_versions": "SELECT * FROM (SELECT user_id AS fact_key, CAST(row_number() OVER w AS INTEGER) AS version, event_id, concat_ws(':', event_type, props) AS content, ts AS recorded_at, lead(ts) OVER w AS superseded_at, lead(event_id) OVER w AS superseded_by FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE superseded_by IS NOT NULL",
 }

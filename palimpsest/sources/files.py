@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DELIMITER
 from ..functions.shared import ship
-from ..functions.text import strip
+from ..functions.text import content_hash, strip
+from ..operators.temporal import has_delimiter
 
 EVENT = "event_id STRING, fact_key STRING, store STRING, seq BIGINT, op STRING, title STRING, content STRING, content_hash STRING, taxonomy STRING, valid_from STRING, valid_to STRING, recorded_at STRING, source STRING, confidence DOUBLE, actor STRING, reason STRING, tags ARRAY<STRING>, archived_path STRING"
 SHADOW = "tool STRING, mode STRING, turn_id STRING, generated_at STRING, projected STRUCT<tokens: INT, savings_pct: DOUBLE, retrieval_telemetry: STRUCT<path: STRING, retrieval_latency_ms: DOUBLE>>, answer_usage STRUCT<used_selected_count: INT, used_missing_from_projection: ARRAY<STRUCT<entry_ref: STRING, reason: STRING>>>"
@@ -157,6 +158,42 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """A report, candidate list or manifest as JSON lines; a failed job leaves what was there, as Spark's committer moves files last."""
+    rows.write.mode("overwrite").json(path)
+
+
+def archive_first(archives: DataFrame, folder: str, manifest_path: str) -> DataFrame:
+    """Write archived bodies (slug, body, ...) before anything else changes, then a manifest of what was written, read back and hashed: slug, sha256, matches.
+
+    What the caller removes afterwards it removes by this manifest, so nothing goes that isn't in the archive."""
+    spark = archives.sparkSession
+    archives.select("slug", "body").write.mode("overwrite").parquet(folder)
+    read = spark.read.parquet(folder).groupBy("slug").agg(F.max("body").alias("body"))
+    told = archives.groupBy("slug").agg(F.sha2(F.max("body"), 256).alias("sha256")).join(read.select("slug", F.sha2("body", 256).alias("_read")), "slug", "left")
+    told.select("slug", "sha256", F.col("sha256").eqNullSafe(F.col("_read")).alias("matches")).write.mode("overwrite").parquet(manifest_path)
+    return spark.read.parquet(manifest_path)
+
+
+def append_hot(entries: DataFrame, path: str, provenance: str, actor: str) -> DataFrame:
+    """Append entries (store, text) as part files under a store's folder with a row of provenance each; returns those refused, which hold a delimiter or are blank.
+
+    Part files appear whole or not at all, so appenders need no lock."""
+    bad = has_delimiter(F.col("text")) | (strip(F.coalesce("text", F.lit(""))) == "")
+    entries.where(~bad).select("store", "text").write.mode("append").partitionBy("store").json(path)
+    entries.where(~bad).select("store", content_hash(F.col("text")).alias("hash"), F.lit(actor).alias("actor"), F.current_timestamp().alias("at")).write.mode("append").json(provenance)
+    return entries.where(bad)
+
+
+def concatenated(*stores: DataFrame) -> DataFrame:
+    """Entries of several stores one after the other: store_at and index keep the files' order."""
+    out = None
+    for k, s in enumerate(stores):
+        part = s.withColumn("store_at", F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def upsert_vectors(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The collection after an upsert: what is there and still wanted, and what is new. Ids that are no longer wanted go."""
     return existing.join(incoming.select("id"), "id", "left_semi").unionByName(incoming.join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .shared import ship
+from .text import strip
 
 
 def last_object(text: str | None) -> str | None:
@@ -55,7 +56,7 @@ def facts_in(c: Column) -> Column:
     listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), v).otherwise(F.try_variant_get(v, "$.facts", "variant"))
     items = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
     values = lambda x: F.map_values(F.try_variant_get(x, "$", "map<string,string>"))
-    full = lambda a: F.filter(F.transform(a, F.trim), lambda t: t != "")
+    full = lambda a: F.filter(F.transform(a, lambda t: strip(t)), lambda t: t != "")
     told = F.transform(items, lambda x: F.coalesce(F.array_join(full(values(x)), "; "), F.try_variant_get(x, "$", "string")))
     return full(F.filter(told, lambda t: t.isNotNull()))
 

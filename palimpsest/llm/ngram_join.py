@@ -46,7 +46,7 @@ LOOK_BACK = 8
 TEXTS, SETS = 1000, 250
 HOT, FREQUENT, STEP, SENT = 24, 1 << 20, 2 << 20, 1 << 20
 #: Bits of the maps of what a set has and another hasn't.
-BITS = 512
+BITS = 256
 #: Different shingles that a task holds before it sends their counts.
 RUN = 1 << 19
 _LOW, _A, _B = np.uint64(16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)

@@ -79,9 +79,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sentencepiece, op4_ngram_join, op5_pii, op6_mixing, op7_ann, op8_warc, op9_exact_dedup, op10_quality)}
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_pii that SQL can express: the base spans."""
+    return op5_pii(spark, sf_dir).drop("spans")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_mixing that SQL can express: sizes and targets."""
+    return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sentencepiece, op4_ngram_join, op5_pii, op6_mixing, op7_ann, op8_warc, op9_exact_dedup, op10_quality, pii_base, mixing_targets)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^ \\t\\n\\x0B\\f\\r]+')"
+_SPANS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INTEGER) > 255)) = 0"),
+    "card": (
+        r"[0-9](?:[ -]?[0-9])+",
+        "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INTEGER) "
+        "ELSE (2 * CAST(substr(d, i, 1) AS INTEGER)) % 10 + CAST(CAST(substr(d, i, 1) AS INTEGER) >= 5 AS INTEGER) END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+}
+_PII = "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), " + ", ".join(
+    f"m{r} AS (SELECT doc_id, {r} AS r, '{k}' AS kind, v, CAST(list_sum(list_transform(parts[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0) AS BIGINT) AS s "
+    f"FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, string_split_regex(text, '{p}') AS parts, ms, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS v "
+    f"FROM (SELECT *, regexp_extract_all(text, '{p}') AS ms FROM t) WHERE len(ms) > 0)) WHERE {ok})"
+    for r, (k, (p, ok)) in enumerate(_SPANS.items())
+)
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
@@ -105,6 +132,21 @@ u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS hos
 m AS (SELECT u.page_id, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.h || r.p) DESC) AS n
       FROM u JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.n = 1""",
+    "op4_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY 1) c ON c.x = s.doc_id""",
+    "pii_base": _PII + ", a AS (" + " UNION ALL ".join(f"SELECT doc_id, r, kind, s, s + length(v) AS e FROM m{r}" for r in range(len(_SPANS))) + ") SELECT t.doc_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _SPANS) + ", sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r), '')) AS base_sha256 FROM t LEFT JOIN a ON a.doc_id = t.doc_id GROUP BY t.doc_id",
+    "mixing_targets": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY source IS NULL, source) AS pos FROM d GROUP BY 1),
+w AS (SELECT *, [3e0, 1e0, 2e0][(pos - 1) % 3 + 1] AS weight, 2e0 * total AS room, (SELECT 1.5e0 * sum(total) FROM s) AS pool FROM s),
+k AS (SELECT *, (pool - coalesce(sum(room) OVER (ORDER BY room / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY room / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+v AS (SELECT arg_min(level, room / weight) AS level FROM k WHERE level * weight <= room)
+SELECT doc_id, size, total AS source_size, round(least(room, v.level * weight), 3) AS target FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source, v""",
     "op8_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),

@@ -19,8 +19,8 @@ def strip(c: Column) -> Column:
 
 
 def says(c: Column, pattern: str) -> Column:
-    """Whether the pattern occurs, ignoring case, with Unicode word borders."""
-    return c.rlike("(?iuU)" + pattern)
+    """Whether the pattern occurs, ignoring case, with Unicode word borders. A text that is all ASCII takes the engine's plain classes, which are several times faster and mean the same there."""
+    return F.when(F.octet_length(c) == F.length(c), c.rlike("(?i)" + pattern)).otherwise(c.rlike("(?iuU)" + pattern))
 
 
 def first_line(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import tempfile
 import uuid
@@ -73,6 +74,11 @@ def stash(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame
 
     batch_rows bounds the rows that go to a Python worker at once while this is written; rows may be long.
     """
+    return put(df, label, batch_rows)[0]
+
+
+def put(df: DataFrame, label: str, batch_rows: int | None = None) -> tuple[DataFrame, str]:
+    """As stash, with the folder, for tables that are erased when the next one is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(ARROW_ROWS)
@@ -82,7 +88,29 @@ def stash(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame
         df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def integers(vector: Column, scale: int, dim: int) -> Column:
+    """floor(scale * x) of each component, in double precision; what lies beyond limit(dim) counts as that."""
+    most = F.lit(limit(dim)).cast("long")
+    return F.transform(vector, lambda e: F.greatest(-most, F.least(most, F.floor(e.cast("double") * scale).cast("long"))))
+
+
+def limit(dim: int) -> int:
+    """The largest size of a component such that squared distances and products of vectors so long fit 64 bits."""
+    return math.isqrt((1 << 60) // max(dim, 1))
+
+
+def finite(vector: Column) -> Column:
+    """True where the vector is there and each component is a finite number."""
+    return F.coalesce(F.forall(vector, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))), F.lit(False))
+
+
+def erase(path: str, spark: SparkSession) -> None:
+    """Delete a folder that put() or an operator wrote and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

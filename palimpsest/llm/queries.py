@@ -9,16 +9,20 @@ from . import pii
 from .ann import nearest
 from .common import table, text_of
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine
 from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_join
 from .quality import score_quality
 from .sentencepiece_codec import encode
+from .token_files import read_tokens, write_tokens
 from .url_filter import filter_urls
+from .vector_codes import compress
 from .warc import round_trip
 
-#: The tokenizer model that the queries use.
+#: The tokenizer files that the queries use.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORDS = "/opt/tokenizers/word_bpe_49k.json"
 
 #: Fixed rules: host, path, verdict.
 RULES = [
@@ -79,6 +83,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), WORDS))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op5_pii that SQL can express: the base spans."""
     return op5_pii(spark, sf_dir).drop("spans")
@@ -89,7 +106,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sentencepiece, op4_ngram_join, op5_pii, op6_mixing, op7_ann, op8_warc, op9_exact_dedup, op10_quality, pii_base, mixing_targets)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_sentencepiece, op4_ngram_join, op5_pii, op6_mixing, op7_ann, op8_warc, op9_exact_dedup, op10_quality, op11_token_files, op12_vector_codes, op13_hard_negatives, pii_base, mixing_targets)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({}, '[^ \\t\\n\\x0B\\f\\r]+')"
@@ -109,6 +126,19 @@ _PII = "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
     f"FROM (SELECT *, regexp_extract_all(text, '{p}') AS ms FROM t) WHERE len(ms) > 0)) WHERE {ok})"
     for r, (k, (p, ok)) in enumerate(_SPANS.items())
 )
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+# Of vectors cut into 4 parts: assignments a0 to a4, each by the codebook before it, and codebooks c0 to c4.
+_CODES = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q, CAST(len(embedding) / 4 AS BIGINT) AS w FROM embeddings WHERE {_SOUND}),
+x AS MATERIALIZED (SELECT vec_id, label, p, q[p * w + 1:(p + 1) * w] AS v FROM kept, range(4) r(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))""" + "".join(
+    f""",
+a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT x.*, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{r} c ON c.p = x.p) GROUP BY ALL)""" + (
+        f""",
+m{r} AS (SELECT p, e, i, CAST(floor(sum(v[i]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS m FROM a{r}, range(1, (SELECT min(w) FROM kept) + 1) t(i) GROUP BY p, e, i),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT p, e, list(m ORDER BY i) AS v FROM m{r} GROUP BY p, e) m ON m.p = c.p AND m.e = c.e)""" if r < 4 else "")
+    for r in range(5)
+)
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 SQL = {
@@ -159,4 +189,15 @@ FROM f""",
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, translate(coalesce(text, ''), {_WS}, '') AS t FROM documents),
 k AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k""",
+    "op12_vector_codes": f"""{_CODES},
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(t, ',' ORDER BY p, e)) AS h FROM (SELECT p, e, array_to_string(v, ',') AS t FROM c4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o, h""",
+    "op13_hard_negatives": f"""
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
 }

@@ -8,20 +8,21 @@ Rows are put in order of doc_id (nulls last; rows of one id by a hash of their t
 A task counts its own ids only. The manifest, a row a file, gives each file its base by a prefix sum over the files before it, so that a document starts at base + offset,
 and no file is written again. Its window runs in one task over one row a file. Files are read by memory maps where the file system is a local one and by ranges elsewhere.
 
-Ids come from the tokenizers library. Where the tokenizer's pre-tokenizer never lets a token reach over white space (SPLITS, tried on the tokenizer before use), a task has the library encode
-each distinct word between ASCII white space once and keeps at most CACHE words' ids; otherwise whole texts are encoded. Special tokens' strings in a text become these tokens, as in the library.
+Ids come from the tokenizers library. Where the tokenizer's own file says that no token reaches over white space or from a word to the punctuation after it (NORMALIZER, PIECES), a task has the library encode
+each distinct piece between such borders once and keeps at most CACHE pieces' ids; otherwise whole texts are encoded. Special tokens' strings in a text become these tokens, as in the library.
 
-Null text is empty: the end id alone. Very long texts are one document each and pass in memory alone; a word of any length is one word. Rows that repeat are written each,
-next to each other; a third of all rows that repeat whole are still dealt over many tasks, by their place in the input. Bytes that aren't UTF-8 count as U+FFFD. An empty table gives an empty manifest. Extra columns
+Null text is empty: the end id alone. Very long texts are one document each and pass in memory alone; a word of any length is one piece. Rows that repeat are written each,
+next to each other; a third of all rows that repeat whole are still dealt over many tasks, by their place in the input. An empty table gives an empty manifest. Extra columns
 are left alone, whatever their names. Each attempt of a task writes files of its own name and the manifest names those of the attempt that was committed; others may be deleted.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -31,13 +32,18 @@ from .common import shared_dir, ship, stash, text_of
 
 MAGIC, HEAD = b"PLMTOKN1", "<8sQQQ"
 _HEAD = struct.calcsize(HEAD)
-CACHE, STEP, DOCS = 1 << 20, 4 << 20, 4096
-#: Pairs of words that a tokenizer must encode alike alone and with ASCII white space between, for words to be encoded one by one.
-SPLITS = [("the", "cat"), ("it", "'s"), ("1", "2"), ("!", "?"), ("e", "́"), ("ΣΣ", "Σ"), ("ᄀ", "ᅡ"), ("a", "️")]
+CACHE, JOIN, STEP, DOCS = 1 << 20, 4096, 8 << 20, 4096
+#: Fixed values of the tokenizer family whose tokens never reach over white space, nor from a letter or digit to punctuation (but for apostrophes).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Where a text is cut besides at ASCII white space: between a letter or digit of Latin-1 (others may end in a combining mark, once normalised) and ASCII punctuation, of which "'" and
+#: what special tokens consist of are left out.
+BORDER = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-/:;=?@\[-`{}~])"
+MARK = "\x00"
 
 
 class Encoder:
-    """Ids of texts (bytes in UTF-8): each distinct word is encoded once and its ids are kept in one array."""
+    """Ids of texts: each distinct piece of a text is encoded once and its ids are kept in one array."""
 
     def __init__(self, model: str):
         import os
@@ -46,62 +52,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.by_word = all(self.of(f"{a}{s}{b}") == self.of(a) + self.of(b) for a, b in SPLITS for s in (" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n"))
+        told = json.loads(model)
+        self.by_piece = told.get("normalizer") == NORMALIZER and ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [None])[0] == PIECES
+        mark = self.of(MARK)
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.forget()
 
     def of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array and how many each text has, as the library tells."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
+
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.flat, self.start, self.size = (np.zeros(0, dtype=t) for t in ("uint32", "int64", "int64"))
 
-    def learn(self, new: list[bytes]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum()))
+    def learn(self, new: list[str]) -> None:
+        """Have the library encode new pieces, JOIN of them as one text with a mark between, or each alone where a piece holds the mark."""
+        for at in range(0, len(new), JOIN):
+            part = new[at : at + JOIN]
+            if self.mark < 0 or any(MARK in w for w in part):
+                ids, size = self.batch(part)
+            else:
+                every = np.array(self.of(f" {MARK} ".join(part)), dtype=np.uint32)
+                ends = np.append(np.flatnonzero(every == self.mark), len(every))
+                if len(ends) != len(part):
+                    raise ValueError("a piece has the mark's id")
+                ids, size = every[every != self.mark], np.diff(ends, prepend=-1) - 1
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-
-    def find(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and how many each text has."""
-        if not self.by_word:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
-        words = [t.split() for t in texts]  # of bytes: at ASCII white space
-        each = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        all_words = list(chain.from_iterable(words))
-        at = self.find(all_words)
-        if (missing := np.flatnonzero(at < 0)).size:
-            new = {all_words[i] for i in missing}
-            if len(self.known) + len(new) > CACHE:
-                self.forget()
-                new, missing = set(all_words), np.arange(len(all_words))
-            self.learn(list(new))
-            at[missing] = self.find([all_words[i] for i in missing])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of strings in one array, and how many each text has."""
+        import pyarrow.compute as pc
+
+        if not self.by_piece:
+            return self.batch(texts.to_pylist())
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token's string, which case would matter for
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, BORDER, r"\1 \2"))
+        each = np.diff(np.asarray(words.offsets))
+        told = words.flatten().dictionary_encode()
+        pieces = told.dictionary.to_pylist()
+        new = [w for w in pieces if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.forget()
+            new = pieces
+        self.learn(new)
+        number = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        at = number[np.asarray(told.indices)]
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])]
-        return ids, np.diff(upto)
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])])
 
 
-def slices(batch, text: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of rows (the first one's number, the texts) of about STEP bytes, or one row."""
+def slices(batch, text: int) -> Iterator:
+    """Runs of texts of about STEP bytes, or one text, as arrays of strings."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = batch.column(text).cast(pa.large_binary())
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)))
+    column = pc.fill_null(batch.column(text), "").cast(pa.large_string())
+    ends = np.cumsum(np.asarray(pc.binary_length(column)))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
-        yield at, [t or b"" for t in column.slice(at, end - at).to_pylist()]
+        yield column.slice(at, end - at)
         at = end
 
 
@@ -134,7 +155,7 @@ def write_tokens(docs: DataFrame, model: str, folder: str | None = None, end_id:
         sizes, ids_of, named = [], [], 0
         for batch in batches:
             own = batch.column(0)
-            for at, texts in slices(batch, 1):
+            for texts in slices(batch, 1):
                 if file is None:
                     system.create_dir(root, recursive=True)
                     encoder, file = Encoder(sent.value), system.open_output_stream(f"{root}/{name}.ids", compression=None)

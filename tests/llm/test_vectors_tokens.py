@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,10 +45,10 @@ def crc(ids):
 
 def test_words_encode_as_texts_do(library):
     encoder, r = Encoder(open(WORDS, encoding="utf-8").read()), random.Random(3)
-    assert encoder.by_word
-    alphabet = "aAbB \t\n\x0b\x0c\r\x1c\x1d\x85\xa0 　​'sTreLL1!?́̈İΣσÅ각가️\U0001f600<|>ßﬁक़\xad\x00"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a<|endoftext|>b <|startoftext|>", "x" * 5000, "it's we'll O'Clock"]
-    ids, sizes = encoder.encode([t.encode() for t in texts])
+    assert encoder.by_piece
+    alphabet = "aAbB,.;:)(\"&*-_@#[]{}~` \t\n\x0b\x0c\r\x1c\x1d\x85\xa0 　​'sTreLL1!?́̈İΣσÅ각가️\U0001f600<|>ßﬁक़\xad\x00"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a<|endoftext|>b <|startoftext|>", "x" * 5000, "it's we'll O'Clock", "don.'t a,'s b.'S", "ñ, ñ, 1,2", "\x00 a\x00b", ""]
+    ids, sizes = encoder.encode(pa.array(texts, pa.large_string()))
     at = 0
     for t, n in zip(texts, sizes, strict=True):
         assert list(ids[at : at + n]) == library.encode(t, add_special_tokens=False).ids, t

@@ -9,7 +9,7 @@ A task counts its own ids only. The manifest, a row a file, gives each file its
 and no file is written again. Its window runs in one task over one row a file. Files are read by memory maps where the file system is a local one and by ranges elsewhere.
 
 Ids come from the tokenizers library. Where the tokenizer's own file says that no token reaches over white space or from a word to the punctuation after it (NORMALIZER, PIECES), a task has the library encode
-each distinct piece between such borders once and keeps at most CACHE pieces' ids; otherwise whole texts are encoded. Special tokens' strings in a text become these tokens, as in the library.
+each distinct piece between such borders once; a worker keeps at most CACHE pieces' ids, over its tasks. Otherwise whole texts are encoded. Special tokens' strings in a text become these tokens, as in the library.
 
 Null text is empty: the end id alone. Very long texts are one document each and pass in memory alone; a word of any length is one piece. Rows that repeat are written each,
 next to each other; a third of all rows that repeat whole are still dealt over many tasks, by their place in the input. An empty table gives an empty manifest. Extra columns
@@ -20,9 +20,10 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
+import types
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -32,7 +33,7 @@ from .common import shared_dir, ship, stash, text_of
 
 MAGIC, HEAD = b"PLMTOKN1", "<8sQQQ"
 _HEAD = struct.calcsize(HEAD)
-CACHE, JOIN, STEP, DOCS = 1 << 20, 4096, 8 << 20, 4096
+CACHE, JOIN, STEP, DOCS = 1 << 20, 4096, 4 << 20, 4096
 #: Fixed values of the tokenizer family whose tokens never reach over white space, nor from a letter or digit to punctuation (but for apostrophes).
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PIECES = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -63,9 +64,9 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and how many each text has, as the library tells."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *found]), sizes
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -78,7 +79,7 @@ class Encoder:
             if self.mark < 0 or any(MARK in w for w in part):
                 ids, size = self.batch(part)
             else:
-                every = np.array(self.of(f" {MARK} ".join(part)), dtype=np.uint32)
+                every = self.batch([f" {MARK} ".join(part)])[0]
                 ends = np.append(np.flatnonzero(every == self.mark), len(every))
                 if len(ends) != len(part):
                     raise ValueError("a piece has the mark's id")
@@ -108,10 +109,18 @@ class Encoder:
         at = number[np.asarray(told.indices)]
         size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat((self.start[at] - ends + size).astype(np.int32), size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])])
 
 
+def kept_encoder(model: str) -> Encoder:
+    """The encoder of this Python worker, which stays from task to task with the pieces that it knows; one at a time."""
+    held = sys.modules.setdefault("palimpsest_worker", types.ModuleType("palimpsest_worker"))
+    if getattr(held, "model", None) != model:
+        held.model, held.encoder = model, Encoder(model)
+    return held.encoder
+
+
 def slices(batch, text: int) -> Iterator:
     """Runs of texts of about STEP bytes, or one text, as arrays of strings."""
     import pyarrow as pa
@@ -158,7 +167,7 @@ def write_tokens(docs: DataFrame, model: str, folder: str | None = None, end_id:
             for texts in slices(batch, 1):
                 if file is None:
                     system.create_dir(root, recursive=True)
-                    encoder, file = Encoder(sent.value), system.open_output_stream(f"{root}/{name}.ids", compression=None)
+                    encoder, file = kept_encoder(sent.value), system.open_output_stream(f"{root}/{name}.ids", compression=None)
                 ids, n = with_end(*encoder.encode(texts), end_id)
                 file.write(ids.astype(f"<u{width}").tobytes())
                 sizes.append(n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import DUP_NEAR
@@ -11,6 +13,8 @@ from ..operators import audit as A
 from ..operators import harness as H
 from ..operators import health as L
 from ..operators import rewrite as W
+from ..sources.files import archive_first
+from ..sources.versioned import read_table
 from ..streaming import twins
 from .bind import TODAY, altered, entries, table
 from .text_queries import _BOTH, _E
@@ -43,6 +47,15 @@ def rewrite_archives(spark, d):
     return W.archives(W.decide(_recommended(spark, d), TODAY), TODAY, "~/archive").select("ref", "kind", "slug", "hash", "destination")
 
 
+def archived_bodies(spark, d):
+    """All entries as they are read back from an archive that two runs wrote to, the first with the memory store alone: slug, hash and whether the manifest vouches for it."""
+    at = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    bodies = entries(spark, d).select(F.concat_ws("-", "store", F.col("ref").cast("string")).alias("slug"), F.col("text").alias("body"), "store")
+    archive_first(bodies.where("store = 'memory'"), f"{at}/bodies", f"{at}/manifest")
+    told = archive_first(bodies, f"{at}/bodies", f"{at}/manifest")
+    return read_table(spark, f"{at}/bodies").select("slug", F.sha2("body", 256).alias("sha256")).join(told, ["slug", "sha256"])
+
+
 def fixture_controls(spark, d):
     """Tasks whose required documents a run without a budget selects but for very long ones, and pins that a run with none keeps but for each ninth."""
     t = _tasks(spark, d)
@@ -145,7 +158,7 @@ def sessionized(spark, d):
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from", "to")})
 
 
-QUERIES = {f.__name__: f for f in (rewrite_decisions, rewrite_summary, composed_files, rewrite_manifest, rewrite_archives, fixture_controls, drift_kinds, capacity_flags, health_rollup, reconcile_full_outer, bag_drift, set_operations, harness_tasks, harness_modes, graded_tasks, streaming_versions, streaming_once, windowed_counts, sessionized)}
+QUERIES = {f.__name__: f for f in (rewrite_decisions, rewrite_summary, composed_files, rewrite_manifest, rewrite_archives, archived_bodies, fixture_controls, drift_kinds, capacity_flags, health_rollup, reconcile_full_outer, bag_drift, set_operations, harness_tasks, harness_modes, graded_tasks, streaming_versions, streaming_once, windowed_counts, sessionized)}
 
 _CAP = """WITH f AS (SELECT source AS store, sum(length(text)) AS chars, count(*) AS entries FROM documents GROUP BY 1), p AS (SELECT *, round(100 * chars / 100000e0, 1) AS pct FROM f),
 c AS (SELECT store, chars, entries, pct, CASE WHEN pct >= 90 OR entries > 35 THEN 'critical' WHEN pct >= 80 OR entries > 25 THEN 'warning' ELSE 'ok' END AS status, CASE WHEN entries > 35 THEN 'critical' WHEN entries > 25 THEN 'warning' ELSE 'ok' END AS pressure FROM p)"""
@@ -157,6 +170,7 @@ r AS (SELECT task, mode, count(*) FILTER (req) AS required, count(*) FILTER (req
 h AS (SELECT *, CASE WHEN required = 0 THEN 1e0 ELSE CAST(kept AS DOUBLE) / required END AS share FROM r),
 st AS (SELECT *, CASE WHEN lost_pins > 0 THEN 'FAIL' WHEN droppable > 0 AND share < 0.5e0 THEN 'FAIL' WHEN droppable > 0 OR unfittable > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM h)"""
 SQL = {
+    "archived_bodies": _E + " SELECT store || '-' || ref AS slug, sha256(text) AS sha256, true AS matches FROM e",
     "capacity_flags": _CAP + " SELECT store, chars, entries, CAST(floor(pct * 10 + 0.5e0) AS BIGINT) AS tenths, status, pressure FROM c",
     "health_rollup": _CAP + " SELECT CASE WHEN bool_or(status = 'critical') THEN 'critical' WHEN bool_or(status = 'warning') THEN 'warning' ELSE 'ok' END AS status, coalesce(string_agg(store, ',' ORDER BY store) FILTER (status <> 'ok'), '') AS alerts FROM c",
     "reconcile_full_outer": _SIDES + " SELECT coalesce(a.k, b.k) AS key, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS state FROM a FULL JOIN b ON a.k = b.k",

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.shared import shared_dir, stored
 from ..operators import temporal as T
+from ..sources.files import append_events, split_cold
+from ..sources.versioned import read_table
 from .bind import VERSION_EVENTS_SQL, VERSIONS_SQL, version_events
 
 AT, LATER, CUTOFF, KEEP = "2024-01-10 12:00:00", "2024-01-20 12:00:00", "2024-01-25 00:00:00", 3
@@ -70,6 +75,25 @@ def prune_cold(spark, d):
     return T.prune(_v(spark, d), _ts(CUTOFF), KEEP).where("not hot").select("fact_key", "event_id", "version")
 
 
+def split_tables(spark, d):
+    """Hot and cold as they are read back from the tables that they were committed to, in two runs, the first with a laxer bound."""
+    at = f"{shared_dir(spark)}/split-{uuid.uuid4().hex}"
+    v = stored(_v(spark, d), "split")
+    split_cold(v, _ts(CUTOFF), 2 * KEEP, f"{at}/hot", f"{at}/cold")
+    hot, cold = split_cold(v, _ts(CUTOFF), KEEP, f"{at}/hot", f"{at}/cold")
+    return hot.select("fact_key", "event_id", "version", F.lit(True).alias("hot")).union(cold.select("fact_key", "event_id", "version", F.lit(False)))
+
+
+def appended_log(spark, d):
+    """The event log as batches of days were appended to it, each tried twice, as a stream does after a failure: fact, events, and a digest of their ids."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    e = stored(version_events(spark, d).withColumn("batch", F.dayofmonth("recorded_at") % 4), "events")
+    for k in range(4):
+        for _ in range(2):
+            append_events(e.where(F.col("batch") == k).drop("batch"), path, "days", k)
+    return read_table(spark, path).groupBy("fact_key").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
 def diff_changed_facts(spark, d):
     c = T.changed_between(_v(spark, d), _ts(AT), _ts(LATER))
     return c.select("fact_key", "from_version", "to_version", "before", "after", "changed", F.size("removed").alias("removed"), F.size("added").alias("added"))
@@ -126,7 +150,7 @@ def _as_of(at, axis, cols):
 _PRUNE = _W + f"""SELECT fact_key, event_id, version FROM (SELECT *, row_number() OVER (PARTITION BY fact_key ORDER BY version) = 1
   OR row_number() OVER (PARTITION BY fact_key ORDER BY version DESC) <= {KEEP} OR recorded_at >= TIMESTAMP '{CUTOFF}' AS hot FROM v) WHERE """
 
-QUERIES = {f.__name__: f for f in (version_history, current_facts, fact_history, first_seen_order, as_of_valid, as_of_transaction, as_of_many_dates, temporal_stats, facts_with_history, linked_facts, prune_hot, prune_cold, diff_changed_facts, record_dedup_runs, last_writer_wins, restore_candidates, reconstructed_stores, restored, archived_facts)}
+QUERIES = {f.__name__: f for f in (version_history, current_facts, fact_history, first_seen_order, as_of_valid, as_of_transaction, as_of_many_dates, temporal_stats, facts_with_history, linked_facts, prune_hot, prune_cold, split_tables, appended_log, diff_changed_facts, record_dedup_runs, last_writer_wins, restore_candidates, reconstructed_stores, restored, archived_facts)}
 SQL = {
     "version_history": _W + f"SELECT {OUT_SQL} FROM v",
     "current_facts": _W + "SELECT fact_key, store, version, content FROM v WHERE is_current = 1",
@@ -140,6 +164,8 @@ SQL = {
     "linked_facts": _W + "SELECT fact_key FROM v GROUP BY 1 HAVING bool_or(op = 'create') AND bool_or(op = 'delete')",
     "prune_hot": _PRUNE + "hot",
     "prune_cold": _PRUNE + "NOT hot",
+    "split_tables": (_PRUNE + "hot").replace("SELECT fact_key, event_id, version FROM", "SELECT fact_key, event_id, version, hot FROM").removesuffix(" WHERE hot"),
+    "appended_log": "SELECT user_id AS fact_key, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
     "diff_changed_facts": _W + f""", a AS ({_as_of(AT, 'valid', 'fact_key, version, content')}), b AS ({_as_of(LATER, 'valid', 'fact_key, version, content')}),
 x AS (SELECT coalesce(a.fact_key, b.fact_key) AS fact_key, a.version AS from_version, b.version AS to_version, coalesce(a.content, '') AS before, coalesce(b.content, '') AS after FROM a FULL JOIN b ON a.fact_key = b.fact_key),
 y AS (SELECT *, CASE WHEN before = '' THEN [] ELSE string_split_regex(regexp_replace(before, '([.;|])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS p, CASE WHEN after = '' THEN [] ELSE string_split_regex(regexp_replace(after, '([.;|])\\s+', '\\1' || chr(1), 'g'), chr(1)) END AS q FROM x)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..constants import DELIMITER
 from ..functions.shared import ship
 from ..functions.text import content_hash, strip
-from ..operators.temporal import has_delimiter
+from ..operators.temporal import has_delimiter, prune
+from .versioned import read_table, write_table
 
 EVENT = "event_id STRING, fact_key STRING, store STRING, seq BIGINT, op STRING, title STRING, content STRING, content_hash STRING, taxonomy STRING, valid_from STRING, valid_to STRING, recorded_at STRING, source STRING, confidence DOUBLE, actor STRING, reason STRING, tags ARRAY<STRING>, archived_path STRING"
 SHADOW = "tool STRING, mode STRING, turn_id STRING, generated_at STRING, projected STRUCT<tokens: INT, savings_pct: DOUBLE, retrieval_telemetry: STRUCT<path: STRING, retrieval_latency_ms: DOUBLE>>, answer_usage STRUCT<used_selected_count: INT, used_missing_from_projection: ARRAY<STRUCT<entry_ref: STRING, reason: STRING>>>"
@@ -153,36 +154,72 @@ def discover_stores(spark: SparkSession, root: str, names: str = "*.db") -> Data
     return listed.withColumn("is_sqlite", F.arrow_udf(_begins, "boolean")("path"))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """New part files, so a torn last line can't be."""
-    events.write.mode("append").json(path)
+def append_events(events: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Append to the event log, a versioned table, in one commit; a batch of a named writer once, however often it is tried."""
+    write_table(events, path, "append", writer=writer, batch=batch)
+
+
+def append_stream(events: DataFrame, path: str, name: str, checkpoint: str):
+    """The started query that appends a stream's batches to the event log, each once."""
+    return events.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, k: append_events(batch, path, name, k)).start()
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """A report, candidate list or manifest as JSON lines; a failed job leaves what was there, as Spark's committer moves files last."""
-    rows.write.mode("overwrite").json(path)
+    """A report, candidate list or manifest as JSON lines, a version a run; a failed job leaves the last one readable."""
+    write_table(rows, path, "overwrite", "json")
+
+
+ARCHIVE = "slug string, body string, sha256 string"
 
 
 def archive_first(archives: DataFrame, folder: str, manifest_path: str) -> DataFrame:
-    """Write archived bodies (slug, body, ...) before anything else changes, then a manifest of what was written, read back and hashed: slug, sha256, matches.
+    """Append bodies (slug, body) to the archive, a versioned table, before anything else changes, then a manifest of what was written, read back and hashed: slug, sha256, matches.
 
-    What the caller removes afterwards it removes by this manifest, so nothing goes that isn't in the archive."""
+    What the caller removes afterwards it removes by this manifest, so nothing goes that isn't in the archive. Earlier runs' archives stay; a body that is there under its slug isn't
+    written again, and a slug with another body, there or in this run, is refused before anything is written. Null bodies are empty; null slugs are refused."""
     spark = archives.sparkSession
-    archives.select("slug", "body").write.mode("overwrite").parquet(folder)
-    read = spark.read.parquet(folder).groupBy("slug").agg(F.max("body").alias("body"))
-    told = archives.groupBy("slug").agg(F.sha2(F.max("body"), 256).alias("sha256")).join(read.select("slug", F.sha2("body", 256).alias("_read")), "slug", "left")
-    told.select("slug", "sha256", F.col("sha256").eqNullSafe(F.col("_read")).alias("matches")).write.mode("overwrite").parquet(manifest_path)
-    return spark.read.parquet(manifest_path)
+    rows = archives.select("slug", F.coalesce("body", F.lit("")).alias("body")).withColumn("sha256", F.sha2("body", 256))
+    asked = rows.groupBy("slug", "sha256").agg(F.any_value("body").alias("body"))
+    held = read_table(spark, folder, schema=ARCHIVE).select("slug", F.sha2("body", 256).alias("sha256"))
+    both = asked.select("slug", "sha256").unionByName(held).groupBy("slug").agg(F.count_distinct("sha256").alias("bodies"))
+    bad = both.where("bodies > 1").join(asked.select("slug").distinct(), "slug", "left_semi").unionByName(asked.where("slug is null").select("slug", F.lit(0).alias("bodies"))).limit(5).collect()
+    if bad:
+        raise ValueError(f"slugs that name several bodies, or none: {[r.slug for r in bad]}")
+    write_table(asked.join(held, ["slug", "sha256"], "left_anti").select("slug", "body", "sha256"), folder)
+    read = read_table(spark, folder).select("slug", F.sha2("body", 256).alias("sha256")).distinct().withColumn("_there", F.lit(True))
+    result = asked.select("slug", "sha256").join(read, ["slug", "sha256"], "left").select("slug", "sha256", F.coalesce("_there", F.lit(False)).alias("matches"))
+    write_table(result, manifest_path, "overwrite")
+    return read_table(spark, manifest_path)
+
+
+def append_hot(entries: DataFrame, path: str, actor: str) -> DataFrame:
+    """Append entries (store, text) to the hot table with their provenance in the same rows and the same commit, so neither is there without the other; returns those refused, which hold a
+    delimiter or are blank."""
+    bad = has_delimiter(F.col("text")) | (strip(F.coalesce("text", F.lit(""))) == "")
+    write_table(entries.where(~bad).select("store", "text", content_hash(F.col("text")).alias("hash"), F.lit(actor).alias("actor"), F.current_timestamp().alias("at")), path)
+    return entries.where(bad)
 
 
-def append_hot(entries: DataFrame, path: str, provenance: str, actor: str) -> DataFrame:
-    """Append entries (store, text) as part files under a store's folder with a row of provenance each; returns those refused, which hold a delimiter or are blank.
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """Who appended which entry to a hot table, and when."""
+    return read_table(spark, path).select("store", "hash", "actor", "at")
 
-    Part files appear whole or not at all, so appenders need no lock."""
-    bad = has_delimiter(F.col("text")) | (strip(F.coalesce("text", F.lit(""))) == "")
-    entries.where(~bad).select("store", "text").write.mode("append").partitionBy("store").json(path)
-    entries.where(~bad).select("store", content_hash(F.col("text")).alias("hash"), F.lit(actor).alias("actor"), F.current_timestamp().alias("at")).write.mode("append").json(provenance)
-    return entries.where(bad)
+
+def split_cold(v: DataFrame, cutoff: Column, keep: int, hot_path: str, cold_path: str) -> tuple[DataFrame, DataFrame]:
+    """Move the versions that prune() marks as cold to the cold table, and leave the others as the hot table; both as read back.
+
+    Cold is committed and read back first, and only if it holds every cold version is hot overwritten, so a version is always in one of them. A run that was broken off is made good by the next: what is cold already isn't
+    written again."""
+    spark, key = v.sparkSession, ["fact_key", "version", "event_id"]
+    marked = prune(v, cutoff, keep)
+    cold = marked.where("not hot").drop("hot")
+    held = read_table(spark, cold_path, schema=cold.schema).select(*key)
+    write_table(cold.join(held, key, "left_anti").select(*cold.columns), cold_path)
+    there = read_table(spark, cold_path)
+    if not cold.join(there, key, "left_anti").isEmpty():
+        raise ValueError("cold versions are missing from the cold table; hot is left as it was")
+    write_table(marked.where("hot").drop("hot"), hot_path, "overwrite")
+    return read_table(spark, hot_path), there
 
 
 def concatenated(*stores: DataFrame) -> DataFrame:
@@ -194,9 +231,9 @@ def concatenated(*stores: DataFrame) -> DataFrame:
     return out
 
 
-def upsert_vectors(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The collection after an upsert: what is there and still wanted, and what is new. Ids that are no longer wanted go."""
-    return existing.join(incoming.select("id"), "id", "left_semi").unionByName(incoming.join(existing.select("id"), "id", "left_anti"), allowMissingColumns=True)
+def upsert_vectors(existing: DataFrame, incoming: DataFrame, drop_others: bool = True) -> DataFrame:
+    """The collection after an upsert: a vector that comes again takes the place of the one that is there. Ids that don't come are no longer wanted and go, unless others may stay."""
+    return incoming if drop_others else existing.join(incoming.select("id"), "id", "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
 ship(__name__)

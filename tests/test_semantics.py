@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import repair
 from palimpsest.functions import text as X
 from palimpsest.operators import health, policy, projection, retrieval, rewrite, searchmap, sessions, shadow, similarity, telemetry, temporal
-from palimpsest.sources import files
+from palimpsest.sources import files, versioned
 from palimpsest.streaming import twins
 
 SESSION = "id string, parent_session_id string, started_at timestamp_ntz, ended_at timestamp_ntz, end_reason string, source string, last_activity timestamp_ntz"
@@ -267,8 +267,8 @@ def test_stores_are_found_and_written(spark, tmp_path):
     told = files.archive_first(archives, str(tmp_path / "arch"), str(tmp_path / "man")).collect()
     assert {(r.slug, r.matches) for r in told} == {("a", True), ("b", True)}
     entries = spark.createDataFrame([("m", "fine"), ("m", "x\n§\ny"), ("m", " ")], "store string, text string")
-    assert {r.text for r in files.append_hot(entries, str(tmp_path / "hot"), str(tmp_path / "log"), "me").collect()} == {"x\n§\ny", " "}
-    assert [r.text for r in spark.read.json(str(tmp_path / "hot")).collect()] == ["fine"]
+    assert {r.text for r in files.append_hot(entries, str(tmp_path / "hot"), "me").collect()} == {"x\n§\ny", " "}
+    assert [(r.text, r.actor) for r in versioned.read_table(spark, str(tmp_path / "hot")).collect()] == [("fine", "me")] and files.provenance(spark, str(tmp_path / "hot")).count() == 1
     two = files.concatenated(entries.limit(1), entries.limit(1))
     assert [r.store_at for r in two.orderBy("store_at").collect()] == [0, 1]
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DELIMITER, RESTORE_LIMIT
+from ..functions.shared import stored
 from ..functions.text import LINE_BREAK, content_hash, strip
 
 
@@ -165,14 +166,50 @@ def match(entries: DataFrame, known: DataFrame, tokens: Column, threshold: float
     )
 
 
+#: A key that the numbering may have made of another: its stem and number, from 2 on and without zeros in front.
+NUMBERED = r"^(.*)-([2-9]|[1-9]\d+)$"
+
+
 def number_collisions(matched: DataFrame) -> DataFrame:
-    """matched (store, ref, fact_key, hash, decision) with keys made unique in a pass: entries are placed in file order, the first content of a key keeps it, each further
-    content gets -2, -3, ... and is NEW; a content that was placed under the key already shares its place."""
-    first = matched.groupBy("store", "fact_key", "hash").agg(F.min("ref").alias("_first"))
-    w = Window.partitionBy("store", "fact_key").orderBy("_first")
-    placed = first.withColumn("_n", F.row_number().over(w)).drop("_first")
-    j = matched.join(placed, ["store", "fact_key", "hash"])
-    return j.withColumn("decision", F.when(F.col("_n") > 1, "NEW").otherwise(F.col("decision"))).withColumn("fact_key", F.when(F.col("_n") > 1, F.concat_ws("-", "fact_key", F.col("_n").cast("string"))).otherwise(F.col("fact_key"))).drop("_n")
+    """matched (store, ref, fact_key, hash, decision) with keys made unique in a pass: entries are placed in order of ref, the first content of a key keeps it, and each further content gets the first of -2, -3, ...
+    that no content placed before it has, by asking for it or by the numbering, and is NEW; a content that was placed under the key already shares its place.
+
+    A key's contents that go on to a number are counted by a window, and where keys that were asked for lie in the way (x-2 beside x), they are told apart in a small table of such keys: whether it was asked for before
+    the numbering came to it, which then skips it, or after, when its own contents go on to x-2-2. Each key's answer depends on its stem's and on smaller numbers' alone, so repeating until nothing changes ends."""
+    items = stored(matched.groupBy("store", "fact_key", "hash").agg(F.min("ref").alias("at")), "placed")
+    groups = items.groupBy("store", "fact_key").agg(F.min("at").alias("asked"))
+    number = F.regexp_extract("fact_key", NUMBERED, 2).try_cast("long")
+    stems = groups.select("store", F.col("fact_key").alias("stem"))
+    inner = groups.where(number.isNotNull()).withColumns({"stem": F.regexp_extract("fact_key", NUMBERED, 1), "n": number}).join(stems, ["store", "stem"])
+    inner = stored(inner.select("store", "fact_key", "stem", "n", "asked", F.lit(False).alias("skip"), F.lit(None).cast(matched.schema["ref"].dataType).alias("taken")), "numbered")
+
+    def over(state):
+        """Contents that go on to a number, and which of them they are under their key: 1, 2, ..."""
+        w = Window.partitionBy("store", "fact_key").orderBy("at")
+        gone = state.where("taken is not null").select("store", "fact_key", F.lit(1).alias("gone"))
+        return items.join(gone, ["store", "fact_key"], "left").withColumn("j", F.row_number().over(w) - 1 + F.coalesce("gone", F.lit(0))).drop("gone")
+
+    def met(state):
+        """n - 1 - the smaller numbers that are skipped: which of the stem's contents comes to this key's number."""
+        before = Window.partitionBy("store", "stem").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        return state.withColumn("j", F.col("n") - 1 - F.coalesce(F.sum(F.col("skip").cast("long")).over(before), F.lit(0)))
+
+    while not inner.isEmpty():
+        comes = over(inner).select("store", F.col("fact_key").alias("stem"), "j", F.col("at").alias("comes"))
+        told = met(inner).join(comes.where("j > 0"), ["store", "stem", "j"], "left").withColumns({"_skip": F.coalesce(F.col("asked") < F.col("comes"), F.lit(False)), "_taken": F.when(F.col("comes") < F.col("asked"), F.col("comes"))})
+        told = stored(told.select("store", "fact_key", "stem", "n", "asked", "skip", "taken", "_skip", "_taken"), "numbered")
+        changed = told.where((F.col("skip") != F.col("_skip")) | ~F.col("taken").eqNullSafe(F.col("_taken")))
+        inner = told.select("store", "fact_key", "stem", "n", "asked", F.col("_skip").alias("skip"), F.col("_taken").alias("taken"))
+        if changed.isEmpty():
+            break
+    # each skipped number shifts the contents that come after it
+    shifts = met(inner).where("skip").select("store", F.col("stem").alias("fact_key"), "j", F.lit(1).alias("up"))
+    both = over(inner).select("store", "fact_key", F.col("j").cast("long").alias("j"), "hash", F.lit(0).alias("up")).unionByName(shifts.withColumn("hash", F.lit(None).cast("string")))
+    upto = Window.partitionBy("store", "fact_key").orderBy("j", F.desc("up")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_n", F.when(F.col("j") > 0, F.col("j") + 1 + F.sum("up").over(upto))).where("up = 0").drop("j", "up")
+    again = F.col("_n").isNotNull()
+    j = matched.join(placed, (matched["store"] == placed["store"]) & (matched["fact_key"] == placed["fact_key"]) & matched["hash"].eqNullSafe(placed["hash"])).drop(placed["store"], placed["fact_key"], placed["hash"])
+    return j.withColumn("decision", F.when(again, "NEW").otherwise(F.col("decision"))).withColumn("fact_key", F.when(again, F.concat_ws("-", "fact_key", F.col("_n").cast("string"))).otherwise(F.col("fact_key"))).drop("_n")
 
 
 def ingest(entries: DataFrame, current_facts: DataFrame, archived: DataFrame, threshold: float) -> DataFrame:

@@ -156,7 +156,7 @@ def ingest(spark, d):
     a = altered(spark, d)
     archived = keyed(a).where("ref % 10 = 7").select(F.col("key").alias("fact_key"), F.col("text").alias("content"), F.concat(F.lit("2024-01-"), F.lpad((F.col("ref") % 28 + 1).cast("string"), 2, "0")).alias("archived_at"))
     out = T.ingest(stored(keyed(entries(spark, d)), "keyed"), stored(known_facts(a), "known"), archived, FUZZY_MATCH)
-    return out.groupBy("store", F.coalesce("op", F.lit("none")).alias("op")).agg(F.count("*").alias("facts"), F.min("fact_key").alias("first"), F.count("archived_at").alias("archived"))
+    return out.select("store", F.coalesce("op", F.lit("none")).alias("op"), "fact_key", "archived_at", "ref")
 
 
 QUERIES = {f.__name__: f for f in (content_hash, slug, derive_key, topic_of, est_tokens, extract_paths, latest_date, redact_secrets, clean_labels, token_bags, signals, entry_kinds, kind_counts, quality_scores, near_duplicates, best_duplicate, contradictions, recommended_actions, audit_summary, intake_gate, pin_classes, nearest_existing, containment_dup, match_decisions, ingest)}
@@ -295,10 +295,15 @@ SQL = {
     "nearest_existing": _NEAR + " SELECT id, best_id, common, either FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CAST(common AS DOUBLE) / either DESC, best_id) AS k FROM g) WHERE k = 1",
     "containment_dup": _NEAR + " SELECT id, common, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY common DESC, best_id) AS k FROM g) WHERE k = 1",
     "match_decisions": _MATCH + " SELECT ref, decision, how, fact_key FROM mt",
-    "ingest": _MATCH + """, pl AS (SELECT store, fact_key, hash, row_number() OVER (PARTITION BY store, fact_key ORDER BY r) AS n FROM (SELECT store, fact_key, hash, min(ref) AS r FROM mt GROUP BY ALL)),
-m2 AS (SELECT mt.ref, mt.store, mt.text, mt.hash, CASE WHEN n > 1 THEN 'NEW' ELSE decision END AS decision, CASE WHEN n > 1 THEN mt.fact_key || '-' || n ELSE mt.fact_key END AS fact_key FROM mt JOIN pl ON pl.store = mt.store AND pl.fact_key = mt.fact_key AND pl.hash = mt.hash),
+    "ingest": _MATCH.replace("WITH ", "WITH RECURSIVE ", 1).replace("mt AS (", "mt AS MATERIALIZED (") + """, it AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY store ORDER BY r) AS i FROM (SELECT store, fact_key, hash, min(ref) AS r FROM mt GROUP BY ALL)),
+pass(store, i, names, fact_key, hash, own, place) AS (
+  SELECT store, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM it GROUP BY store
+  UNION ALL SELECT p.store, p.i + 1, list_append(p.names, x.own), x.fact_key, x.hash, x.own, x.place FROM pass p JOIN LATERAL (
+    SELECT *, CASE WHEN place IS NULL THEN fact_key ELSE fact_key || '-' || place END AS own FROM (SELECT it.*, CASE WHEN list_contains(p.names, it.fact_key) THEN
+      list_filter(range(2, 3 + len(list_filter(p.names, lambda n: starts_with(n, it.fact_key || '-')))), lambda k: NOT list_contains(p.names, it.fact_key || '-' || k))[1] END AS place FROM it WHERE it.store = p.store AND it.i = p.i + 1)) x ON true),
+m2 AS (SELECT mt.ref, mt.store, mt.text, mt.hash, CASE WHEN place IS NOT NULL THEN 'NEW' ELSE decision END AS decision, own AS fact_key FROM mt JOIN pass pl ON pl.store = mt.store AND pl.fact_key = mt.fact_key AND pl.hash = mt.hash),
 ar AS (SELECT fact_key, max('2024-01-' || lpad(CAST(ref % 28 + 1 AS VARCHAR), 2, '0')) AS archived_at FROM others WHERE ref % 10 = 7 GROUP BY 1),
-li AS (SELECT m2.store, m2.fact_key, CASE WHEN kn.hash = m2.hash THEN NULL WHEN decision = 'NEW' THEN 'create' ELSE 'update' END AS op, CAST(NULL AS VARCHAR) AS archived_at FROM m2 LEFT JOIN kn ON kn.store = m2.store AND kn.fact_key = m2.fact_key),
-lo AS (SELECT kn.store, kn.fact_key, CASE WHEN ar.fact_key IS NOT NULL THEN 'archive' ELSE 'delete' END AS op, archived_at FROM kn LEFT JOIN ar ON ar.fact_key = kn.fact_key WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.store = kn.store AND m2.fact_key = kn.fact_key))
-SELECT store, coalesce(op, 'none') AS op, count(*) AS facts, min(fact_key) AS first, count(archived_at) AS archived FROM (SELECT * FROM li UNION ALL SELECT * FROM lo) GROUP BY ALL""",
+li AS (SELECT m2.ref, m2.store, m2.fact_key, CASE WHEN kn.hash = m2.hash THEN NULL WHEN decision = 'NEW' THEN 'create' ELSE 'update' END AS op, CAST(NULL AS VARCHAR) AS archived_at FROM m2 LEFT JOIN kn ON kn.store = m2.store AND kn.fact_key = m2.fact_key),
+lo AS (SELECT CAST(NULL AS BIGINT) AS ref, kn.store, kn.fact_key, CASE WHEN ar.fact_key IS NOT NULL THEN 'archive' ELSE 'delete' END AS op, archived_at FROM kn LEFT JOIN ar ON ar.fact_key = kn.fact_key WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m2.store = kn.store AND m2.fact_key = kn.fact_key))
+SELECT store, coalesce(op, 'none') AS op, fact_key, archived_at, ref FROM (SELECT store, op, fact_key, archived_at, ref FROM li UNION ALL SELECT store, op, fact_key, archived_at, ref FROM lo)""",
 }

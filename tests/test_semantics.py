@@ -237,7 +237,7 @@ def test_merges_archives_and_keys(spark):
     assert [(r.ref, r.kind, r.destination) for r in rewrite.archives(d, "2024-06-01", "~/a/").collect()] == [(3, "note", "~/a/2024-06-01-m-3-gone-gone-gone-gone-gone-gone.md")]
     m = rewrite.manifest(d).first()
     assert (m.entries, m.entries_after, m.grew) == (4, 1, False) and m.chars == sum(len(r[2]) for r in rows) + 9
-    facts = spark.createDataFrame([("m", "old", None), ("m", "k", "none")], "store string, fact_key string, hash string")
+    facts = spark.createDataFrame([("m", "k", "none", 1, 1)], "store string, fact_key string, hash string, version int, is_current int")
     assert {(r.ref, r.fact_key, r.op) for r in rewrite.resolve_facts(d, facts).collect()} >= {(1, "old", "archive")}
 
 

@@ -10,8 +10,8 @@ target. Chunks of a source are rounded by themselves, each leaving at most one f
 those meet again in a reduction tree, FAN chunks at a time, until one per source is left, which is
 rounded by a coin of its own.
 
-Coins are hashes of (seed, doc_id, text), so reruns agree on any cluster. Rows that repeat whole take one decision
-together. A null text or one without words has size 0 and zero copies; a text of any length is counted whole. A null source is a source of its own,
+Coins are hashes of (seed, doc_id, text), so reruns agree on any cluster. Of rows that repeat whole, t with a fraction f, floor(t * f) take one copy more, one other has the rest as its
+fraction, and the copies are dealt to them by number; which of them come first makes no difference. A null text or one without words has size 0 and zero copies; a text of any length is counted whole. A null source is a source of its own,
 last in order. Equal coins are ordered by the row's hashes. An empty table gives an empty result. Extra columns pass through, also those named like columns used here.
 """
 
@@ -106,11 +106,13 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         units.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
         .withColumn("base", F.floor(rate + 1e-12).cast("int"))
-        .withColumn("frac", F.when(F.col("size") > 0, F.greatest(rate - F.col("base"), F.lit(0.0))).otherwise(0.0))
-        .withColumn("mass", (F.col("size") * F.col("times")).cast("double"))
+        .withColumn("part", F.when(F.col("size") > 0, F.greatest(rate - F.col("base"), F.lit(0.0)) * F.col("times")).otherwise(0.0))
+        .withColumn("more", F.floor(F.col("part") + 1e-12))
+        .withColumn("frac", F.greatest(F.col("part") - F.col("more"), F.lit(0.0)))
+        .withColumn("mass", F.col("size").cast("double"))
         .withColumn("coin", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(1 << 52)) / float(1 << 52))
         .withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 1), "k1"), chunks))
-        .select("pos", "source_size", "target", "size", "k1", "k2", "base", "frac", "mass", "coin", "chunk", F.lit(0).alias("extra"))
+        .select("pos", "source_size", "target", "size", "k1", "k2", "times", "base", "more", "frac", "mass", "coin", "chunk", F.lit(0).alias("extra"))
     )
     decided, level, most = None, unit, plan.agg(F.max(F.ceil(F.col("units") / CHUNK))).first()[0] or 1
     while True:
@@ -123,11 +125,17 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
         most = -(-most // FAN)
     decided = decided.unionByName(level.withColumn("extra", (F.col("coin") < F.col("frac")).cast("int")))
     n, total, target, copies, taken = (free_name(names, x) for x in ("size", "source_size", "target", "copies", "taken"))
-    d1, d2, d_size, d_total, d_target, d_copies = (free_name(names, x) for x in ("d1", "d2", "d_size", "d_total", "d_target", "d_copies"))
-    told = decided.select(F.col("k1").alias(d1), F.col("k2").alias(d2), F.col("size").alias(d_size), F.col("source_size").cast("long").alias(d_total), F.col("target").alias(d_target), (F.col("base") + F.col("extra")).cast("int").alias(d_copies))
+    d1, d2, d_size, d_total, d_target, d_copies, d_times, d_more = (free_name(names, x) for x in ("d1", "d2", "d_size", "d_total", "d_target", "d_copies", "d_times", "d_more"))
+    told = decided.select(F.col("k1").alias(d1), F.col("k2").alias(d2), F.col("size").alias(d_size), F.col("source_size").cast("long").alias(d_total), F.col("target").alias(d_target), F.col("base").cast("int").alias(d_copies), F.col("times").alias(d_times), (F.col("more") + F.col("extra")).alias(d_more))
     key1 = F.xxhash64(F.col(doc_id), t1, F.col(source), F.col(source).isNull())
     key2 = F.xxhash64(F.lit(3), F.col(doc_id), t2, F.col(source), F.col(source).isNull())
-    return docs.join(told, (key1 == F.col(d1)) & (key2 == F.col(d2))).select(
+    joined = docs.join(told, (key1 == F.col(d1)) & (key2 == F.col(d2)))
+    repeated = told.where(F.col(d_times) > 1)
+    if repeated.isEmpty():
+        joined = joined.withColumn(d_copies, (F.col(d_copies) + F.col(d_more)).cast("int"))
+    else:
+        joined = _dealt(joined, names, d1, d2, d_copies, d_times, d_more)
+    return joined.select(
         *[F.col(f"`{c}`") for c in names],
         F.col(d_size).alias(n),
         F.col(d_total).alias(total),
@@ -137,4 +145,22 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     )
 
 
+def _dealt(joined: DataFrame, names, d1: str, d2: str, d_copies: str, d_times: str, d_more: str) -> DataFrame:
+    """d_copies of each row where rows repeat: the first d_more of equal ones get one more. Rows are numbered within the pieces of files that they are read from, and pieces by sums over them, so equal rows,
+    be they a third of all, never meet in one task."""
+    from pyspark.sql import Window
+
+    piece, number, before = (free_name([*joined.columns], x) for x in ("d_piece", "d_number", "d_before"))
+    rows = stash(joined, "mix-rows").withColumn(piece, F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    many = rows.where(F.col(d_times) > 1)
+    each = many.groupBy(d1, d2, piece).agg(F.count("*").alias(before))
+    each = each.withColumn(before, F.coalesce(F.sum(before).over(Window.partitionBy(d1, d2).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = many.withColumn(number, F.row_number().over(Window.partitionBy(d1, d2, piece).orderBy(F.lit(0))))
+    own = within.join(each, [d1, d2, piece])
+    extra = (F.col(number) + F.col(before) <= F.col(d_more)).cast("int")
+    one = rows.where(F.col(d_times) <= 1)
+    out = [*[F.col(f"`{c}`") for c in names], *[F.col(c) for c in joined.columns[len(names) :] if c != d_copies]]
+    return one.select(*out, (F.col(d_copies) + F.col(d_more)).cast("int").alias(d_copies)).union(own.select(*out, (F.col(d_copies) + extra).cast("int").alias(d_copies)))
+
+
 ship(__name__)

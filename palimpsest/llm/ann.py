@@ -1,35 +1,33 @@
 """Approximate nearest neighbours by a forest of sorted hash strings.
 
-Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part. The others are dealt to shards
-by a hash of their id. In a shard each tree gives every vector a string of BITS signs of random projections, and keeps the strings
+Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part. The others are stored in shards, as they are read. In a shard each tree gives every vector a string of BITS signs of random projections, and keeps the strings
 as one sorted array, whose common prefixes are the trie. A query descends to its longest matching prefix in
 each tree and then all trees go up together, a bit at a time, until the ranges that share the
 current prefix hold `reach` of the shard's strings over all trees. Those candidates are scored by the exact cosine, in double
 precision and in one order of summation, so equal vectors score the same; ties go to the smaller id.
 
-Each shard's arrays are built once and stored as a file in the shared folder; queries are stored in blocks in the same way. A (shard, block) pair is a
-task of bounded memory that reads both and yields k rows a query, so no vector is shuffled again, whatever the number of blocks. Of equal vectors a shard keeps
+Work is dealt as in grid.py: each shard's arrays are built once and stored, and a task holds a block of queries and streams the shards of a strip, so that tasks grow with the blocks of queries, never with shards times blocks,
+and no vector is shuffled. A task yields k rows a query. Of equal vectors a shard keeps
 the rows of the k + 1 smallest ids, k rows an id, as no query can return others; a vector that a third of all rows share is a few rows.
 
 `reach` is fitted: FIT_QUERIES rows drawn by hash get their true neighbours in one scan of all rows, and the least reach is taken at which
-`recall` of these share the prefix that a query goes up to in the first shard (FIT_BYTES of it at most). Nearer neighbours need less reach, so a denser table is searched by a smaller share.
+`recall` of these share the prefix that a query goes up to in a forest over SAMPLE rows (FIT_BYTES of them at most), drawn by hash too. Nearer neighbours need less reach, so a denser table is searched by a smaller share.
 Every vector is indexed. Rows that repeat an id are scored each; a query that repeats whole is asked once, and different vectors of one query id share its k places.
 A null id takes no part. An empty table gives an empty result. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
-import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, stash
+from .common import ship, stash
+from .grid import BLOCK, against, matrix, write_shards
 
-TREES, BITS, SHARD, BLOCK = 160, 20, 16384, 1024
+TREES, BITS, SAMPLE = 160, 20, 16384
 FIT_QUERIES, FIT_BYTES, RECALL = 128, 32 << 20, 0.94
 #: Trees hashed, and queries looked up, at once.
 _TREES, _QUERIES = 8, 256
@@ -72,19 +70,19 @@ class Forest:
                 hi[b, t] = np.searchsorted(self.strings[t], last[t], side="right")
         return lo, hi
 
-    def levels(self, lo: np.ndarray, hi: np.ndarray, reach: float) -> np.ndarray:
-        """Per query the longest prefix length at which the runs of all trees hold enough."""
+    def levels(self, lo: np.ndarray, hi: np.ndarray, reach: float, own: np.ndarray) -> np.ndarray:
+        """Per query the longest prefix length at which the runs of all trees hold enough, besides the query's own rows (own: how many it has here)."""
         trees, n = self.strings.shape
-        enough = (hi - lo).sum(axis=1, dtype=np.int64) >= min(1.0, reach) * n * trees
+        enough = (hi - lo).sum(axis=1, dtype=np.int64) - own * trees >= np.minimum(1.0, reach) * (n - own) * trees
         return self.bits - np.argmax(enough[::-1], axis=0)
 
-    def candidates(self, codes: np.ndarray, reach: float) -> Iterator[np.ndarray]:
+    def candidates(self, codes: np.ndarray, reach: float, own: np.ndarray) -> Iterator[np.ndarray]:
         """Per query the places of its candidates: descend, then go up in all trees at once until the runs hold enough."""
         trees, n = self.strings.shape
         seen = np.zeros(n, dtype=bool)
         for at in range(0, codes.shape[1], _QUERIES):
             lo, hi = self.ranges(codes[:, at : at + _QUERIES])
-            for j, b in enumerate(self.levels(lo, hi, reach)):
+            for j, b in enumerate(self.levels(lo, hi, reach, own[at : at + _QUERIES])):
                 for t in range(trees):
                     seen[self.order[t, lo[b, t, j] : hi[b, t, j]]] = True
                 found = np.flatnonzero(seen)
@@ -100,10 +98,15 @@ def norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=-1))
 
 
+def times_in(ids: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """How often each asked id is among ids, which are in order."""
+    return np.searchsorted(ids, asked, side="right") - np.searchsorted(ids, asked)
+
+
 def search(ids, x, forest: Forest, query_ids, queries, k: int, reach: float):
     """(query, id, score) arrays of each query's k nearest found here, and how many rows were scored; a query's own rows are no candidates of it."""
     size, trees, out, scored = norms(x), forest.strings.shape[0], [], 0
-    for j, near in enumerate(forest.candidates(signs(queries, trees, forest.bits), reach)):
+    for j, near in enumerate(forest.candidates(signs(queries, trees, forest.bits), reach, times_in(ids, query_ids))):
         near = near[ids[near] != query_ids[j]]
         scored += len(near)
         score = cosine(x[near], queries[j], size[near], norms(queries[j]))
@@ -127,7 +130,7 @@ def few_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return kept[np.argsort(ids[kept], kind="stable")]
 
 
-def fit_reach(sample: np.ndarray, asked: np.ndarray, near: np.ndarray, of: np.ndarray, recall: float, trees: int, bits: int) -> float:
+def fit_reach(sample: np.ndarray, sample_ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, near: np.ndarray, of: np.ndarray, recall: float, trees: int, bits: int) -> float:
     """The least share of strings to gather such that at least `recall` of the true neighbours (near, of the queries numbered in `of`) share a prefix as long as the query's
     level in a forest over the sample."""
     if not len(near) or not len(sample):
@@ -139,9 +142,10 @@ def fit_reach(sample: np.ndarray, asked: np.ndarray, near: np.ndarray, of: np.nd
     for b in range(1, bits + 1):
         shared[((apart >> np.uint32(bits - b)) == 0).any(axis=0)] = b
     lo, hi = forest.ranges(codes)
+    own = times_in(sample_ids, asked_ids)
     reach = 0.0002
     while reach < 1.0:
-        if (shared >= forest.levels(lo, hi, reach)[of]).mean() >= recall:
+        if (shared >= forest.levels(lo, hi, reach, own)[of]).mean() >= recall:
             return reach
         reach *= 1.1
     return 1.0
@@ -153,10 +157,6 @@ def usable(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn(vector, v).where(F.coalesce(good, F.lit(False)))
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-
-
 def _true_neighbours(good: DataFrame, asked: np.ndarray, asked_ids: np.ndarray, k: int, dim: int):
     """Places in asked, and vectors, of the k nearest rows of each of a few queries: one scan, k rows a query and batch, then k a query."""
     sent = good.sparkSession.sparkContext.broadcast((asked, asked_ids))
@@ -168,7 +168,7 @@ def _true_neighbours(good: DataFrame, asked: np.ndarray, asked_ids: np.ndarray,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
             score = (x @ q.T) / np.outer(norms(x), norms(q))
             score[ids[:, None] == q_ids[None, :]] = -9
             best = np.argsort(-score, axis=0, kind="stable")[:k].T
@@ -180,45 +180,16 @@ def _true_neighbours(good: DataFrame, asked: np.ndarray, asked_ids: np.ndarray,
     best = Window.partitionBy("of").orderBy(F.desc("score"), "id")
     met = good.select("vec_id", "v").mapInArrow(scan, "of long, id long, score double, v array<double>")
     found = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("of", "v").toArrow()
-    return found["of"].to_numpy(), _matrix(found["v"].combine_chunks(), dim)
-
-
-def _stored(rows: DataFrame, by: str, folder: str, name: str, make) -> DataFrame:
-    """by, path: a file of arrays for each group of rows (vec_id, v). An attempt writes a name of its own, and the table names the one that was committed."""
-
-    def write(key, part):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        file = f"{name}-{key[0].as_py()}-{uuid.uuid4().hex}"
-        ids = part["vec_id"].to_numpy()
-        raw = io.BytesIO()
-        np.savez(raw, **make(ids, _matrix(part["v"].combine_chunks(), len(part["v"][0]))))
-        with system.open_output_stream(f"{root}/{file}", compression=None) as out:
-            out.write(raw.getbuffer())
-        return pa.table({by: pa.array([key[0].as_py()], pa.int64()), f"{by}_path": pa.array([f"{folder}/{file}"])})
+    return found["of"].to_numpy(), matrix(found["v"].combine_chunks(), dim)
 
-    return stash(rows.groupBy(by).applyInArrow(write, f"{by} long, {by}_path string"), f"ann-{name}")
 
-
-def _load(path: str) -> dict[str, np.ndarray]:
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path)
-    with system.open_input_file(place) as f:
-        found = np.load(io.BytesIO(f.read()))
-        return {name: found[name] for name in found.files}
-
-
-def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", dim: int | None = None, recall: float = RECALL, trees: int = TREES, bits: int = BITS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", dim: int | None = None, recall: float = RECALL, trees: int = TREES, bits: int = BITS, shard: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is_query (a Column) marks, among all other rows."""
     return searched(rows, is_query, k, vec_id, vector, dim, recall, trees, bits, shard, block)[0]
 
 
-def searched(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", dim: int | None = None, recall: float = RECALL, trees: int = TREES, bits: int = BITS, shard: int = SHARD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The result of nearest, and a row a (shard, block) task: queries, rows and how many pairs of them were scored."""
+def searched(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", dim: int | None = None, recall: float = RECALL, trees: int = TREES, bits: int = BITS, shard: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The result of nearest, and a row a shard and block: queries, rows and how many pairs of them were scored."""
     spark = rows.sparkSession
     good = usable(rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")), "v").where(F.col("vec_id").isNotNull())
     if dim is None:
@@ -226,50 +197,46 @@ def searched(rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vect
     if dim is None:
         return spark.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false"), spark.sql("SELECT 0L AS queries, 0L AS rows, 0L AS scored WHERE false")
     good = good.where(F.size("v") == dim)
-    n, asked = good.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    folder = f"{shared_dir(spark)}/ann-{uuid.uuid4().hex}"
-    deal = lambda seed, k: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(k))
-
-    drawn = good.orderBy(F.xxhash64(F.lit(13), "vec_id"), "vec_id").limit(FIT_QUERIES).select("vec_id", "v").toArrow()
-    asked_ids, asked_v = drawn["vec_id"].to_numpy(), _matrix(drawn["v"].combine_chunks(), dim)
-    sample = good.withColumn("shard", deal(1, shards)).where("shard = 0").select("vec_id", "v").limit(max(1, FIT_BYTES // (8 * dim))).toArrow()
-    own = few_copies(sample["vec_id"].to_numpy(), _matrix(sample["v"].combine_chunks(), dim), k) if sample.num_rows else []
+    asked = stash(good.where("q").select("vec_id", "v").dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("vec_id", "v")), "ann-queries")
+
+    def drawn(seed, most):
+        found = good.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id", "v").limit(most).select("vec_id", "v").toArrow()
+        return found["vec_id"].to_numpy(), matrix(found["v"].combine_chunks(), dim)
+
+    asked_ids, asked_v = drawn(13, FIT_QUERIES)
+    sample_ids, sample = drawn(1, max(1, min(shard or SAMPLE, FIT_BYTES // (8 * dim))))
+    own = few_copies(sample_ids, sample, k) if len(sample) else []
     of, near = _true_neighbours(good, asked_v, asked_ids, k, dim)
-    reach = fit_reach(_matrix(sample["v"].combine_chunks(), dim)[own], asked_v, near, of, recall, trees, bits)
+    reach = fit_reach(sample[own], sample_ids[own], asked_v, asked_ids, near, of, recall, trees, bits)
 
-    def plant(ids, x):
+    def plant(part):
+        ids, x = part["vec_id"].to_numpy(), matrix(part["v"].combine_chunks(), dim)
         kept = few_copies(ids, x, k)
         forest = Forest.grow(x[kept], trees, bits)
         return {"ids": ids[kept], "x": x[kept], "order": forest.order, "strings": forest.strings}
 
-    def ask(ids, x):
-        kept = few_copies(ids, x, 1)
-        first = np.concatenate([[True], (ids[kept][1:] != ids[kept][:-1]) | (x[kept][1:] != x[kept][:-1]).any(axis=1)])
-        return {"ids": ids[kept][first], "x": x[kept][first]}
+    shards, folder = write_shards(good.select("vec_id", "v"), dim, plant, "ann", shard)
 
-    index = _stored(good.select("vec_id", "v", deal(1, shards).alias("shard")), "shard", folder, "shard", plant)
-    queries = _stored(good.where("q").select("vec_id", "v", deal(2, blocks).alias("block")).repartition("block"), "block", folder, "block", ask)
-    pairs = spark.range(shards * blocks).select(F.floor(F.col("id") / blocks).alias("shard"), (F.col("id") % blocks).alias("block"))
-    pairs = pairs.join(index, "shard").join(queries, "block").repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block")
-
-    def run(batches: Iterator) -> Iterator:
+    def run(part, strip: Iterator):
         import pyarrow as pa
 
-        held, arrays = None, {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard_path"] != held:
-                    held, arrays = row["shard_path"], _load(row["shard_path"])
-                block = _load(row["block_path"])
-                (q, i, s), scored = search(arrays["ids"], arrays["x"], Forest(arrays["order"], arrays["strings"], bits), block["ids"], block["x"], k, reach)
-                told = pa.array([None] * len(q), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), told, told, told], names=names)
-                own = [pa.array([x], pa.int64()) for x in (len(block["ids"]), len(arrays["ids"]), scored)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), *own], names=names)
-
-    names = ["query_id", "vec_id", "score", "queries", "rows", "scored"]
-    found = stash(pairs.mapInArrow(run, "query_id long, vec_id long, score double, queries long, rows long, scored long"), "ann-found")
+        q_ids, q = part["vec_id"].to_numpy(), matrix(part["v"].combine_chunks(), dim)
+        best, told = [np.zeros(0, dtype=t) for t in ("int64", "int64", "float64")], []
+        for s in strip:
+            found, scored = search(s["ids"], s["x"], Forest(s["order"], s["strings"], bits), q_ids, q, k, reach)
+            told.append((len(q_ids), len(s["ids"]), scored))
+            best = [np.concatenate(c) for c in zip(best, found, strict=True)]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            best = [c[order] for c in best]
+            keep = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
+            best = [c[keep] for c in best]
+        n, m = len(best[0]), len(told)
+        columns = [pa.chunked_array([pa.array(c, t), pa.nulls(m, t)]) for c, t in zip(best, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+        columns += [pa.chunked_array([pa.nulls(n, pa.int64()), pa.array([x[i] for x in told], pa.int64())]) for i in range(3)]
+        return pa.table(columns, names=["query_id", "vec_id", "score", "queries", "rows", "scored"])
+
+    schema = "query_id long, vec_id long, score double, queries long, rows long, scored long"
+    found = stash(against(asked, "key", asked.count(), shards, folder, run, schema, block), "ann-found")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = found.where("scored is null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     return top, found.where("scored is not null").select("queries", "rows", "scored")

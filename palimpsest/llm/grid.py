@@ -24,9 +24,9 @@ def matrix(column, dim: int, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(dtype)
 
 
-def write_shards(rows: DataFrame, dim: int, make: Callable, label: str) -> tuple[DataFrame, str]:
-    """Store rows (any columns) in shards of make(table)'s arrays. A table of path, rows and its folder; an attempt's file has a name of its own, and the table names those of committed attempts."""
-    folder, most = f"{shared_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}", max(1, SHARD_BYTES // (8 * max(dim, 1)))
+def write_shards(rows: DataFrame, dim: int, make: Callable, label: str, most: int | None = None) -> tuple[DataFrame, str]:
+    """Store rows (any columns) in shards of make(table)'s arrays, of `most` rows at most. A table of path, rows and its folder; an attempt's file has a name of its own, and the table names those of committed attempts."""
+    folder, most = f"{shared_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}", most or max(1, SHARD_BYTES // (8 * max(dim, 1)))
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -86,11 +86,11 @@ def against(queries: DataFrame, key: str, n_queries: int, shards: DataFrame, fol
     strips = max(1, min(n_shards, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)))
 
     def task(group, part):
-        return run(part.drop_columns(["block", "strip"]), strip_of(folder, group[1].as_py(), strips))
+        return run(part.drop_columns(["_block", "_strip"]), strip_of(folder, group[1].as_py(), strips))
 
-    dealt = queries.withColumns({"block": F.pmod(F.xxhash64(F.lit(29), key), F.lit(blocks)), "strip": F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))})
+    dealt = queries.withColumns({"_block": F.pmod(F.xxhash64(F.lit(29), key), F.lit(blocks)), "_strip": F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))})
     # as many partitions as groups: a task of its own for most of them, none of them merged
-    return dealt.repartition(blocks * strips, "block", "strip").groupBy("block", "strip").applyInArrow(task, schema)
+    return dealt.repartition(blocks * strips, "_block", "_strip").groupBy("_block", "_strip").applyInArrow(task, schema)
 
 
 ship(__name__)

@@ -285,6 +285,16 @@ def test_mixing(spark):
     assert mix(docs(spark, [])).count() == 0 and mix(docs(spark, [(1, "", None), (2, None, "s")])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_repeated_rows(spark):
+    """Rows that repeat whole are dealt copies one by one, so a source of one text comes as near its target as others; reruns agree on how many of them get how many."""
+    rows = [(1, "w " * 100, "a")] * 500 + [(1000 + i, "v " * (1 + i % 9), "b") for i in range(300)] + [(5000 + i % 7, "u " * 11, None) for i in range(90)]
+    a, b = (mix(docs(spark, rows).repartition(k)) for k in (3, 7))
+    told = lambda df: Counter((x.doc_id, x.source, x.taken) for x in df.collect())
+    assert told(a) == told(b) and sum(told(a).values()) == len(rows)
+    for x in a.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.max(F.col("taken") / F.col("size")).alias("times")).collect():
+        assert abs(x.taken - x.target) <= x.most and x.times <= 2
+
+
 def test_mixing_tree(spark):
     """Many chunks: residuals meet in the tree and the sum still ends within a document of the target."""
     import palimpsest.llm.mixing as m

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CHARS_PER_TOKEN, HEADER_SENTINEL, JOIN_TOKENS, POINTER_SIGIL
 from . import patterns as P
+from .prefilter import can_occur, linear
 
 #: What ends a line, besides the carriage return and line feed pair.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -18,9 +19,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def says(c: Column, pattern: str) -> Column:
-    """Whether the pattern occurs, ignoring case, with Unicode word borders. A text that is all ASCII takes the engine's plain classes, which are several times faster and mean the same there."""
-    return F.when(F.octet_length(c) == F.length(c), c.rlike("(?i)" + pattern)).otherwise(c.rlike("(?iuU)" + pattern))
+def says(c: Column, pattern: str, seen: Column | None = None) -> Column:
+    """Whether the pattern occurs, ignoring case, with Unicode word borders. A text that is all ASCII takes the engine's plain classes, which are several times faster and mean the same there.
+
+    seen: prefilter.seen of the text; then a pattern is only tried where it can occur."""
+    out = None
+    for p, also in linear(pattern):
+        found = F.when(F.octet_length(c) == F.length(c), c.rlike("(?i)" + p)).otherwise(c.rlike("(?iuU)" + p))
+        if seen is not None and (may := can_occur(seen, p, also)) is not None:
+            found = may & found
+        out = found if out is None else out | found
+    return out
 
 
 def first_line(c: Column) -> Column:

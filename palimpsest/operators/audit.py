@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from ..constants import CONTRA_POLARITY, CONTRA_SUBJECT, DUMP_CHARS, MAX_ENTRY_CHARS, POINTER_IDEAL, STALE_DAYS, USER_IDEAL, USER_MAX
 from ..functions import patterns as P
+from ..functions.prefilter import let, seen
 from ..functions.text import audit_tokens, clamp, declared_defaults, identifiers, is_file_path, is_header, is_pointer, latest_date, paths, says, subject_tokens
 from .similarity import similar_pairs
 
 
-def signals(c: Column) -> Column:
+def signals(c: Column, seen_: Column | None = None) -> Column:
+    """The boolean signals of a text; seen_: prefilter.seen of it, which is computed once for all patterns."""
     found = {
         "temporal": P.TEMPORAL, "completion": P.COMPLETION, "metric": P.METRIC, "leading_date": P.LEADING_DATE, "inline_date": P.INLINE_DATE, "pointer": P.POINTER, "preference": P.PREFERENCE,
         "reflection": P.REFLECTION, "todo": P.TODO, "debug": P.DEBUG, "progress": P.PROGRESS, "vague": P.VAGUE, "volatile": P.VOLATILE,
     }
-    return F.struct(*[says(c, p).alias(k) for k, p in found.items()], (says(c, P.COMPLETION) | says(c, P.ACTIVITY)).alias("activity"), is_pointer(c).alias("sigil"))
+    told = lambda w: F.struct(*[says(c, p, w).alias(k) for k, p in found.items()], (says(c, P.COMPLETION, w) | says(c, P.ACTIVITY, w)).alias("activity"), is_pointer(c).alias("sigil"))
+    return let(seen(c), told) if seen_ is None else told(seen_)
 
 
-def kind(text: Column, store: Column, s: Column, most: int = MAX_ENTRY_CHARS) -> Column:
+def kind(text: Column, store: Column, s: Column, most: int = MAX_ENTRY_CHARS, seen_: Column | None = None) -> Column:
     """The first rule that decides. A lasting preference is never taken for a status note because of a number or date in it."""
     n = F.length(text)
-    only_durable = says(text, P.DURABLE_VERB) & ~says(text, P.EVENT_VERB)
+    only_durable = says(text, P.DURABLE_VERB, seen_) & ~says(text, P.EVENT_VERB, seen_)
     event = (s["completion"] | s["activity"]) & ~(only_durable & ~s["temporal"])
     figure = s["metric"] & ~s["preference"]
     dated = ~s["preference"] & (s["leading_date"] | s["temporal"] | s["inline_date"]) & (event | figure)
@@ -35,7 +38,7 @@ def kind(text: Column, store: Column, s: Column, most: int = MAX_ENTRY_CHARS) ->
         .when(dated | (figure & ~s["pointer"]), "status_update")
         .when(s["todo"] & ~s["pointer"], "todo_temporary")
         .when(s["progress"] & (s["inline_date"] | s["metric"] | s["completion"]), "project_progress")
-        .when(says(text, P.STRONG_VAGUE) & (n < 80) & ~s["pointer"], "malformed")
+        .when((n < 80) & says(text, P.STRONG_VAGUE, seen_) & ~s["pointer"], "malformed")
         .when(s["preference"] & ~(s["leading_date"] | s["completion"]), "preference_fact")
         .when((n > F.when(store == "memory", most).otherwise(USER_MAX)) & ~s["pointer"], "content_dump")
         .when(s["pointer"], F.when((store == "memory") & (n > DUMP_CHARS), "content_dump").otherwise("pointer"))
@@ -74,7 +77,8 @@ def audit(entries: DataFrame, today: Column, known_paths: DataFrame | None = Non
     else:
         files = e.select("ref", F.explode(F.filter("paths", is_file_path)).alias("path")).join(known_paths.select("path", F.lit(True).alias("there")), "path", "left")
         e = e.join(files.groupBy("ref").agg(F.bool_and(F.col("there").isNull()).alias("missing")), "ref", "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
-    e = e.withColumn("signals", signals(F.col("text"))).withColumn("kind", kind(F.col("text"), F.col("store"), F.col("signals"))).withColumn("chars", F.length("text"))
+    e = e.withColumn("_seen", seen(F.col("text"))).withColumn("signals", signals(F.col("text"), F.col("_seen")))
+    e = e.withColumn("kind", kind(F.col("text"), F.col("store"), F.col("signals"), seen_=F.col("_seen"))).withColumn("chars", F.length("text")).drop("_seen")
     return e.withColumn("scores", scores(F.col("text"), F.col("store"), F.col("signals"), F.col("kind"), F.col("missing"), today))
 
 

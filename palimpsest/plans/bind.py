@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where they come in fewer pieces, as a file of one row group does; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def version_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fact per user; every fifth event is backdated to its day's start, every eleventh ends a day later."""
     e = table(spark, sf_dir, "events")
@@ -79,7 +85,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("doc_id") % len(TAILS)).cast("int")
     head = F.coalesce(*[F.when(k == i, h) for i, h in HEADS.items()], F.lit(""))
     text = F.concat(head, "text", F.get(F.array(*[F.lit(t) for t in TAILS]), k))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), F.when(F.col("doc_id") % 2 == 0, "memory").otherwise("user").alias("store"), text.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("ref"), F.when(F.col("doc_id") % 2 == 0, "memory").otherwise("user").alias("store"), text.alias("text"))
 
 
 def altered(spark: SparkSession, sf_dir: str) -> DataFrame:

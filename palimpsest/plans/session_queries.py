@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import HIDDEN_SOURCES
-from ..functions.shared import stored
+from ..functions.shared import shared_dir, stored
 from ..operators import sessions as S
+from ..operators.fulltext import Index, words_of
 from .bind import table
 
 NOW = "1998-09-01 00:00:00"
@@ -147,7 +150,37 @@ def search_impact(spark, d):
     return S.search_impact(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), PROBES)
 
 
-QUERIES = {f.__name__: f for f in (session_first_user_message, session_docs, session_age_histogram, session_metrics, source_histogram, end_reasons, last_activity, prune_closed_targets, prune_unclosed_targets, compression_semi, compression_bytes, compression_targets, compression_states, cleanup_targets, target_counts, children_unlinked, cleanup_after_counts, orphan_check, word_index_df, trigram_index, search_impact)}
+def _index(spark, d, kinds):
+    """All documents indexed in two appends, of which the second replaces a third of the first with the same texts, and merged."""
+    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", kinds)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index.append(docs.where(F.col("id") % 3 != 1))
+    index.append(docs.where(F.col("id") % 3 != 2))
+    index.merge()
+    return index, docs
+
+
+def phrase_search(spark, d):
+    """Documents that hold the second to fourth word of a benchmark item one after the other, and how often."""
+    w = words_of(F.col("text"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(w, 2, 3), " ").alias("text"))
+    return _index(spark, d, ("word",))[0].phrases(asked)
+
+
+def substring_search(spark, d):
+    """Documents that hold twelve characters of a benchmark item, wherever words begin."""
+    index, docs = _index(spark, d, ("gram",))
+    return index.substrings(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 4, 12).alias("text")), docs)
+
+
+def indexed_topk(spark, d):
+    """The ten documents, with those equal to the tenth, that hold most of the weight of a benchmark item's words."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words_of(F.col("text")).alias("tokens"))
+    best, _ = _index(spark, d, ("word",))[0].best(asked, 10)
+    return best.select("query_id", "id", F.round(F.col("score") * 1e6).cast("long").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (session_first_user_message, session_docs, session_age_histogram, session_metrics, source_histogram, end_reasons, last_activity, prune_closed_targets, prune_unclosed_targets, compression_semi, compression_bytes, compression_targets, compression_states, cleanup_targets, target_counts, children_unlinked, cleanup_after_counts, orphan_check, word_index_df, trigram_index, search_impact, phrase_search, substring_search, indexed_topk)}
 
 _SMALL = """WITH m AS (SELECT conv_id AS session_id, turn AS id, turn AS timestamp, role, text AS content FROM conversations),
 s AS (SELECT id, CASE id % 5 WHEN 0 THEN 'telegram' WHEN 1 THEN 'cli' WHEN 2 THEN 'cron' WHEN 3 THEN 'subagent' ELSE 'web' END AS source,
@@ -173,7 +206,16 @@ def _bucket(lo, hi, name):
     return f"count(*) FILTER ({_AGE} >= {lo * day}" + (f" AND {_AGE} < {hi * day}" if hi is not None else "") + f") AS {name}"
 
 
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 SQL = {
+    "phrase_search": f"""WITH w AS (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS at FROM (SELECT doc_id AS id, {_WORDS} AS w FROM documents)),
+p AS (SELECT query_id, unnest(p) AS t, generate_subscripts(p, 1) AS j, len(p) AS k FROM (SELECT item_id AS query_id, {_WORDS}[2:4] AS p FROM benchmark)),
+s AS (SELECT query_id, id FROM w JOIN p USING (t) GROUP BY query_id, id, at - j HAVING count(*) = any_value(k)) SELECT query_id, id, count(*) AS hits FROM s GROUP BY ALL""",
+    "substring_search": "SELECT item_id AS query_id, doc_id AS id FROM documents d, benchmark b WHERE length(substr(b.text, 4, 12)) > 0 AND contains(lower(d.text), lower(substr(b.text, 4, 12)))",
+    "indexed_topk": f"""WITH w AS (SELECT doc_id AS id, unnest(list_distinct({_WORDS})) AS t FROM documents), f AS (SELECT t, count(*) AS df FROM w GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS t FROM benchmark), a AS (SELECT query_id, t, ln(1 + n / coalesce(df, 1)) AS wt FROM q LEFT JOIN f USING (t), n),
+s AS (SELECT query_id, id, sum(wt) / any_value(whole) AS score FROM w JOIN a USING (t) JOIN (SELECT query_id, sum(wt) AS whole FROM a GROUP BY 1) USING (query_id) GROUP BY ALL)
+SELECT query_id, id, CAST(round(score * 1e6) AS BIGINT) AS score FROM s QUALIFY rank() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC) <= 10""",
     "session_first_user_message": _SMALL + _FIRST + " SELECT s.id, source, first_message FROM s LEFT JOIN f ON s.id = f.session_id WHERE source NOT IN ('subagent', 'tool')",
     "session_docs": _SMALL + _FIRST + " SELECT s.id, concat_ws(' | ', nullif(source, ''), substr(nullif(first_message, ''), 1, 500)) AS document FROM s LEFT JOIN f ON s.id = f.session_id WHERE source NOT IN ('subagent', 'tool')",
     "session_age_histogram": _LARGE + "SELECT " + ", ".join(_bucket(*b) for b in S.AGE_BUCKETS) + ", count(*) FILTER (started_at IS NULL) AS unknown FROM s",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..constants import CONTRA_POLARITY, CONTRA_SUBJECT, DUMP_CHARS, MAX_ENTRY_CHARS, POINTER_IDEAL, STALE_DAYS, USER_IDEAL, USER_MAX
 from ..functions import patterns as P
 from ..functions.prefilter import let, seen
+from ..functions.shared import stored
 from ..functions.text import audit_tokens, clamp, declared_defaults, identifiers, is_file_path, is_header, is_pointer, latest_date, paths, says, subject_tokens
-from .similarity import similar_pairs
+from .similarity import similar_classes, similar_pairs
 
 
 def signals(c: Column, seen_: Column | None = None) -> Column:
@@ -91,6 +92,20 @@ def duplicates(audited: DataFrame, near: float) -> DataFrame:
     return met.select("a", "b", "common", "either", "na", "nb", F.when(F.round(F.col("a_overall"), 2) <= F.round(F.col("b_overall"), 2), F.col("a")).otherwise(F.col("b")).alias("loser"))
 
 
+def losers(audited: DataFrame, near: float) -> DataFrame:
+    """ref of the entries that duplicates() would merge away, each once, without making its pairs.
+
+    Entries of one bag are a class. An entry loses if any entry that it pairs with, in its class or a class near it, is better: by score to two places, then by ref. So a class's best entry stands for all of
+    them, and, as pointers don't pair with pointers, its best one that is none."""
+    e = audited.where("kind <> 'header'").select("ref", (F.col("kind") == "pointer").alias("points"), F.struct(F.round("scores.overall", 2).alias("s"), "ref").alias("rank"), audit_tokens(F.col("text")).alias("tokens"))
+    members, pairs = similar_classes(e.select(F.col("ref").alias("id"), "tokens"), near)
+    own = stored(members.join(e.select(F.col("ref").alias("id"), "points", "rank"), "id"), "bag-members")
+    best = own.groupBy("rep").agg(F.max("rank").alias("any"), F.max(F.when(~F.col("points"), F.col("rank"))).alias("plain"))
+    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(best.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    rivals = links.join(best, F.col("b") == F.col("rep")).groupBy("a").agg(F.max("any").alias("any"), F.max("plain").alias("plain"))
+    return own.join(rivals, F.col("rep") == F.col("a")).where(F.col("rank") < F.when(F.col("points"), F.col("plain")).otherwise(F.col("any"))).select(F.col("id").alias("ref"))
+
+
 def contradictions(audited: DataFrame) -> DataFrame:
     """Pairs on one subject that declare different defaults, or state opposite things of it where identifiers don't tell them apart."""
     t = F.col("text")

@@ -56,14 +56,16 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
 
 def lexical_relevance(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """entries (id, tokens), queries (query_id, tokens): the share of a query's weight that an entry holds. A token weighs
-    ln(1 + n / df) of the corpus, and ln(1 + n) where no entry holds it."""
+    ln(1 + n / df) of the corpus, and ln(1 + n) where no entry holds it. Entries that name the query they are to be scored for (query_id) are scored for that one alone, which takes time in their number and not
+    in that of pairs."""
+    on = ["token", "query_id"] if "query_id" in entries.columns else ["token"]
     n = entries.agg(F.count("*").alias("n"))
-    words = entries.select("id", F.explode("tokens").alias("token"))
+    words = entries.select("id", *on[1:], F.explode("tokens").alias("token"))
     df = words.groupBy("token").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode("tokens").alias("token")).join(df, "token", "left").join(n)
     asked = asked.withColumn("weight", F.when(F.col("df").isNull(), F.log1p("n")).otherwise(F.log1p(F.col("n") / F.col("df"))))
     whole = asked.groupBy("query_id").agg(F.sum("weight").alias("whole"))
-    hit = words.join(asked, "token").groupBy("query_id", "id").agg(F.sum("weight").alias("held"), F.count("*").alias("shared"))
+    hit = words.join(asked, on).groupBy("query_id", "id").agg(F.sum("weight").alias("held"), F.count("*").alias("shared"))
     return hit.join(whole, "query_id").select("query_id", "id", "shared", (F.col("held") / F.col("whole")).alias("score"))
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 
 def _prefix(rows: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
     """(id, token) for the first n - ceil(threshold n) + 1 tokens of each set, rarest first."""
@@ -27,6 +28,19 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return full.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb") - common).alias("either"), F.size("ta").alias("na"), F.size("tb").alias("nb")).where(F.col("common") >= threshold * F.col("either"))
 
 
+def bag_classes(sets: DataFrame) -> DataFrame:
+    """sets (id, tokens without repeats) that aren't empty -> id, rep: the smallest id among those with the same tokens. Copies meet as a row a task."""
+    bags = sets.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("bag"))
+    return bags.join(bags.groupBy("bag").agg(F.min("id").alias("rep")), "bag").select("id", "rep", "bag")
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members: id, rep; pairs of different bags' reps as from similar_pairs). k copies of a text are k rows and one side of each pair, however many they are."""
+    members = stored(bag_classes(sets), "bags")
+    reps = members.where("id = rep").select("id", F.col("bag").alias("tokens")).dropDuplicates(["id"])
+    return members.select("id", "rep"), similar_pairs(reps, threshold)
+
+
 def nearest(left: DataFrame, right: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Each left set's best right set by Jaccard, ties to the smaller id; left sets without a common token, or below the threshold, are left out.
 

@@ -87,7 +87,8 @@ def recency_scores(spark, d):
 def _scored(spark, d):
     """Entries of profiles of fifty each with score, pin and relevance (the share that an entry holds of the query of the profile's number)."""
     a = A.audit(entries(spark, d), F.lit(TODAY).cast("date"))
-    rel = R.lexical_relevance(*_tokens(spark, d)).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
+    e, q = _tokens(spark, d)
+    rel = R.lexical_relevance(e.withColumn("query_id", F.floor(F.col("id") / PROFILE).cast("long")), q).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
     s = a.withColumn("grp", F.floor(F.col("ref") / PROFILE).cast("long")).join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
     sc = F.col("scores")
     pin = G.pin_class(F.col("text"))
@@ -100,7 +101,7 @@ def projection_scores(spark, d):
 
 
 def reserve_fill(spark, d):
-    s = _scored(spark, d).where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
+    s = stored(_scored(spark, d), "scored").where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
     return J.reserve(s.withColumn("room", F.lit(BUDGET)), least=0.05).select("grp", "ref", "used")
 
 

@@ -22,7 +22,7 @@ from .text_queries import _BOTH, _E
 
 def _recommended(spark, d):
     a = stored(A.audit(entries(spark, d), F.lit(TODAY).cast("date")), "audit")
-    merged = A.duplicates(a, DUP_NEAR).select(F.col("loser").alias("ref"))
+    merged = A.losers(a, DUP_NEAR)
     c = A.contradictions(a)
     return A.recommend(a, merged, c.select(F.col("a").alias("ref")).union(c.select("b")))
 

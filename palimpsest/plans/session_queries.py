@@ -208,9 +208,9 @@ def _bucket(lo, hi, name):
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 SQL = {
-    "phrase_search": f"""WITH w AS (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS at FROM (SELECT doc_id AS id, {_WORDS} AS w FROM documents)),
+    "phrase_search": f"""WITH w AS (SELECT id, unnest(w) AS t, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id AS id, {_WORDS} AS w FROM documents)),
 p AS (SELECT query_id, unnest(p) AS t, generate_subscripts(p, 1) AS j, len(p) AS k FROM (SELECT item_id AS query_id, {_WORDS}[2:4] AS p FROM benchmark)),
-s AS (SELECT query_id, id FROM w JOIN p USING (t) GROUP BY query_id, id, at - j HAVING count(*) = any_value(k)) SELECT query_id, id, count(*) AS hits FROM s GROUP BY ALL""",
+s AS (SELECT query_id, id FROM w JOIN p USING (t) GROUP BY query_id, id, pos - j HAVING count(*) = any_value(k)) SELECT query_id, id, count(*) AS hits FROM s GROUP BY ALL""",
     "substring_search": "SELECT item_id AS query_id, doc_id AS id FROM documents d, benchmark b WHERE length(substr(b.text, 4, 12)) > 0 AND contains(lower(d.text), lower(substr(b.text, 4, 12)))",
     "indexed_topk": f"""WITH w AS (SELECT doc_id AS id, unnest(list_distinct({_WORDS})) AS t FROM documents), f AS (SELECT t, count(*) AS df FROM w GROUP BY 1), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
 q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS})) AS t FROM benchmark), a AS (SELECT query_id, t, ln(1 + n / coalesce(df, 1)) AS wt FROM q LEFT JOIN f USING (t), n),

@@ -95,6 +95,18 @@ def near_duplicates(spark, d):
     return A.duplicates(_stored(spark, d), DUP_NEAR).select("a", "b", "common", "either", F.when(F.col("common") >= 0.6 * F.col("either"), "strong").otherwise("near").alias("strength"))
 
 
+def near_duplicate_classes(spark, d):
+    """Entries of one bag of words as a class: its first entry, its members, how many other bags are near it, and how many pairs of entries that stands for."""
+    a = _stored(spark, d).where("kind <> 'header'")
+    members, pairs = S.similar_classes(a.select(F.col("ref").alias("id"), X.audit_tokens(F.col("text")).alias("tokens")), DUP_NEAR)
+    size = members.groupBy("rep").agg(F.count("*").alias("members"))
+    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = links.join(size, F.col("b") == F.col("rep")).groupBy("a").agg(F.count("*").alias("near"), F.sum("members").alias("others"))
+    out = size.join(near, F.col("rep") == F.col("a"), "left")
+    n = F.col("members")
+    return out.select(F.col("rep").alias("first"), "members", F.coalesce("near", F.lit(0)).alias("near"), (n * (n - 1) / 2 + n * F.coalesce("others", F.lit(0))).cast("long").alias("pairs"))
+
+
 def best_duplicate(spark, d):
     return A.best_duplicate(A.duplicates(_stored(spark, d), DUP_NEAR))
 
@@ -105,7 +117,7 @@ def contradictions(spark, d):
 
 def recommended_actions(spark, d):
     a = _stored(spark, d)
-    merged = A.duplicates(a, DUP_NEAR).select(F.col("loser").alias("ref"))
+    merged = A.losers(a, DUP_NEAR)
     c = A.contradictions(a)
     return A.recommend(a, merged, c.select(F.col("a").alias("ref")).union(c.select("b"))).select("ref", "kind", "action")
 
@@ -159,7 +171,7 @@ def ingest(spark, d):
     return out.select("store", F.coalesce("op", F.lit("none")).alias("op"), "fact_key", "archived_at", "ref")
 
 
-QUERIES = {f.__name__: f for f in (content_hash, slug, derive_key, topic_of, est_tokens, extract_paths, latest_date, redact_secrets, clean_labels, token_bags, signals, entry_kinds, kind_counts, quality_scores, near_duplicates, best_duplicate, contradictions, recommended_actions, audit_summary, intake_gate, pin_classes, nearest_existing, containment_dup, match_decisions, ingest)}
+QUERIES = {f.__name__: f for f in (content_hash, slug, derive_key, topic_of, est_tokens, extract_paths, latest_date, redact_secrets, clean_labels, token_bags, signals, entry_kinds, kind_counts, quality_scores, near_duplicates, near_duplicate_classes, best_duplicate, contradictions, recommended_actions, audit_summary, intake_gate, pin_classes, nearest_existing, containment_dup, match_decisions, ingest)}
 
 _E = "WITH " + ENTRIES_SQL
 _STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -284,6 +296,10 @@ SQL = {
     "kind_counts": _E + _KIND + " SELECT store, kind, count(*) AS entries FROM k GROUP BY ALL",
     "quality_scores": _E + _SCORES + " SELECT ref, " + ", ".join(map(_SC, ("durability", "hot_memory_fit", "pointer_quality", "specificity", "staleness", "overall"))) + " FROM o",
     "near_duplicates": _E + _DUP + " SELECT a, b, common, either, CASE WHEN common >= 0.6e0 * either THEN 'strong' ELSE 'near' END AS strength FROM dup",
+    "near_duplicate_classes": _E + _SCORES + f""", b AS (SELECT ref, list_sort({_AUDIT_BAG}) AS t FROM o WHERE kind <> 'header'), c AS (SELECT min(ref) AS rep, count(*) AS n, t FROM b WHERE len(t) > 0 GROUP BY t),
+u AS (SELECT rep, unnest(t) AS w FROM c), j AS (SELECT x.rep AS a, y.rep AS b, count(*) AS common FROM u x JOIN u y ON x.w = y.w AND x.rep <> y.rep GROUP BY ALL),
+l AS (SELECT j.a, count(*) AS near, sum(y.n) AS others FROM j JOIN c x ON x.rep = j.a JOIN c y ON y.rep = j.b WHERE j.common >= 0.45e0 * (len(x.t) + len(y.t) - j.common) GROUP BY j.a)
+SELECT rep AS first, n AS members, coalesce(near, 0) AS near, CAST(n * (n - 1) // 2 + n * coalesce(others, 0) AS BIGINT) AS pairs FROM c LEFT JOIN l ON l.a = c.rep""",
     "best_duplicate": _E + _DUP + " SELECT ref, other, common, either FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY CAST(common AS DOUBLE) / either DESC, other) AS n FROM (SELECT a AS ref, b AS other, common, either FROM dup UNION ALL SELECT b, a, common, either FROM dup)) WHERE n = 1",
     "contradictions": _E + _KIND + _CON + " SELECT a, b, common, either, reason FROM con",
     "recommended_actions": _E + _ACTION + " SELECT ref, kind, action FROM act",

@@ -35,6 +35,8 @@ PATH = r"`?(~/[^\s`'\")]+|/Users/[^\s`'\")]+|/[A-Za-z0-9._\-]+(?:/[^\s`'\")]+)+)
 TEXT_DATE = r"\b20\d{2}-\d{2}-\d{2}\b"
 FACT_DATE = r"(?<![\w/])\d{4}-\d{2}-\d{2}(?![\w/])"
 TOPIC = r"^([A-Za-z][\w &/+.\-]{1,46}?)\s*(?:\([^)]*\))?\s*:"
+#: What leads up to a path at a sentence's end.
+LEADS_TO = r"(?i)\b(canonical doc|full context|located at|lives in|lives at|see|at|in|doc|repo)\s*[:.]?\s*$"
 #: Secrets, in the order they are replaced.
 SECRETS = (
     r"sk-[A-Za-z0-9_\-]{16,}",

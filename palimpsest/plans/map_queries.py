@@ -73,8 +73,26 @@ def route_packets(spark, d):
     return p.select("query_id", "recommended_lane", "memory_where", F.size("query_terms").alias("terms"), F.array_join("matched_keys", ",").alias("matched_keys"), "matched")
 
 
+def _store_states(spark, d):
+    """Each store by the table that stands for it: there if it has rows, sound if what it needs is in all of them, fresh if its last date is near."""
+    near = F.date_sub(F.lit(TODAY).cast("date"), 60)
+    yes = F.lit(True)
+    of = {
+        "hot_memory": ("documents", F.bool_and(F.col("text").isNotNull()), yes), "user_memory": ("labels", F.bool_and(F.col("toxic") == 0), yes), "temporal": ("events", F.bool_and(F.col("user_id").isNotNull()), F.max("ts").cast("date") >= near),
+        "notes_index": ("pages", F.bool_and(F.contains("url", F.lit("://"))), yes), "master_index": ("benchmark", F.bool_and(F.length("text") > 40), yes),
+        "shadow_report": ("conversations", F.bool_and(F.col("role").isin("user", "assistant")), yes), "semantic": ("embeddings", F.bool_and(F.size("embedding") == 64), yes),
+        "spine": ("orders", F.bool_and(F.col("o_totalprice") > 0), F.max("o_orderdate").cast("date") >= near),
+    }
+    out = None
+    for name, (source, sound, fresh) in of.items():
+        one = table(spark, d, source).agg(F.lit(name).alias("store"), (F.count("*") > 0).alias("present"), F.when(F.coalesce(sound, F.lit(False)), "ok").otherwise("degraded").alias("status"), fresh.alias("fresh"))
+        one = one.select("store", "present", "status", "fresh", F.when((F.lit(name) == "semantic") & (F.col("status") == "ok"), "up").alias("daemon"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def store_doctor(spark, d):
-    out = M.doctor(_stores(spark))
+    out = M.doctor(_store_states(spark, d))
     return out.select("status", F.array_join("failures", "; ").alias("failures"), F.array_join("warnings", "; ").alias("warnings"))
 
 
@@ -205,7 +223,14 @@ SQL = {
     "search_lanes": _RANKED + " SELECT query_id, lane, intent, availability, CAST(round(topic * 1000) AS BIGINT) AS topic, CAST(round(score * 1000) AS BIGINT) AS score, rank FROM rk",
     "route_packets": _RANKED + """, sp AS (SELECT query_id, bool_or(signal > 1e-9) AS matched FROM rk GROUP BY 1) SELECT query_id, lane AS recommended_lane, CASE WHEN lane = 'memory-entry' AND len(list_distinct(list_filter(sources, lambda x: x <> 'notes_index'))) = 1 THEN CASE WHEN list_contains(sources, 'user_memory') THEN 'user' ELSE 'memory' END END AS memory_where,
   len(terms) AS terms, coalesce(array_to_string(keys, ','), '') AS matched_keys, matched FROM rk JOIN sp USING (query_id) WHERE rank = 1""",
-    "store_doctor": "SELECT 'WARN' AS status, '' AS failures, 'hot_memory stale; master_index missing; notes_index degraded; shadow_report missing; spine unreadable; temporal stale' AS warnings",
+    "store_doctor": f"""WITH s(store, present, sound, fresh) AS (SELECT 'hot_memory', count(*) > 0, bool_and(text IS NOT NULL), true FROM documents UNION ALL SELECT 'user_memory', count(*) > 0, bool_and(toxic = 0), true FROM labels
+UNION ALL SELECT 'temporal', count(*) > 0, bool_and(user_id IS NOT NULL), CAST(max(ts) AS DATE) >= DATE '{TODAY}' - 60 FROM events UNION ALL SELECT 'notes_index', count(*) > 0, bool_and(contains(url, '://')), true FROM pages
+UNION ALL SELECT 'master_index', count(*) > 0, bool_and(length(text) > 40), true FROM benchmark UNION ALL SELECT 'shadow_report', count(*) > 0, bool_and(role IN ('user', 'assistant')), true FROM conversations
+UNION ALL SELECT 'semantic', count(*) > 0, bool_and(len(embedding) = 64), true FROM embeddings UNION ALL SELECT 'spine', count(*) > 0, bool_and(o_totalprice > 0), CAST(max(o_orderdate) AS DATE) >= DATE '{TODAY}' - 60 FROM orders),
+w AS (SELECT CASE WHEN store = 'hot_memory' THEN CASE WHEN present AND sound AND NOT fresh THEN 'hot_memory stale' END WHEN store = 'semantic' THEN CASE WHEN NOT coalesce(sound, false) THEN 'semantic daemon down' END
+  WHEN store = 'spine' THEN CASE WHEN present AND NOT coalesce(sound, false) THEN 'spine unreadable' END WHEN NOT present THEN store || ' missing' WHEN NOT coalesce(sound, false) THEN store || ' degraded' WHEN NOT fresh THEN store || ' stale' END AS w,
+  CASE WHEN store = 'hot_memory' THEN CASE WHEN NOT present THEN 'hot_memory missing' WHEN NOT coalesce(sound, false) THEN 'hot_memory unreadable' END END AS f FROM s)
+SELECT CASE WHEN count(f) > 0 THEN 'FAIL' WHEN count(w) > 0 THEN 'WARN' ELSE 'PASS' END AS status, coalesce(string_agg(f, '; ' ORDER BY f), '') AS failures, coalesce(string_agg(w, '; ' ORDER BY w), '') AS warnings FROM w""",
     "answer_usage": _E + f""", an AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text || ' See Memory.md#' || item_id || ' at ~/notes/plan.md' ELSE text END AS answer FROM benchmark), x AS (SELECT item_id, lower(answer) AS low, {_ST.format('answer')} AS t FROM an), y AS (SELECT ref, store || '.md#' || ref AS label, {_ST.format('text')} AS t FROM e),
 p AS (SELECT item_id, ref, list_contains(regexp_extract_all(low, '[\\w.-]+#\\d+'), label) AS named, list_intersect(x.t, y.t) AS com, len(x.t) AS nx, len(y.t) AS ny FROM x, y),
 q AS (SELECT *, CAST(len(com) AS DOUBLE) / (nx + ny - len(com)) AS o, list_sort(list_filter(com, lambda w: contains(w, '/') OR starts_with(w, '~')))[1:5] AS h FROM p)

@@ -32,6 +32,11 @@ def _mil(c, name):
     return F.round(c * 1000000).cast("long").alias(name)
 
 
+def _hundredths(c):
+    """Rounded as SQL's round(x, 2) is, by the product in double precision: 0.285 is 0.28 there, as 100 times it is less than 28.5; F.round takes the decimal digits and gives 0.29."""
+    return F.round(c * 100) / 100
+
+
 def vector_topk(spark, d):
     return R.vector_topk(_vectors(spark, d), _asked(spark, d), K).select("query_id", "id", "rank", _mil(F.col("score"), "score"))
 
@@ -101,7 +106,7 @@ def projection_scores(spark, d):
 
 
 def reserve_fill(spark, d):
-    s = stored(_scored(spark, d), "scored").where(~F.col("pinned")).withColumn("relevance", F.round("relevance", 2)).withColumn("score", F.lit(0.0))
+    s = stored(_scored(spark, d), "scored").where(~F.col("pinned")).withColumn("relevance", _hundredths(F.col("relevance"))).withColumn("score", F.lit(0.0))
     return J.reserve(s.withColumn("room", F.lit(BUDGET)), least=0.05).select("grp", "ref", "used")
 
 

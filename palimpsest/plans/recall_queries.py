@@ -75,9 +75,10 @@ def hybrid_rrf(spark, d):
 
 def semantic_duplicates(spark, d):
     """Entries whose bags pass the prefilter and whose vectors are close; an entry's vector is the one of its number."""
-    e = entries(spark, d).select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
-    pairs = S.similar_pairs(e, 0.30).where(F.col("common") > 0.30 * F.col("either"))
     v = _vectors(spark, d)
+    # a pair needs both vectors, so entries without one meet nobody
+    e = entries(spark, d).join(v.select(F.col("id").alias("ref")), "ref", "left_semi").select(F.col("ref").alias("id"), X.gate_tokens(F.col("text")).alias("tokens"))
+    pairs = S.similar_pairs(e, 0.30).where(F.col("common") > 0.30 * F.col("either"))
     x, y = v.select((F.col("id")).alias("a"), F.col("vector").alias("va")), v.select((F.col("id")).alias("b"), F.col("vector").alias("vb"))
     met = pairs.join(x, "a").join(y, "b").withColumn("cosine", X.vector_cosine(F.col("va"), F.col("vb")))
     return met.select("a", "b", (F.col("common") >= 0.45 * F.col("either")).alias("token_flagged"), (F.col("cosine") >= SEMANTIC_COSINE).alias("semantic"), _mil(F.col("cosine"), "cosine"))

@@ -144,16 +144,16 @@ def bradley_terry(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty:
     rng = np.random.default_rng(seed)
     yes, no = np.flatnonzero(good), np.flatnonzero(~good)
     a, b = yes[rng.integers(len(yes), size=pairs)], no[rng.integers(len(no), size=pairs)]
-    scale = x.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+    # the weights are scaled and not the features, and deviations are taken by few columns at once: neither makes a copy of x
+    scale = np.concatenate([x[:, k : k + 64].std(axis=0, dtype=np.float64) for k in range(0, x.shape[1], 64)]).astype(np.float32) + np.float32(1e-3)
     scale[: 2 * HASHED] /= FAINT
-    x = x / scale
 
     def loss(w):
-        worth = x @ w.astype(np.float32)
+        worth = x @ (w / scale).astype(np.float32)
         d = (worth[a] - worth[b]).astype(np.float64)
         p = -1 / (1 + np.exp(np.clip(d, -60, 60))) / pairs
         pull = np.bincount(a, p, len(x)) - np.bincount(b, p, len(x))
-        return np.logaddexp(0, -d).mean() + penalty / 2 * (w @ w), (x.T @ pull.astype(np.float32)).astype(np.float64) + penalty * w
+        return np.logaddexp(0, -d).mean() + penalty / 2 * (w @ w), (pull.astype(np.float32) @ x).astype(np.float64) / scale + penalty * w
 
     return minimise(loss, np.zeros(x.shape[1])) / scale
 
@@ -167,7 +167,7 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 2) -> Ranking | None:
         apart = np.zeros(len(x), bool)
     w = bradley_terry(x[~apart], good[~apart])
     held = apart if apart.any() else ~apart
-    worth = np.sort(x[held].astype(np.float64) @ w)
+    worth = np.sort(np.concatenate([x[i : i + 512].astype(np.float64) @ w for i in range(0, len(x), 512)])[held])
     k = min(max(1, int((~good[held]).sum())), len(worth) - 1)
     return Ranking(w, float((worth[k - 1] + worth[k]) / 2))
 
@@ -182,10 +182,16 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, sample
     names = [f"f{i}" for i in range(len(shares(F.lit(""))))]
     met = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("body")).join(few, F.col("id") == F.col("l_id")).orderBy(F.xxhash64("l_id"), F.xxhash64("body"), "quality").limit(sample)
     rows = met.select("quality", vector("body").alias("hashed"), *[c.alias(n) for c, n in zip(shares(F.col("body")), names, strict=True)]).toArrow()
-    if not rows.num_rows:
-        return np.zeros((0, 2 * HASHED + len(names)), np.float32), np.zeros(0, bool)
-    wide = np.frombuffer(b"".join(x.as_py() for x in rows["hashed"]), np.float32).reshape(rows.num_rows, -1)
-    return np.column_stack([wide, *[np.asarray(rows[n], np.float32) for n in names]]), np.asarray(rows["quality"]) == 1
+    x = np.zeros((rows.num_rows, 2 * HASHED + len(names)), np.float32)
+    at = 0
+    # batch by batch, as a second and third copy of all features is most of what the driver's Python would hold
+    for batch in rows.to_batches():
+        for i, one in enumerate(batch.column("hashed")):
+            x[at + i, : 2 * HASHED] = np.frombuffer(one.as_buffer(), np.float32)
+        for k, n in enumerate(names):
+            x[at : at + batch.num_rows, 2 * HASHED + k] = batch.column(n).to_numpy(zero_copy_only=False)
+        at += batch.num_rows
+    return x, np.asarray(rows["quality"]) == 1
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import patterns as P
-from palimpsest.functions.prefilter import linear, required, seen
+from palimpsest.functions.prefilter import can_occur, linear, phrases, required, seen
 from palimpsest.functions.text import says
 
 NAMES = [k for k, v in vars(P).items() if isinstance(v, str) and k.isupper() and k not in ("ODD", "PLAIN", "PATH", "TOPIC", "FACT_DATE", "TEXT_DATE", "RELATIONS", "IDENTIFIER")]
@@ -51,3 +51,13 @@ def test_long_texts_take_linear_time(spark):
     began = time.time()
     row = df.select(*[says(F.col("t"), p).alias(k) for k, p in (("d", P.DEBUG), ("s", P.SAFETY_PIN))]).first()
     assert (row.d, row.s) == (False, False) and time.time() - began < 5
+
+
+def test_a_phrase_is_asked_for_whole():
+    assert phrases(P.TODO)[1] == ("follow up", "follow-up", "next step", "to do") and "to" not in phrases(P.TODO)[0]
+    assert phrases(P.DURABLE_VERB) is None and phrases(P.METRIC) is None
+
+
+def test_fixed_digits_need_no_search_for_digits(spark):
+    plan = lambda p: str(can_occur(F.struct(F.col("t").alias("low"), F.array("t").alias("words")), p))
+    assert "rlike" not in plan(P.INLINE_DATE).lower() and "rlike" in plan(P.METRIC).lower()

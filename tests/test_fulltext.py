@@ -102,3 +102,44 @@ def test_best_equals_all_scores(spark, tmp_path, monkeypatch, k):
         assert mine.get(q, {}) == pytest.approx({i: s for i, s in scores.items() if s >= edge[0]}), q
     for c in counts.where("query_id < 6").collect():
         assert c.kept <= c.opened < c.postings / 2
+
+
+def test_lists_of_a_term_are_shuffled_and_written_once(spark, tmp_path, monkeypatch):
+    """A merge writes an index's data once, and its commit that leaves the old segments behind names files that are there."""
+    import os
+
+    index = Index(spark, f"{tmp_path}/i", ("word",))
+    texts = corpus(random.Random(3), range(40))
+    index.append(frame(spark, list(texts.items())))
+    index.append(frame(spark, list(texts.items())[:9]))
+    before = set(os.listdir(f"{tmp_path}/i/word/data"))
+    seen = []
+    monkeypatch.setattr(fulltext, "write_table", lambda df, path, mode="append", real=fulltext.write_table: (seen.append((os.path.basename(path), mode)), real(df, path, mode)))
+    index.merge()
+    assert seen == [("word", "append"), ("docs", "overwrite")]
+    held = {os.path.basename(f) for f in index.table("word").inputFiles()}
+    assert held and held == set(os.listdir(f"{tmp_path}/i/word/data")) - before
+    found(index, spark, texts, {1: "common w1", 2: "common common"})
+
+
+def test_pieces_that_interleave_and_are_cut(spark, monkeypatch):
+    """Texts in no order, a few characters at a time and rows a batch, give the same sorted lists; ranges of negative ids too."""
+    monkeypatch.setattr(fulltext, "BLOCK", 8)
+    texts = corpus(random.Random(5), range(-11, 30)) | {40: "ſharp 😀😀😀x common"}
+    rows = list(texts.items())
+    random.Random(1).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = fulltext.word_blocks(frame(spark, rows), "s").collect()
+        grams = fulltext.gram_blocks(frame(spark, rows), "s").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, pieces = {}, {}
+    for i in sorted(texts):
+        low = texts[i].lower()
+        for at, w in enumerate(words(low)):
+            want.setdefault((w, i // 8), {}).setdefault(i, []).append(at)
+        for g in {low[k : k + 3] for k in range(len(low) - 2)}:
+            pieces.setdefault((g, i // 8), []).append(i)
+    assert len(got) == len(want) and {(r.term, r.block): dict(zip(r.ids, r.positions)) for r in got} == want and all(list(r.ids) == sorted(r.ids) and r.n == len(r.ids) for r in got)
+    assert len(grams) == len(pieces) and {(r.term, r.block): list(r.ids) for r in grams} == pieces

@@ -102,7 +102,7 @@ def knapsack(items: DataFrame) -> DataFrame:
 
 
 def project(scored: DataFrame, budget: int) -> DataFrame:
-    """scored (grp, ord, ref, text, tokens, pinned, score, relevance) with selected and how: pin, reserve, knapsack or none."""
+    """scored (grp, ord, ref, tokens, pinned, score, relevance) with selected and how: pin, reserve, knapsack or none."""
     used = scored.groupBy("grp").agg((F.lit(budget) - F.coalesce(F.sum(F.when(F.col("pinned"), F.col("tokens"))), F.lit(0))).cast("int").alias("room"))
     free = scored.where(~F.col("pinned")).join(used, "grp")
     kept = reserve(free)

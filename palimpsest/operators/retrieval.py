@@ -190,20 +190,28 @@ def lexical_relevance(entries: DataFrame, queries: DataFrame) -> DataFrame:
     in that of pairs."""
     on = ["token", "query_id"] if "query_id" in entries.columns else ["token"]
     n = entries.agg(F.count("*").alias("n"))
-    words = entries.select("id", *on[1:], F.explode("tokens").alias("token"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).join(df, "token", "left").join(n)
-    asked = asked.withColumn("weight", F.when(F.col("df").isNull(), F.log1p("n")).otherwise(F.log1p(F.col("n") / F.col("df"))))
+    wanted = stored(queries.select("query_id", F.explode("tokens").alias("token")), "asked-tokens")
+    # tokens are made once, and only those that a query asks for are kept, an entry's in one task, so that its sums are made there
+    words = entries.select("id", *on[1:], F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
+    words = stored(words, "asked-words")
+    df = stored(words.groupBy("token").agg(F.count("*").alias("df")), "asked-counts")
+    asked = wanted.join(df, "token", "left").join(n)
+    asked = stored(asked.withColumn("weight", F.when(F.col("df").isNull(), F.log1p("n")).otherwise(F.log1p(F.col("n") / F.col("df")))), "asked-weights")
     whole = asked.groupBy("query_id").agg(F.sum("weight").alias("whole"))
-    hit = words.join(asked, on).groupBy("query_id", "id").agg(F.sum("weight").alias("held"), F.count("*").alias("shared"))
+    hit = words.repartition("id").join(asked, on).groupBy("query_id", "id").agg(F.sum("weight").alias("held"), F.count("*").alias("shared"))
     return hit.join(whole, "query_id").select("query_id", "id", "shared", (F.col("held") / F.col("whole")).alias("score"))
 
 
-def ranked_relevance(hits: DataFrame, hashes: DataFrame) -> DataFrame:
-    """hits (query_id, id, score) with the score clamped and rounded to four places, and its rank: by score, then by the text's hash (hashes: id, hash), then by id."""
-    scored = hits.withColumn("score", F.round(clamp(F.col("score")), 4)).join(hashes, "id")
+def ranked_relevance(hits: DataFrame, hashes: DataFrame, most: int | None = None) -> DataFrame:
+    """hits (query_id, id, score) with the score clamped and rounded to four places, and its rank: by score, then by the text's hash (hashes: id, hash), then by id. most: the last rank that is wanted; then only what can
+    have it by its score is joined to its hash."""
+    scored = hits.withColumn("score", F.round(clamp(F.col("score")), 4))
+    if most is not None:
+        scored = scored.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("rank") <= most).drop("rank")
+    scored = scored.join(hashes, "id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "hash", "id")
-    return scored.withColumn("rank", F.row_number().over(w))
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
 ship(__name__)

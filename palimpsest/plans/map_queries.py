@@ -127,7 +127,7 @@ def recency_sources(spark, d):
 def relevance_lookup(spark, d):
     """The twenty best lexical hits of each benchmark item, known by content for two thirds of them and by number for the others, looked up from all entries."""
     e = entries(spark, d).select("ref", X.content_hash(F.col("text")).alias("hash"))
-    hits = _lexical(spark, d).where("rank <= 20").select("query_id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("ref"), F.when(F.col("id") % 3 != 0, F.col("hash")).alias("hash"), "score")
+    hits = _lexical(spark, d).select("query_id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("ref"), F.when(F.col("id") % 3 != 0, F.col("hash")).alias("hash"), "score")
     return J.relevant(e, hits).select("query_id", "ref", F.round(F.col("relevance") * 1e4).cast("long").alias("relevance"), "found_by")
 
 

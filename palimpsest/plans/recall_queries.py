@@ -51,15 +51,15 @@ def _tokens(spark, d):
     return docs, items
 
 
-def _lexical(spark, d):
-    """Relevance of whole documents to benchmark items, with the place by the rounded score, then by the text's hash, then by id."""
+def _lexical(spark, d, most=20):
+    """The best of the relevance of whole documents to benchmark items, with the place by the rounded score, then by the text's hash, then by id."""
     docs, items = _tokens(spark, d)
     hashes = entries(spark, d).select(F.col("ref").alias("id"), X.content_hash(F.col("text")).alias("hash"))
-    return R.ranked_relevance(R.lexical_relevance(docs, items), hashes)
+    return R.ranked_relevance(R.lexical_relevance(docs, items), hashes, most)
 
 
 def lexical_idf_topk(spark, d):
-    return _lexical(spark, d).where("rank <= 20").select("query_id", "id", "rank", F.round(F.col("score") * 1e4).cast("long").alias("score"))
+    return _lexical(spark, d).select("query_id", "id", "rank", F.round(F.col("score") * 1e4).cast("long").alias("score"))
 
 
 def hybrid_rrf(spark, d):
@@ -67,7 +67,7 @@ def hybrid_rrf(spark, d):
     from pyspark.sql import Window
 
     sem = R.vector_topk(_vectors(spark, d), _asked(spark, d), 20).select("query_id", F.lit("semantic").alias("list"), "id", (F.col("rank") - 1).alias("pos"))
-    kw = _lexical(spark, d).where("rank <= 20").withColumn("query_id", F.col("query_id") * 20).join(_asked(spark, d).select("query_id"), "query_id", "left_semi")
+    kw = _lexical(spark, d).withColumn("query_id", F.col("query_id") * 20).join(_asked(spark, d).select("query_id"), "query_id", "left_semi")
     fused = R.fuse(sem.unionByName(kw.select("query_id", F.lit("keyword").alias("list"), "id", (F.col("rank") - 1).alias("pos"))))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("score") * 1e9)), "id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K).select("query_id", "id", "rank", "source", F.round(F.col("score") * 1e9).cast("long").alias("score"))
@@ -95,11 +95,15 @@ def _scored(spark, d):
     a = A.audit(entries(spark, d), F.lit(TODAY).cast("date"))
     e, q = _tokens(spark, d)
     rel = R.lexical_relevance(e.withColumn("query_id", F.floor(F.col("id") / PROFILE).cast("long")), q).select(F.col("query_id").alias("grp"), F.col("id").alias("ref"), F.col("score").alias("relevance"))
-    s = a.withColumn("grp", F.floor(F.col("ref") / PROFILE).cast("long")).join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
-    sc = F.col("scores")
-    pin = G.pin_class(F.col("text"))
-    score = J.projection_score(X.clamp((sc["durability"] + sc["pointer_quality"]) / 2.0), J.recency(X.latest_date(F.col("text")), F.lit(TODAY).cast("date")), sc["specificity"], sc["hot_memory_fit"], pin != "none", F.col("relevance"))
-    return s.select("grp", F.col("ref").alias("ord"), "ref", "text", X.entry_weight(F.col("text")).alias("tokens"), (pin != "none").alias("pinned"), F.round(score, 4).alias("score"), "relevance")
+    # what the score takes from a text is made before the join, which moves no text
+    t, sc = F.col("text"), F.col("scores")
+    parts = a.select(
+        F.floor(F.col("ref") / PROFILE).cast("long").alias("grp"), "ref", X.entry_weight(t).alias("tokens"), (G.pin_class(t) != "none").alias("pinned"), X.clamp((sc["durability"] + sc["pointer_quality"]) / 2.0).alias("importance"),
+        X.latest_date(t).alias("day"), sc["specificity"].alias("specificity"), sc["hot_memory_fit"].alias("fit"),
+    )
+    s = parts.join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
+    score = J.projection_score(F.col("importance"), J.recency(F.col("day"), F.lit(TODAY).cast("date")), F.col("specificity"), F.col("fit"), F.col("pinned"), F.col("relevance"))
+    return s.select("grp", F.col("ref").alias("ord"), "ref", "tokens", "pinned", F.round(score, 4).alias("score"), "relevance")
 
 
 def projection_scores(spark, d):

@@ -92,13 +92,36 @@ def knapsack(items: DataFrame) -> DataFrame:
     few = valued.withColumn("at", F.row_number().over(best)).where(F.col("at") * F.col("tokens") <= F.col("room"))
 
     def fill(frame):
-        frame = frame.sort_values("ord")
         if frame["all_fit"].iloc[0]:
-            return frame[["grp", "ref", "tokens", "score"]]
+            return frame
         frame = frame[frame["value"] > 0]
-        return frame.iloc[best_subset(frame["tokens"].tolist(), frame["value"].tolist(), int(frame["room"].iloc[0]) if len(frame) else 0)][["grp", "ref", "tokens", "score"]]
-
-    return few.join(fits, "grp").groupBy("grp").applyInPandas(fill, "grp long, ref long, tokens int, score double")
+        return frame.iloc[best_subset(frame["tokens"].tolist(), frame["value"].tolist(), int(frame["room"].iloc[0]) if len(frame) else 0)]
+
+    def run(frames):
+        import pandas as pd
+
+        held, names = [], ["grp", "ref", "tokens", "score"]
+        for frame in frames:
+            if not len(frame):
+                continue
+            # the last group may go on in the next batch
+            if held and held[-1]["grp"].iloc[-1] != frame["grp"].iloc[0]:
+                yield fill(pd.concat(held))[names]
+                held = []
+            starts = [0, *(frame["grp"].to_numpy()[1:] != frame["grp"].to_numpy()[:-1]).nonzero()[0] + 1]
+            done = []
+            for at, end in zip(starts, starts[1:]):
+                done.append(fill(pd.concat([*held, frame.iloc[at:end]]) if held else frame.iloc[at:end]))
+                held = []
+            if done:
+                yield pd.concat(done)[names]
+            held.append(frame.iloc[starts[-1] :])
+        if held:
+            yield fill(pd.concat(held))[names]
+
+    # groups follow each other in a task, as a call for each costs more than most of them do
+    rows = few.join(fits, "grp").select(F.col("grp").cast("long").alias("grp"), "ord", "ref", "tokens", "score", "room", "value", "all_fit")
+    return rows.repartition("grp").sortWithinPartitions("grp", "ord").select("grp", "ref", "tokens", "score", "room", "value", "all_fit").mapInPandas(run, "grp long, ref long, tokens int, score double")
 
 
 def project(scored: DataFrame, budget: int) -> DataFrame:

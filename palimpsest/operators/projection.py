@@ -119,9 +119,11 @@ def knapsack(items: DataFrame) -> DataFrame:
         if held:
             yield fill(pd.concat(held))[names]
 
-    # groups follow each other in a task, as a call for each costs more than most of them do
+    # groups follow each other in a task, as a call for each costs more than most of them do. The window keeps a group whole and in order whatever the join becomes as it runs; a repartition by grp is left out where the join
+    # seems to deal by grp, and then the rows lie as the larger side does
     rows = few.join(fits, "grp").select(F.col("grp").cast("long").alias("grp"), "ord", "ref", "tokens", "score", "room", "value", "all_fit")
-    return rows.repartition("grp").sortWithinPartitions("grp", "ord").select("grp", "ref", "tokens", "score", "room", "value", "all_fit").mapInPandas(run, "grp long, ref long, tokens int, score double")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("ord")))
+    return rows.select("grp", "ref", "tokens", "score", "room", "value", "all_fit", "place").mapInPandas(run, "grp long, ref long, tokens int, score double")
 
 
 def project(scored: DataFrame, budget: int) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 from palimpsest.operators import projection
+from pyspark.sql import functions as F
 
 
 def test_groups_over_batches(spark):
@@ -23,3 +24,18 @@ def test_groups_over_batches(spark):
         mine = [x for x in got if x.grp == g]
         assert abs(sum(x.score for x in mine) - best) < 1e-9 and sum(x.tokens for x in mine) <= own[0][5]
     assert len({x.ref for x in got}) == len(got)
+
+
+def test_groups_stay_whole_as_joins_change(spark):
+    """Of a larger table the sums that are joined to its items are small enough to be sent to all tasks, and the items lie by weight."""
+    items = spark.range(40_000).select(F.floor(F.col("id") / 8).alias("grp"), F.col("id").alias("ord"), F.col("id").alias("ref"), (F.col("id") % 8 + 300).cast("int").alias("tokens"), F.lit(0.5).alias("score"), F.lit(1000).alias("room"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": str(200 << 10), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        taken = projection.knapsack(items).groupBy("grp").agg(F.sum("tokens").alias("tokens")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(taken) == 5000 and max(x.tokens for x in taken) <= 1000

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import RRF_K
 from ..functions.shared import ship, shared_dir, stored
-from ..functions.text import clamp
+from ..functions.text import clamp, rounded
 
 
 #: Bytes of vectors that a task holds at once, of queries in a stored shard, and of scores that are made at once.
@@ -205,7 +205,7 @@ def lexical_relevance(entries: DataFrame, queries: DataFrame) -> DataFrame:
 def ranked_relevance(hits: DataFrame, hashes: DataFrame, most: int | None = None) -> DataFrame:
     """hits (query_id, id, score) with the score clamped and rounded to four places, and its rank: by score, then by the text's hash (hashes: id, hash), then by id. most: the last rank that is wanted; then only what can
     have it by its score is joined to its hash."""
-    scored = hits.withColumn("score", F.round(clamp(F.col("score")), 4))
+    scored = hits.withColumn("score", rounded(clamp(F.col("score")), 4))
     if most is not None:
         scored = scored.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("rank") <= most).drop("rank")
     scored = scored.join(hashes, "id")

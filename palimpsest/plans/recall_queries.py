@@ -33,8 +33,7 @@ def _mil(c, name):
 
 
 def _hundredths(c):
-    """Rounded as SQL's round(x, 2) is, by the product in double precision: 0.285 is 0.28 there, as 100 times it is less than 28.5; F.round takes the decimal digits and gives 0.29."""
-    return F.round(c * 100) / 100
+    return X.rounded(c, 2)
 
 
 def vector_topk(spark, d):
@@ -101,9 +100,9 @@ def _scored(spark, d):
         F.floor(F.col("ref") / PROFILE).cast("long").alias("grp"), "ref", X.entry_weight(t).alias("tokens"), (G.pin_class(t) != "none").alias("pinned"), X.clamp((sc["durability"] + sc["pointer_quality"]) / 2.0).alias("importance"),
         X.latest_date(t).alias("day"), sc["specificity"].alias("specificity"), sc["hot_memory_fit"].alias("fit"),
     )
-    s = parts.join(rel, ["grp", "ref"], "left").withColumn("relevance", F.round(F.coalesce("relevance", F.lit(0.0)), 4))
+    s = parts.join(rel, ["grp", "ref"], "left").withColumn("relevance", X.rounded(F.coalesce("relevance", F.lit(0.0)), 4))
     score = J.projection_score(F.col("importance"), J.recency(F.col("day"), F.lit(TODAY).cast("date")), F.col("specificity"), F.col("fit"), F.col("pinned"), F.col("relevance"))
-    return s.select("grp", F.col("ref").alias("ord"), "ref", "tokens", "pinned", F.round(score, 4).alias("score"), "relevance")
+    return s.select("grp", F.col("ref").alias("ord"), "ref", "tokens", "pinned", X.rounded(score, 4).alias("score"), "relevance")
 
 
 def projection_scores(spark, d):
